@@ -1 +1,31 @@
 """The stages of the corpus pipeline. Each works on all that its predecessor kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import quality_rules, suffix_dedup
+
+
+def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the certified rules keep."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_rules.judge(docs, labels, carry=docs.columns + ["text"]).where("kept").select(*docs.columns)
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without repeated passages. Where a removed span begins or ends inside a UTF-8 character, the rest of that
+    character goes too. Documents of which nothing is left go; n_chars follows the text."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    kept = suffix_dedup.remove_repeats(docs, carry=rest).where("length(kept) > 0 or n_removed = 0")
+    text = F.when(F.col("n_removed") > 0, F.decode(F.col("kept"), F.lit("utf-8"))).otherwise(F.decode(F.col("kept"), F.lit("utf-8")))
+    named = kept.select("doc_id", text.alias("text"), *[F.col(f"row.{c}").alias(c) for c in rest])
+    return named.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    raise NotImplementedError
+
+
+decontaminate_stage = packing_stage = jaccard_stage
