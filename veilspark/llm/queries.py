@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_orders, quality_rules, slots, suffix_dedup
+from . import jaccard_orders, packing, quality_rules, slots, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,18 @@ def op7_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def tokenizer_path() -> str:
+    """The byte-level BPE file of the public tokenizers that are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in as few sequences of 1024 tokens as best fit decreasing finds."""
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of repeated 50-byte strings, removed from all but the document with the least id."""
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -41,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_virtual_slots": op2_virtual_slots,
         "op5_multi_order_join": op5_multi_order_join,
         "op7_risk_controlled_rules": op7_risk_controlled_rules,
+        "op8_best_fit_packing": op8_best_fit_packing,
         "op10_suffix_dedup": op10_suffix_dedup,
     }
 
