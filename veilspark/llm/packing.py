@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, materialise, slices, texts_of
-from .tokens import ChunkEncoder
+from .tokens import Encoder
 
 CAPACITY = 1024
 END = 2
@@ -92,7 +92,7 @@ def plan(lengths: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, i
 
 def _pieces(path: str, capacity: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen, part = ChunkEncoder(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        encoder, seen, part = Encoder(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for b in slices(batches, "text"):
             ids, off = encoder.encode(texts_of(b), end)
             total = np.diff(off)

@@ -1,68 +1,67 @@
-"""Subword ids of whole texts by a given tokenizer file, encoding each distinct chunk once."""
+"""Subword ids of whole texts by a byte-level BPE file of the tokenizers library."""
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks whose ids a worker remembers; then it starts afresh.
-CACHE = 300_000
-#: A space between white space, or white space and a space at the end: there a cut before the space would change the pre-tokens.
-UNSAFE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)"
+#: The pre-token pattern of that family of vocabularies. A fixed value.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters on whose class all regular expression engines agree; texts with others take the slower engine.
+PLAIN = r"^[\t-\r -~\x{A1}-\x{24F}\x{2010}-\x{2027}\x{20AC}]*$"
 
 
-class ChunkEncoder:
-    """Byte-level BPE pre-tokens take a space only in front of a word, so text can be cut before each space and the
-    ids joined, except where spaces meet other white space (``UNSAFE``); such texts are encoded as they are."""
+def _byte_of() -> dict[str, int]:
+    """The byte that each printable stand-in means: printable bytes are themselves, the others follow from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(0x100 + k): b for k, b in enumerate(rest)}
+
+
+class Encoder:
+    """Ids as the tokenizers library gives them, without special tokens; their strings are ordinary text.
+
+    A merge list whose ids rise in the order of the merges is a ranking, so a faster engine can apply it. It is used for
+    ``PLAIN`` texts, and only if the file has such ids, this pre-token pattern's form and no normaliser.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.tokenizer.no_truncation()
-        self.known: dict[str, np.ndarray] = {}
+        self.slow = Tokenizer.from_file(path)
+        self.slow.encode_special_tokens = True
+        self.slow.no_truncation()
+        self.fast = self._ranking(path)
+
+    @staticmethod
+    def _ranking(path: str):
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        model, before = said["model"], said.get("pre_tokenizer") or {}
+        vocab, byte = model.get("vocab", {}), _byte_of()
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+        made = [vocab.get("".join(p), -1) for p in pairs]
+        plain = model.get("type", "BPE") == "BPE" and not said.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        if not plain or made != sorted(made) or not made or made[0] < 256 or len(set(made)) < len(made):
+            return None
+        import tiktoken
 
-    def _ids(self, chunks: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = [c for c in chunks if c not in self.known]
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, np.uint32)
-        return [self.known[c] for c in chunks]
+        special = {t["content"] for t in said.get("added_tokens", [])}
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in special}
+        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, each with ``end`` behind it, and the n+1 offsets."""
-        n = len(texts)
-        whole = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
-        plain = pc.if_else(pa.array(whole), "", texts)
-        lists = pc.split_pattern(plain, " ")
-        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = lists.flatten()
-        first = np.zeros(len(flat), bool)
-        first[np.cumsum(counts) - counts] = True
-        chunks = pc.binary_join_element_wise(pc.if_else(pa.array(first), "", " "), flat, "")
-        coded = chunks.dictionary_encode()
-        lookup = self._ids(coded.dictionary.to_pylist())
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        sizes = np.array([len(x) for x in lookup], np.int64)
-        pool = np.concatenate([*lookup, np.zeros(1, np.uint32)])
-        starts = np.cumsum(sizes) - sizes
-        size = sizes[codes]
-        at = np.cumsum(size) - size
-        ids = pool[np.repeat(starts[codes] - at, size) + np.arange(size.sum())]
-        edges = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
-        parts, lengths, apart = [], np.zeros(n, np.int64), np.flatnonzero(whole)
-        slow = {int(k): np.array(e.ids, np.uint32) for k, e in zip(apart, self.tokenizer.encode_batch([texts[int(k)].as_py() for k in apart], add_special_tokens=False), strict=True)} if len(apart) else {}
-        tail = np.array([end], np.uint32)
-        for k in range(n):
-            own = slow[k] if k in slow else ids[edges[k] : edges[k + 1]]
-            parts += [own, tail]
-            lengths[k] = len(own) + 1
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.concatenate([[0], np.cumsum(lengths)])
+        plain = pc.match_substring_regex(texts, PLAIN).to_numpy(zero_copy_only=False) if self.fast else np.zeros(len(texts), bool)
+        ids: list[int] = []
+        off = np.zeros(len(texts) + 1, np.int64)
+        for k, text in enumerate(texts.to_pylist()):
+            ids += self.fast.encode_ordinary(text) if plain[k] else self.slow.encode(text, add_special_tokens=False).ids
+            ids.append(end)
+            off[k + 1] = len(ids)
+        return np.array(ids, np.uint32), off
