@@ -1,11 +1,303 @@
-"""Queries over the standard tables and the SQL they are held against."""
+"""Queries over the standard tables and the SQL they are held against.
+
+The tables hold hardly any phone, identity card or passport numbers, so some inputs are made from numeric columns by
+the plain SQL below, which Spark and DuckDB both read. What is checked is written twice, natively and in SQL.
+"""
 
 from __future__ import annotations
 
+import datetime
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import constants as C
+from ..config import PiiConfig
+from ..functions import validators as V
+from ..functions.masks import Rewrite, fake, mask, mask_email
+from ..functions.spans import SPANS
+from ..functions.tokenize import keywords, tokens
+from ..operators.extraction import ListModel, with_extractions
+from ..operators.geometry import merge_adjacent, unite
+from ..operators.mosaic import STYLES
+from ..operators.resolve import by_priority
+from ..sources.images import to_png
+from ..sources.texts import entity_table, mosaic_table, split_requests
+from . import pipeline as P
+
+#: Inputs made from numbers.
+PHONES = """SELECT c_custkey, 'no ' || CASE c_custkey % 7 WHEN 0 THEN '+86' WHEN 1 THEN '0086' WHEN 2 THEN '12345' WHEN 3 THEN '+86 ' ELSE '' END || '1'
+ || CAST(c_custkey % 10 AS STRING) || '2' || CASE c_custkey % 5 WHEN 0 THEN '-' WHEN 1 THEN ' ' ELSE '' END || lpad(CAST(c_custkey % 9973 AS STRING), 4, '0')
+ || CASE c_custkey % 5 WHEN 0 THEN '-' ELSE '' END || lpad(CAST(c_custkey * 7 % 10000 AS STRING), 4, '0') || CASE WHEN c_custkey % 11 = 0 AND c_custkey % 5 > 1 THEN '99999' ELSE ' end' END AS text FROM customer"""
+IDS = """SELECT o_orderkey, CASE o_custkey % 5 WHEN 0 THEN '11' WHEN 1 THEN '31' WHEN 2 THEN '44' WHEN 3 THEN '65' ELSE '99' END || '0101' || CAST(1895 + o_custkey % 140 AS STRING)
+ || lpad(CAST(1 + o_orderkey % 13 AS STRING), 2, '0') || lpad(CAST(1 + o_orderkey % 31 AS STRING), 2, '0') || lpad(CAST(o_custkey % 1000 AS STRING), 3, '0') AS body,
+ CAST(o_orderkey % 11 AS INT) AS last FROM orders"""
+AS_OF = datetime.date(2025, 1, 1)
+#: 17 digits, then the check character in eight of eleven rows and some digit in the others.
+WITH_CHECK = """SELECT o_orderkey, body || CASE WHEN last < 8 THEN substr('10X98765432', CAST((7*CAST(substr(body,1,1) AS INT)+9*CAST(substr(body,2,1) AS INT)+10*CAST(substr(body,3,1) AS INT)+5*CAST(substr(body,4,1) AS INT)
+ +8*CAST(substr(body,5,1) AS INT)+4*CAST(substr(body,6,1) AS INT)+2*CAST(substr(body,7,1) AS INT)+1*CAST(substr(body,8,1) AS INT)+6*CAST(substr(body,9,1) AS INT)+3*CAST(substr(body,10,1) AS INT)+7*CAST(substr(body,11,1) AS INT)
+ +9*CAST(substr(body,12,1) AS INT)+10*CAST(substr(body,13,1) AS INT)+5*CAST(substr(body,14,1) AS INT)+8*CAST(substr(body,15,1) AS INT)+4*CAST(substr(body,16,1) AS INT)+2*CAST(substr(body,17,1) AS INT)) % 11 + 1 AS INT), 1)
+ ELSE CAST(last - 6 AS STRING) END AS value FROM (""" + IDS + ") AS made"
+PASSPORTS = """SELECT c_custkey, 'pass ' || CASE c_custkey % 6 WHEN 0 THEN 'E' WHEN 1 THEN 'EA' WHEN 2 THEN 'H' WHEN 3 THEN 'xE' WHEN 4 THEN '' ELSE 'AB' END || lpad(CAST(c_custkey * 31 % 100000000 AS STRING), 8, '1')
+ || CASE c_custkey % 4 WHEN 0 THEN '' ELSE ' ok' END AS text FROM customer"""
+SPAN_ROWS = """SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'CN_ID_CARD' WHEN 1 THEN 'CN_BANK_CARD' WHEN 2 THEN 'CN_PHONE_NUMBER' ELSE 'CN_EMAIL' END AS entity_type,
+ CAST(l_partkey % 40 AS INT) AS s, CAST(l_partkey % 40 + 3 + l_suppkey % 12 AS INT) AS e, l_quantity / 50.0 AS score FROM lineitem"""
+MAILS = "SELECT c_custkey, 'from u' || CAST(c_custkey AS STRING) || '@' || CASE c_custkey % 4 WHEN 0 THEN 'qq.com' WHEN 1 THEN 'Gmail.com' WHEN 2 THEN 'x..y.org' ELSE 'mail.example.org' END || ' to me' AS text FROM customer"
+TALK = "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '张三丰住在北京市朝阳区建国路' || CAST(c_custkey AS STRING) || '号，找张三丰' WHEN 1 THEN '持卡人张三丰' ELSE '李雷 and ' || CAST(c_custkey AS STRING) END AS text FROM customer"
+WORDS = ("heti", "erth", "ing")
+
+
+def _register(spark: SparkSession, sf_dir: str, *names: str) -> None:
+    for n in names:
+        spark.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)
+
+
+def _made(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+    _register(spark, sf_dir, *names)
+    return spark.sql(sql)
+
+
+def _docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _only(*entities: str, **changes) -> PiiConfig:
+    return PiiConfig(entities=entities, **changes)
+
+
+CARDS_AND_MAIL = (C.BANK_CARD, C.EMAIL)
+
+
+def text_anonymize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All types over all documents."""
+    return P.anonymize(_docs(spark, sf_dir)).select("doc_id", "anonymized_text", F.size("pii_entities").alias("n_entities"), F.to_json("pii_entities").alias("entities"))
+
+
+def text_anonymize_cards_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two types that the documents hold."""
+    return P.anonymize(_docs(spark, sf_dir), config=_only(*CARDS_AND_MAIL)).select("doc_id", "anonymized_text", F.size("pii_entities").cast("long").alias("n_entities"))
+
+
+def _spans(df: DataFrame, keys: list[str], config: PiiConfig) -> DataFrame:
+    rows = P.entity_rows(P.analyze(df, config=config), keys)
+    return rows.select(*keys, "entity_type", F.col("start").cast("long").alias("start_pos"), F.col("end").cast("long").alias("end_pos"), "score", F.col("text").alias("value"))
+
+
+def bank_card_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(_docs(spark, sf_dir), ["doc_id"], _only(C.BANK_CARD)).select("doc_id", "value", "score")
+
+
+def email_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(_docs(spark, sf_dir), ["doc_id"], _only(C.EMAIL))
+
+
+def email_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.anonymize(_docs(spark, sf_dir), config=_only(C.EMAIL)).select("doc_id", "anonymized_text")
+
+
+def email_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(_made(spark, sf_dir, MAILS, "customer"), ["c_custkey"], _only(C.EMAIL))
+
+
+def dedupe_then_anonymize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.anonymize_distinct(_docs(spark, sf_dir), config=_only(C.EMAIL)).select("doc_id", "anonymized_text")
+
+
+def phone_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(_made(spark, sf_dir, PHONES, "customer"), ["c_custkey"], _only(C.PHONE))
+
+
+def phone_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _made(spark, sf_dir, PHONES, "customer")
+    return rows.select("c_custkey", V.is_phone(F.regexp_replace("text", "[a-z ]", "")).alias("valid"))
+
+
+def id_card_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _made(spark, sf_dir, WITH_CHECK, "orders").select("o_orderkey", "value", V.is_id_card(F.col("value"), AS_OF).alias("valid"))
+
+
+def id_card_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _made(spark, sf_dir, WITH_CHECK, "orders").withColumn("text", F.concat(F.lit("证件"), F.substring("value", 1, 6), F.lit(" "), F.substring("value", 7, 12), F.lit("。")))
+    once = rows.select("o_orderkey", "text").dropDuplicates(["o_orderkey"])  # the made text is dear; the shuffle has it computed once
+    return _spans(once, ["o_orderkey"], _only(C.ID_CARD, as_of=AS_OF))
+
+
+def id_card_ocr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = (F.col("o_orderkey") % 17 + 1).cast("int")
+    rows = _made(spark, sf_dir, WITH_CHECK, "orders").where("value not like '%X'").select("o_orderkey", F.concat(F.substr("value", F.lit(1), at), F.lit("7"), F.substr(F.col("value"), at + 1, F.lit(18))).alias("text"))
+    found = P.analyze(rows, config=_only(C.ID_CARD, as_of=AS_OF))
+    return found.select("o_orderkey", (F.size("pii_spans") > 0).alias("repaired"), F.try_element_at("pii_spans", F.lit(1))["score"].alias("score"))
+
+
+def passport_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(_made(spark, sf_dir, PASSPORTS, "customer"), ["c_custkey"], _only(C.PASSPORT))
+
+
+def mask_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    value = F.substr(F.col("c_name"), F.lit(1), (key % 19).cast("int"))
+    return _docs(spark, sf_dir, "customer").select("c_custkey", mask(value, (key % 5).cast("int"), (key % 7).cast("int"), F.when(key % 2 == 0, "*").otherwise("#")).alias("masked"))
+
+
+def mask_email_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    value = F.concat(F.substr(F.lit("abcdef"), F.lit(1), (key % 5 + 1).cast("int")), F.lit("@"), F.when(key % 3 == 0, "host").when(key % 3 == 1, "a.b.cn").otherwise("example.com"))
+    return _docs(spark, sf_dir, "customer").select("c_custkey", mask_email(value, 2).alias("masked"))
+
+
+def _grouped_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _made(spark, sf_dir, SPAN_ROWS, "lineitem")
+    span = F.struct("l_linenumber", F.struct("entity_type", F.col("s").alias("start"), F.col("e").alias("end"), F.col("score").cast("double").alias("score"), F.col("l_linenumber").cast("string").alias("text")).alias("x"))
+    return rows.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(span)), lambda v: v["x"]).cast(SPANS).alias("spans"))
+
+
+def priority_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _grouped_spans(spark, sf_dir).select("l_orderkey", F.inline(by_priority(F.col("spans"))))
+    return kept.select("l_orderkey", F.col("text").cast("int").alias("l_linenumber"), "entity_type", "start", "end").withColumnsRenamed({"start": "start_pos", "end": "end_pos"})
+
+
+def threshold_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = PiiConfig(thresholds={C.ID_CARD: 0.9, C.BANK_CARD: 0.2, C.PHONE: 0.6})
+    kept = _grouped_spans(spark, sf_dir).select("l_orderkey", F.inline(P.thresholded(F.col("spans"), config)))
+    return kept.select("l_orderkey", F.col("text").cast("int").alias("l_linenumber"), "score")
+
+
+def explicit_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _grouped_spans(spark, sf_dir).select("l_orderkey", F.inline(P.thresholded(F.col("spans"), PiiConfig(score_threshold=0.5))))
+    return kept.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    allowed = tuple(f"u{i}@qq.com" for i in range(0, 200, 4))
+    return _spans(_made(spark, sf_dir, MAILS, "customer"), ["c_custkey"], _only(C.EMAIL, allow_list=allowed)).select("c_custkey", "value")
+
+
+def deny_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = P.entity_rows(P.analyze(_docs(spark, sf_dir), config=_only(C.NAME, name_deny_list=WORDS[:1])), ["doc_id"])
+    return rows.select("doc_id", F.col("start").cast("long").alias("start_pos"), F.col("end").cast("long").alias("end_pos"), "score")
+
+
+def name_address_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list stands in for the model; only where a value first occurs counts, and labels never reach the model."""
+    rows = with_extractions(_made(spark, sf_dir, TALK, "customer"), lambda: ListModel({"姓名": ["张三丰", "李雷"], "地址": ["北京市朝阳区建国路", "朝阳区"]}))
+    return _spans(rows, ["c_custkey"], _only(C.NAME, C.ADDRESS, ie_column="ie", name_allow_list=("李雷",)))
+
+
+def extraction_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _made(spark, sf_dir, TALK, "customer").select(F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("id"), "text")
+    others = _docs(spark, sf_dir, "conversations").select(F.concat_ws("-", F.lit("c"), "conv_id", "turn").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.unionByName(others).select("id", V.needs_extraction(F.col("text")).alias("wanted"))
+
+
+def tokenize_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokens(F.coalesce(F.col("text"), F.lit("")))
+    return _docs(spark, sf_dir).select("doc_id", F.size(found).cast("long").alias("n_tokens"), F.md5(F.array_join(found, " ")).alias("digest"))
+
+
+def keyword_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = keywords(tokens(F.coalesce(F.col("text"), F.lit(""))))
+    return _docs(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(found, " ").alias("keywords"))
+
+
+def context_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _made(spark, sf_dir, "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'email ' WHEN 1 THEN 'email one two three four five ' ELSE 'see ' END || 'u' || CAST(c_custkey AS STRING) || '@example.org' AS text FROM customer", "customer")
+    return _spans(rows, ["c_custkey"], _only(C.EMAIL, context_boost=True)).select("c_custkey", "score", "value")
+
+
+def stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(w,) for w in ("的", "好", "猫", "，", "-", "x", "zh", "en")], "word string")
+    return rows.select("word", V.is_stopword(F.col("word")).alias("stop"), V.is_punctuation(F.col("word")).alias("punct"), V.is_supported_language(F.col("word")).alias("language"))
+
+
+def pii_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.report(P.anonymize(_docs(spark, sf_dir), config=_only(*CARDS_AND_MAIL)), ["lang"])
+
+
+def pages_email_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.anonymize(_docs(spark, sf_dir, "pages"), "html", _only(C.EMAIL)).select("page_id", "anonymized_text")
+
+
+def fake_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fake values pass the checks of their types, and equal values stay equal."""
+    value = F.col("c_custkey").cast("string")
+    made = lambda e: fake(e, value, "salt")
+    checks = V.is_phone(made(C.PHONE)) & V.is_id_card(made(C.ID_CARD), AS_OF) & V.is_bank_card(made(C.BANK_CARD)) & V.is_passport(made(C.PASSPORT)) & V.is_email(made(C.EMAIL))
+    return _docs(spark, sf_dir, "customer").select("c_custkey", checks.alias("ok"), (fake("CN_OTHER", value) == value).alias("other_kept"))
+
+
+def other_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.col("c_name")
+    rule = lambda kind, **k: Rewrite(kind, **k).apply("CN_NAME", value)
+    return _docs(spark, sf_dir, "customer").select(
+        "c_custkey", rule("replace").alias("replaced"), rule("redact").alias("redacted"), rule("hash").alias("hashed"), rule("keep").alias("kept"),
+        rule("mask", chars_to_mask=4, from_end=True).alias("tail"), rule("custom", function=F.upper).alias("upper"),
+    )
+
+
+def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.col("text")).alias("text"), ((F.col("doc_id") % 12) / 10.0).alias("score_threshold"), (F.col("doc_id") % 5 - 1).alias("keep_prefix"))
+    good, bad = split_requests(rows)
+    return good.select("doc_id", F.lit(None).cast("string").alias("error")).unionByName(bad.select("doc_id", "error"))
+
+
+def supported_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_table(spark)
+
+
+def mosaic_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mosaic_table(spark).select("name")
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", (F.col("l_partkey") % 200).cast("int").alias("x"), (F.col("l_suppkey") % 60).cast("int").alias("y"), (F.col("l_quantity") + 5).cast("int").alias("w")).alias("b"))
+    return rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("b")).alias("boxes"))
+
+
+def ocr_merge_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("array<string>")
+    def merge(boxes):
+        return boxes.map(lambda bs: [f"{t}:{x},{y},{w},{h}" for t, x, y, w, h in merge_adjacent([(str(b["l_linenumber"]), b["x"], b["y"], b["w"], 12) for b in bs])])
+
+    return _boxes(spark, sf_dir).select("l_orderkey", F.explode(merge("boxes")).alias("box"))
+
+
+def bbox_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("array<array<int>>")
+    def merge(boxes):
+        return boxes.map(lambda bs: [list(a) for a in unite([(b["x"], b["y"], b["w"], 12) for b in bs])])
+
+    return _boxes(spark, sf_dir).select("l_orderkey", F.explode(merge("boxes")).alias("a")).select("l_orderkey", *[F.col("a")[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
+
+
+def mosaic_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each style on small made-up images, as PNG."""
+    import numpy as np
+
+    @F.pandas_udf("string")
+    def paint(key, style):
+        out = []
+        for k, s in zip(key, style, strict=True):
+            image = np.random.default_rng(int(k)).integers(0, 256, (40, 60, 3), dtype=np.uint8)
+            out.append(to_png(STYLES[s](image, (10, 5, 45, 30))).hex())
+        return __import__("pandas").Series(out)
+
+    keys = _docs(spark, sf_dir, "nation").select("n_nationkey").crossJoin(F.broadcast(mosaic_table(spark).select("name")))
+    return keys.select("n_nationkey", "name", F.md5(paint("n_nationkey", "name")).alias("digest"))
+
+
+_FUNCTIONS = (
+    text_anonymize, text_anonymize_cards_mail, bank_card_detect, email_detect, email_mask, email_rules, dedupe_then_anonymize, phone_detect, phone_validate, id_card_validate, id_card_detect, id_card_ocr_repair,
+    passport_detect, mask_generic, mask_email_cases, priority_resolve, threshold_filter, explicit_threshold, allow_list, deny_list, name_address_extraction, extraction_filter, tokenize_fallback, keyword_extraction,
+    context_boost, stop_words, pii_report, pages_email_mask, fake_replace, other_rewrites, request_validation, supported_entities, mosaic_styles, ocr_merge_adjacent, bbox_merge, mosaic_images,
+)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in _FUNCTIONS}
 
-def queries() -> dict:
-    return {}
 
+def oracle_sql() -> dict[str, str]:
+    from .oracle import ORACLES
 
-def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
