@@ -85,7 +85,6 @@ def with_ocr(images: DataFrame, make_engine: Callable[[], Engine], out: str = "o
     return images.withColumn(out, recognize("data", "height", "width", "n_channels"))
 
 
-@F.pandas_udf(f"array<{BOX}>")
 def _lines(boxes: pd.Series) -> pd.Series:
     names = ("text", "left", "top", "width", "height")
     return pd.Series([[dict(zip(names, b, strict=True)) for b in merge_adjacent([tuple(x[n] for n in names) for x in (bs if bs is not None else [])])] for bs in boxes])
@@ -95,7 +94,7 @@ def image_entities(images: DataFrame, key: str = "origin", config: PiiConfig | N
     """``images`` with the entities of its text lines (pii_entities). Allowed texts are whole lines; each line's text is
     analysed by itself and its whole box counts."""
     config = config or PiiConfig()
-    lines = images.select(key, F.posexplode(_lines(f"{ocr}.boxes")).alias("n", "b")).select(key, "n", "b.*")
+    lines = images.select(key, F.posexplode(F.pandas_udf(_lines, f"array<{BOX}>")(f"{ocr}.boxes")).alias("n", "b")).select(key, "n", "b.*")
     if config.allow_list:
         lines = lines.where(~F.col("text").isin(list(config.allow_list)))
     found = analyze(lines, "text", config.replace(allow_list=()))
