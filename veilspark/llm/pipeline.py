@@ -5,27 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, suffix_dedup
+from . import decontaminate, jaccard_orders, packing, quality_rules, suffix_dedup
+from .common import materialise
+from .queries import tokenizer_path
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the certified rules keep."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_rules.judge(docs, labels, carry=docs.columns + ["text"]).where("kept").select(*docs.columns)
+    return quality_rules.judge(docs, labels, carry=docs.columns).where("kept").select(*[F.col(f"row.{c}") for c in docs.columns])
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated passages. Where a removed span begins or ends inside a UTF-8 character, the rest of that
-    character goes too. Documents of which nothing is left go; n_chars follows the text."""
+    """Texts without repeated passages. Documents of which nothing is left go; n_chars follows the text."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    kept = suffix_dedup.remove_repeats(docs, carry=rest).where("length(kept) > 0 or n_removed = 0")
-    text = F.when(F.col("n_removed") > 0, F.decode(F.col("kept"), F.lit("utf-8"))).otherwise(F.decode(F.col("kept"), F.lit("utf-8")))
-    named = kept.select("doc_id", text.alias("text"), *[F.col(f"row.{c}").alias(c) for c in rest])
+    kept = suffix_dedup.remove_repeats(docs, carry=rest).where("length(kept_text) > 0 or n_removed = 0")
+    named = kept.select("doc_id", F.col("kept_text").alias("text"), *[F.col(f"row.{c}").alias(c) for c in rest])
     return named.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """One document of each class of near copies stays: the one with the least id. A row that repeats its id and text
+    goes too. Rows without an id stay if their class has no document with one."""
+    found = materialise(jaccard_orders.join_components(docs), "pipeline-classes")
+    repeated = not found.groupBy("doc_id", "text_crc32").count().where("count > 1").isEmpty()
+    heads = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("head"), "text_crc32").distinct()
+    crc = F.crc32(F.coalesce(docs["text"], F.lit("")))
+    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["head"]) & (crc == heads["text_crc32"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 
-decontaminate_stage = packing_stage = jaccard_stage
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences of 1024 tokens: where each piece of each document goes."""
+    return packing.pack(docs, tokenizer_path())

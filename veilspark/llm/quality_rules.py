@@ -100,12 +100,12 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def measures(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """The ``carry`` columns of ``docs``, the counts, the rules' measures and base_failed for every row."""
+    """A struct ``row`` of the ``carry`` columns, the counts, the rules' measures and base_failed for every row of ``docs``."""
     packed = docs.select(F.struct(*carry).alias("row"), "text")
     out = packed.mapInArrow(_measure, f"row {packed.schema['row'].dataType.simpleString()}, " + ", ".join(f"{k} long" for k in COUNTS))
     share = lambda part, whole: F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0)
     return out.select(
-        "row.*", *COUNTS, share("n_symbols", "n_words").alias("symbol_share"), share("n_shouts", "n_words").alias("shout_share"), share("n_upper", "word_chars").alias("upper_share"),
+        "row", *COUNTS, share("n_symbols", "n_words").alias("symbol_share"), share("n_shouts", "n_words").alias("shout_share"), share("n_upper", "word_chars").alias("upper_share"),
         share("n_dup_lines", "n_lines").alias("dup_line_share"), share("n_repeat_words", "n_words").alias("repeat_share"), share("n_twins", "n_words").alias("twin_share"),
         share("word_chars", "n_words").alias("mean_word_chars"), share("n_digits", "word_chars").alias("digit_share"),
         ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"),
@@ -170,12 +170,13 @@ def _rejected(prefix: str = "max_"):
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """stratum and a cutoff (or null) for each rule. ``measured`` has doc_id and the measures.
+    """stratum and a cutoff (or null) for each rule. ``measured`` is what :func:`measures` gives, with doc_id and the stratum.
 
     Labelled documents that fail the base rules are gone whatever the method says; they take no part.
     """
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    held = measured.where("not base_failed").join(good, "doc_id").withColumn("stratum", F.coalesce(F.col(stratum), F.lit("")))
+    known = measured.where("not base_failed").select("row.doc_id", F.coalesce(F.col("row")[stratum], F.lit("")).alias("stratum"), *LADDERS)
+    held = known.join(good, "doc_id")
     held = materialise(held.select("stratum", (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0).alias("first"), *LADDERS), "rule-holdout")
     tried = [F.sum((F.col(rule) > c).cast("long")).alias(f"{rule}_{i}") for rule, ladder in LADDERS.items() for i, c in enumerate(ladder)]
     seen = held.where("first").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *tried)
@@ -204,8 +205,11 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, alpha: float =
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", carry: list[str] | None = None, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """The ``carry`` columns, counts, measures, base_failed and kept for every row of ``docs``."""
-    carry = list(dict.fromkeys(["doc_id", stratum, *(carry or [])]))
+    """doc_id, counts, measures, base_failed, kept, and a struct ``row`` of the ``carry`` columns for every row of ``docs``.
+
+    Extra columns may have any names: they stay inside ``row``.
+    """
     chosen = cutoffs(measures(docs, ["doc_id", stratum]), labels, stratum, alpha, delta)
-    table = measures(docs, carry).withColumn("stratum", F.coalesce(F.col(stratum), F.lit("")))
-    return table.join(chosen, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~_rejected()).drop("stratum", "level", *[f"max_{k}" for k in LADDERS])
+    table = measures(docs, list(dict.fromkeys(["doc_id", stratum, *(carry or [])]))).withColumn("stratum", F.coalesce(F.col("row")[stratum], F.lit("")))
+    judged = table.join(chosen, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~_rejected())
+    return judged.select("row.doc_id", *COUNTS, *LADDERS, "base_failed", "kept", "row")
