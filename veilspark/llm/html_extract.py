@@ -156,15 +156,16 @@ def _streams(b: pa.RecordBatch) -> tuple[list[list[str]], np.ndarray, np.ndarray
     return pages, of_page[block] if len(block) else np.zeros(0, np.int64), block, keys
 
 
-def token_suffixes(page: np.ndarray, keys: np.ndarray, host: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(h, c, first token, end) of the suffixes of all pages: sort key, fingerprint, and the tokens that they cover."""
+def token_suffixes(page: np.ndarray, block: np.ndarray, keys: np.ndarray, host: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(h, c, first token, end) of the suffixes of all pages: sort key, fingerprint, and the tokens that they cover.
+    Windows keep within a block, so equal blocks have equal suffixes whatever stands around them."""
     n, w = len(keys), LENGTH - GRAM + 1
-    start = np.flatnonzero(page[LENGTH - 1 :] == page[: max(0, n - LENGTH + 1)]) if n >= LENGTH else np.zeros(0, np.int64)
+    start = np.flatnonzero(block[LENGTH - 1 :] == block[: max(0, n - LENGTH + 1)]) if n >= LENGTH else np.zeros(0, np.int64)
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), start, start
     gram, whole = mix(window_hashes(keys, GRAM), 1), window_hashes(keys, LENGTH)
     anchor = (_window_min((gram >> np.uint64(32) << np.uint64(32)) | np.arange(len(gram), dtype=np.uint64), w)[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(page[start], prepend=-1) != 0))
+    first = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(block[start], prepend=-1) != 0))
     last = np.append(first[1:], len(start)) - 1
     with np.errstate(over="ignore"):
         h = mix(gram[anchor[first]] + host[page[start[first]]], 2)
@@ -182,9 +183,9 @@ def _suffix_rows(splitters: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "html"):
-            _, page, _, keys = _streams(b)
+            _, page, block, keys = _streams(b)
             _, host = _hosts(b)
-            h, c, first, _ = token_suffixes(page, keys, host)
+            h, c, first, _ = token_suffixes(page, block, keys, host)
             if not len(h):
                 continue
             rows = np.unique(np.stack([h, c, page[first].astype(np.uint64)], axis=1), axis=0)
@@ -238,9 +239,9 @@ def boilerplate(pages: DataFrame) -> DataFrame:
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "html"):
-        _, page, _, keys = _streams(b)
+        _, page, block, keys = _streams(b)
         _, host = _hosts(b)
-        h, c, first, end = token_suffixes(page, keys, host)
+        h, c, first, end = token_suffixes(page, block, keys, host)
         begin = np.searchsorted(page, np.arange(b.num_rows))
         own = page[first]
         yield pa.RecordBatch.from_pydict({"h": signed(h), "c": signed(c), "id": column(b, "page_id").take(pa.array(own)), "tag": column(b, "tag").take(pa.array(own)), "first": (first - begin[own]).astype(np.int32), "end": (end - begin[own]).astype(np.int32)})
