@@ -106,10 +106,13 @@ class Tables:
         self.start, self.move, self.emit = start, move, emit.astype(np.float32)
 
 
-def _layout(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences by falling length, and how many of them have a token at each step."""
+def _layout(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences by falling length; tokens step by step over all sequences that reach a step; where each step begins."""
     order = np.argsort(-size, kind="stable")
-    return order, np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), side="left")
+    active = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), side="left")
+    begin = np.concatenate([[0], np.cumsum(active)])
+    step = np.repeat(np.arange(len(active)), active)
+    return order, first[order][np.arange(begin[-1]) - begin[step]] + step, begin
 
 
 def _pieces(off: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,30 +125,31 @@ def _pieces(off: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return first, np.minimum(most, off[1:][row] - first), row
 
 
-def expected_counts(t: Tables, symbols: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, transitions, the posterior of the states of each token, and the log-likelihood of all sequences."""
-    order, active = _layout(size)
-    first, states = first[order], len(t.start)
-    move = t.move.astype(np.float32)
-    alpha, scale = np.zeros((len(symbols), states), np.float32), np.ones(len(symbols), np.float32)
+def expected_counts(t: Tables, symbols: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts and transitions, the posterior of the states of each token, the tokens' symbols in the same
+    order, and the log-likelihood of all sequences."""
+    _, token, begin = _layout(first, size)
+    move, states = t.move.astype(np.float32), len(t.start)
+    symbols = symbols[token]
+    emit = t.emit[symbols]
+    post, scale = np.empty_like(emit), np.empty(len(symbols), np.float32)
     last = None
-    for step, k in enumerate(active):
-        at = first[:k] + step
-        now = (t.start.astype(np.float32) if last is None else last[:k] @ move) * t.emit[symbols[at]]
-        total = now.sum(axis=1)
-        last = now / total[:, None]
-        alpha[at], scale[at] = last, total
-    post, moves = alpha.copy(), np.zeros((states, states))
-    beta = np.ones((len(first), states), np.float32)
-    for step in range(len(active) - 2, -1, -1):
-        k = active[step + 1]
-        nxt = first[:k] + step + 1
-        back = beta[:k] * t.emit[symbols[nxt]] / scale[nxt][:, None]
-        moves += alpha[nxt - 1].T @ back
+    for a, b in zip(begin[:-1], begin[1:], strict=True):
+        now = np.multiply(emit[a:b], t.start.astype(np.float32) if last is None else last[: b - a] @ move, out=post[a:b])
+        np.sum(now, axis=1, out=scale[a:b])
+        now /= scale[a:b, None]
+        last = now
+    emit /= scale[:, None]
+    moves, beta = np.zeros((states, states)), np.ones((int(begin[1]) if len(begin) > 1 else 0, states), np.float32)
+    for a, b, before in zip(begin[-2:0:-1], begin[:1:-1], begin[-3::-1], strict=True):
+        k = b - a
+        back = beta[:k] * emit[a:b]
+        alpha = post[before : before + k]
+        moves += alpha.T @ back
         beta[:k] = back @ move.T
-        post[nxt - 1] = alpha[nxt - 1] * beta[:k]
-    starts = post[first].sum(axis=0) if len(first) else np.zeros(states)
-    return starts, moves * t.move, post, float(np.log(scale.astype(np.float64)).sum())
+        alpha *= beta[:k]
+    starts = post[: begin[1]].sum(axis=0) if len(begin) > 1 else np.zeros(states)
+    return starts, moves * t.move, post, symbols, float(np.log(scale.astype(np.float64)).sum())
 
 
 def _gather(model, total: int):
@@ -157,7 +161,7 @@ def _gather(model, total: int):
             raw, off = buffers(column(b, "seq"))
             symbols = raw.view("<u2").astype(np.int64)
             first, size, _ = _pieces(off // 2, SEGMENT)
-            starts, moves, post, _ = expected_counts(t, symbols, first, size)
+            starts, moves, post, symbols, _ = expected_counts(t, symbols, first, size)
             rest[0] += starts
             rest[1:] += moves
             for s in range(states):
@@ -202,12 +206,12 @@ def log_likelihood(t: Tables, symbols: np.ndarray, off: np.ndarray, segment: int
     size = np.diff(off)
     out = np.zeros(len(size))
     short = np.flatnonzero(size <= segment)
-    order, active = _layout(size[short])
-    first, last, sums = off[:-1][short][order], None, np.zeros(len(short))
-    for step, k in enumerate(active):
-        now = (t.start if last is None else last[:k] @ move) * emit[symbols[first[:k] + step]]
+    order, token, begin = _layout(off[:-1][short], size[short])
+    last, sums = None, np.zeros(len(short))
+    for a, b in zip(begin[:-1], begin[1:], strict=True):
+        now = (t.start if last is None else last[: b - a] @ move) * emit[symbols[token[a:b]]]
         total = now.sum(axis=1)
-        sums[:k] += np.log(total)
+        sums[: b - a] += np.log(total)
         last = now / total[:, None]
     out[short[order]] = sums
     long = np.flatnonzero(size > segment)
@@ -217,15 +221,14 @@ def log_likelihood(t: Tables, symbols: np.ndarray, off: np.ndarray, segment: int
     begin, length, of = _pieces(np.concatenate([[0], np.cumsum(size[long])]), segment)
     shift = (off[:-1][long] - np.concatenate([[0], np.cumsum(size[long])[:-1]]))[of]
     begin = begin + shift
-    order, active = _layout(length)
-    start = begin[order]
+    order, token, steps = _layout(begin, length)
     head = np.concatenate([[True], of[1:] != of[:-1]])[order]
-    rows = np.tile(np.eye(states), (len(start), 1, 1))
-    scale = np.zeros(len(start))
-    for step, k in enumerate(active):
-        e = emit[symbols[start[:k] + step]][:, None, :]
+    rows = np.tile(np.eye(states), (len(order), 1, 1))
+    scale = np.zeros(len(order))
+    for step, (a, b) in enumerate(zip(steps[:-1], steps[1:], strict=True)):
+        k = b - a
         now = rows[:k] @ move if step else np.where(head[:, None, None], t.start[None, None, :], rows[:k] @ move)
-        now = now * e
+        now = now * emit[symbols[token[a:b]]][:, None, :]
         total = now.max(axis=(1, 2))
         scale[:k] += np.log(total)
         rows[:k] = now / total[:, None, None]
@@ -269,7 +272,7 @@ def score(docs: DataFrame, held_out, states: int = STATES, rounds: int = ROUNDS)
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", held_out.alias("held_out"))
-    counts = materialise(word_counts(docs.where("not held_out")), "hmm-counts")
+    counts = materialise(word_counts(docs.where("not held_out")), "hmm-counts", tidy=True)
     size, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.where(F.col("k") != END).orderBy(F.desc("n"), "k").limit(SYMBOLS).toArrow()  # bounded
     keys = top.column("k").to_numpy().astype(np.int64).view(np.uint64)
@@ -284,7 +287,7 @@ def score(docs: DataFrame, held_out, states: int = STATES, rounds: int = ROUNDS)
     for c, (n, _) in classes.items():
         frequency[1 + SYMBOLS + c] = n
     made = docs.mapInArrow(_sequences(spark.sparkContext.broadcast(table)), f"rid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, seq binary, rare array<struct<k:long,cls:int>>")
-    made = materialise(made, "hmm-sequences")
+    made = materialise(made, "hmm-sequences", tidy=True)
     model = spark.sparkContext.broadcast(baum_welch(made.where("not held_out"), frequency, states, rounds))
     denominator = size + 0.1 * (distinct + 1)
     logs = spark.sparkContext.broadcast((np.log10((frequency + 0.1) / denominator), frequency > 0))
