@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -26,20 +28,26 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return it reread: lineage ends there, and a lost
-    executor costs no recomputation of what came before. Shuffle files of finished stages are let go."""
+    executor costs no recomputation of what came before. ``tidy``: let go of the shuffle files behind it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    release(spark)
+    if tidy:
+        release(spark)
     return out
 
 
 def release(spark: SparkSession) -> None:
-    """Let the context cleaner drop shuffle files nobody refers to; it acts when the JVM collects garbage."""
-    spark.sparkContext._jvm.System.gc()
+    """Let the context cleaner drop shuffle files that nobody refers to. It acts when the JVM collects garbage; the
+    last query is garbage once its listeners know of its end, and all of it only at a second collection."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def discard(df: DataFrame) -> None:

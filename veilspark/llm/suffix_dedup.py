@@ -10,7 +10,9 @@ sixteen starts a suffix. Each anchor stands for the run of neighbouring windows
 2. Each range is sorted by one column after the other (Spark's sort compares the key, then within equal keys the
    fingerprint, then the id) and read once, comparing neighbours; the state of one row crosses batch boundaries.
    Equal suffixes of a larger id are repeated. A suffix whose key occurs with several fingerprints is unsettled.
-3. Windows of unsettled suffixes (edges of shared passages, places of edits) are compared singly by 128-bit hashes.
+3. Unsettled suffixes (edges of shared passages, places of edits) whose anchor has half a window's further bytes on
+   either side in common with a suffix of the key in another text are compared window by window: their hashes (96 bits)
+   are dealt out, sorted, and read once like the suffixes.
 
 Within one slice only the least id of equal suffixes travels, the others are settled on the spot: a passage that a
 third of all documents share sends one row for each slice. Texts are never cut, and no key's rows meet in one list.
@@ -29,14 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, byte_values, column, materialise, mix, signed, slices, texts_of, window_hashes
+from .common import buffers, byte_values, column, discard, materialise, mix, signed, slices, texts_of, window_hashes
 
 #: Bytes of an anchor.
-GRAM = 20
+GRAM = 16
 #: Texts whose suffixes are sampled for the splitters, and splitters for each shuffle partition.
 SAMPLE_ROWS, RANGES = 128, 4
+#: Suffixes of a range that are compared at a time.
+BLOCK_ROWS = 200_000
 NULL_ID = 2**63 - 1
-SUFFIX = "h long, c long, id long, place long, count int"
+SUFFIX = "h long, c long, id long, place long"
 U32 = np.uint64(32)
 
 
@@ -54,9 +58,12 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
 def suffixes(raw: np.ndarray, off: np.ndarray, length: int) -> dict[str, np.ndarray]:
     """The anchors of all windows of texts that lie one after the other in ``raw`` (``off``: n+1 offsets).
 
-    h: sort key; c: fingerprint of what the windows cover; row: the text; start: first window in it; count: windows.
+    h: sort key; c: fingerprint of what the windows cover, with their number in the low six bits; row: the text;
+    start: first window in it; count: windows; sides: two 16-bit hashes, of the anchor with as many bytes before it as
+    half a window needs and with as many after it (0: the windows don't reach so far). Windows that are equal have one
+    of the two in common.
     """
-    keys = ("h", "c", "row", "start", "count")
+    keys = ("h", "c", "row", "start", "count", "sides")
     if len(raw) < length:
         return {k: np.zeros(0, np.uint64 if k in "hc" else np.int64) for k in keys}
     w = length - GRAM + 1
@@ -78,16 +85,22 @@ def suffixes(raw: np.ndarray, off: np.ndarray, length: int) -> dict[str, np.ndar
     lead = (raw[pos].astype(np.uint64) << np.uint64(56)) | (raw[pos + 1].astype(np.uint64) << np.uint64(48))
     with np.errstate(over="ignore"):
         c = mix(mix(whole[at[first]], 2) * np.uint64(3) + mix(whole[at[last]], 3) + mix((count * 64 + pos - at[first]).astype(np.uint64), 4), 5)
-    return {"h": lead | (gram[pos] >> np.uint64(16)), "c": c, "row": row[first], "start": at[first] - off[row[first]], "count": count}
+    c = (c << np.uint64(6)) | count.astype(np.uint64)
+    half = w // 2
+    longer = mix(window_hashes(values, GRAM + half), 6)
+    before, after = pos - half >= at[first], pos + GRAM + half <= at[last] + length
+    sides = [np.where(ok, (mix(longer[np.where(ok, x, 0)], seed) >> np.uint64(48)) | np.uint64(1), np.uint64(0)).astype(np.int64) for ok, x, seed in ((before, pos - half, 12), (after, pos, 13))]
+    return {"h": lead | (gram[pos] >> np.uint64(16)), "c": c, "row": row[first], "start": at[first] - off[row[first]], "count": count, "sides": (sides[0] << 16) | sides[1]}
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return column(batch, "id").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _places(start: np.ndarray, tag: np.ndarray) -> np.ndarray:
-    """Start in the high half, a tag of the text in the low one (it tells rows of equal ids apart)."""
-    return (start << 32) | tag
+def _places(start: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Start in the high half. The low half has the sides of a suffix; where ids repeat, a tag of the text instead,
+    which tells rows of equal ids apart."""
+    return (start << 32) | low
 
 
 def _merge(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,14 +118,14 @@ def _merge(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[head], start[head], np.maximum.reduceat(end + code * big, head) - code[head] * big
 
 
-def _deal(length: int, splitters: np.ndarray):
-    """Suffixes of each slice with the number of their range; what a slice settles by itself comes as spans (c is null)."""
+def _deal(length: int, splitters: np.ndarray, unique: bool):
+    """Suffixes of each slice with the number of their range; what a slice settles by itself comes as spans (c is null, h the number of windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             raw, off = buffers(texts_of(b))
             s = suffixes(raw, off, length)
-            ids, tags = _ids(b)[s["row"]], column(b, "tag").to_numpy(zero_copy_only=False)[s["row"]]
+            ids, low = _ids(b)[s["row"]], s["sides"] if unique else column(b, "tag").to_numpy(zero_copy_only=False)[s["row"]]
             order = np.lexsort((ids, s["c"], s["h"]))
             h, c, i = s["h"][order], s["c"][order], ids[order]
             head = np.ones(len(h), bool)
@@ -120,78 +133,109 @@ def _deal(length: int, splitters: np.ndarray):
             least = i[np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))] if len(h) else i
             local = (i != least)
             equal = ~head & ~local  # the same id again: it needs the same answer, so it travels too
-            go = order[head | equal]
+            go = np.sort(order[head | equal])  # neighbours of a text together: they compress better
             yield pa.RecordBatch.from_pydict({
                 "range": np.searchsorted(splitters, s["h"][go]).astype(np.int32), "h": signed(s["h"][go]), "c": signed(s["c"][go]), "id": ids[go],
-                "place": _places(s["start"][go], tags[go]), "count": s["count"][go].astype(np.int32)})
+                "place": _places(s["start"][go], low[go])})
             done = order[local]
             if len(done):
                 r, a, e = _merge(s["row"][done], s["start"][done], s["start"][done] + s["count"][done])
                 i, t = _ids(b)[r], column(b, "tag").to_numpy(zero_copy_only=False)[r]
                 yield pa.RecordBatch.from_pydict({
-                    "range": (r % (len(splitters) + 1)).astype(np.int32), "h": np.zeros(len(r), np.int64), "c": pa.nulls(len(r), pa.int64()), "id": i,
-                    "place": _places(a, t), "count": (e - a).astype(np.int32)})
+                    "range": (r % (len(splitters) + 1)).astype(np.int32), "h": e - a, "c": pa.nulls(len(r), pa.int64()), "id": i,
+                    "place": _places(a, t)})
 
     return run
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbours of a sorted range: spans that are settled (open is false), and suffixes to be looked at (open)."""
-    past = None  # (h, c, least id) of the last row
-    pending = None  # the first suffix of the last key, while that has one fingerprint only
+def _shared(key: np.ndarray, side: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether rows of another id have the same side under the same key."""
+    both = (key << 16) | side
+    order = np.lexsort((ids, both))
+    one, who = both[order], ids[order]
+    head = np.flatnonzero(np.append(True, one[1:] != one[:-1]))
+    tail = np.append(head[1:], len(one)) - 1
+    out = np.empty(len(key), bool)
+    out[order] = np.repeat(who[head] != who[tail], tail - head + 1)
+    return out & (side != 0)
 
-    def out(i, place, count, is_open):
-        return pa.RecordBatch.from_pydict({"id": i, "place": place, "count": count.astype(np.int32), "open": np.full(len(i), is_open)})
 
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(settled, h, c, id, place) of about ``size`` rows, cut between keys unless one key has more rows than that."""
+    held: list[tuple] = []
     for b in batches:
         if not b.num_rows:
             continue
-        ready = column(b, "c").is_null().to_numpy(zero_copy_only=False)
-        ids, place, count = _ids(b), column(b, "place").to_numpy(), column(b, "count").to_numpy()
-        if ready.any():
-            yield out(ids[ready], place[ready], count[ready], False)
-        keep = ~ready
-        if not keep.any():
-            continue
-        h = column(b, "h").to_numpy()[keep]
-        c = column(b, "c").to_numpy(zero_copy_only=False).astype(np.int64)[keep] if not ready.any() else np.array(column(b, "c").drop_null())
-        ids, place, count = ids[keep], place[keep], count[keep]
-        new_h = np.ones(len(h), bool)
-        new_h[1:] = h[1:] != h[:-1]
-        new_h[0] = past is None or past[0] != h[0]
-        new_c = new_h.copy()
-        new_c[1:] |= c[1:] != c[:-1]
-        new_c[0] |= past is not None and past[1] != c[0]
-        group = np.maximum.accumulate(np.where(new_c, np.arange(len(h)), -1))
-        least = np.where(group >= 0, ids[np.maximum(group, 0)], past[2] if past else 0)
-        later = ids > least
-        yield out(ids[later], place[later], count[later], False)
-        # the rows of the least id stand for their fingerprint
-        part = np.flatnonzero(~later)
-        key = np.cumsum(new_h)  # 0: the key of the batch before
-        n_keys = key[-1] + 1
-        kinds = np.zeros(n_keys, np.int64)
-        np.add.at(kinds, key[new_c], 1)
-        kinds[0] += past is not None and key[0] == 0
-        if pending is not None:
-            if key[0] == 0 and kinds[0] > 1:
+        c = column(b, "c")
+        held.append((c.is_null().to_numpy(zero_copy_only=False), column(b, "h").to_numpy(), c.fill_null(0).to_numpy(), _ids(b), column(b, "place").to_numpy()))
+        if sum(len(x[0]) for x in held) >= size:
+            block = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            turns = np.flatnonzero(np.diff(block[1])) + 1
+            cut = turns[-1] if len(turns) else len(block[1])
+            yield tuple(x[:cut] for x in block)
+            held = [tuple(x[cut:] for x in block)] if cut < len(block[1]) else []
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _compare(prune: bool):
+    """Neighbours of a sorted range: spans that are settled (open is false), and suffixes to be looked at (open)."""
+
+    def out(i, place, count, is_open):
+        return pa.RecordBatch.from_pydict({"id": i, "place": place, "count": count.astype(np.int32), "open": np.full(len(i), is_open)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        past = None  # (h, c, least id) of the last row
+        pending = None  # the first suffix of the last key, while that has one fingerprint only
+        for ready, h, c, ids, place in _blocks(batches, BLOCK_ROWS):
+            if ready.any():
+                yield out(ids[ready], place[ready], h[ready], False)
+                h, c, ids, place = (x[~ready] for x in (h, c, ids, place))
+            if not len(h):
+                continue
+            count = c & 63
+            new_h = np.ones(len(h), bool)
+            new_h[1:] = h[1:] != h[:-1]
+            new_h[0] = past is None or past[0] != h[0]
+            new_c = new_h.copy()
+            new_c[1:] |= c[1:] != c[:-1]
+            new_c[0] |= past is not None and past[1] != c[0]
+            group = np.maximum.accumulate(np.where(new_c, np.arange(len(h)), -1))
+            least = np.where(group >= 0, ids[np.maximum(group, 0)], past[2] if past else 0)
+            later = ids > least
+            yield out(ids[later], place[later], count[later], False)
+            # the rows of the least id stand for their fingerprint
+            part = np.flatnonzero(~later)
+            key = np.cumsum(new_h)  # 0: the key of the block before
+            last = key[-1]
+            kinds = np.zeros(last + 1, np.int64)
+            np.add.at(kinds, key[new_c], 1)
+            kinds[0] += past is not None and key[0] == 0
+            if pending is not None and key[0] == 0 and kinds[0] > 1:
                 yield out(*pending, True)
-            if key[0] != 0 or kinds[0] > 1:
+            if pending is not None and (key[0] != 0 or kinds[0] > 1):
                 pending = None
-        many = part[kinds[key[part]] > 1]
-        if len(many):
-            yield out(ids[many], place[many], count[many], True)
-        end = part[(key[part] == n_keys - 1) & (kinds[key[part]] <= 1)]
-        if n_keys > 1 or key[0] != 0:
-            pending = None
-        if len(end):
-            now = (ids[end], place[end], count[end])
-            pending = now if pending is None else tuple(np.concatenate(x) for x in zip(pending, now, strict=True))
-        past = (h[-1], c[-1], least[-1])
+            many = part[kinds[key[part]] > 1]
+            if prune and len(many):
+                low = place[many] & 0xFFFFFFFF
+                partial = (key[many] == 0) | (new_h.sum() <= 1)  # a key that goes beyond this block stays whole
+                many = many[partial | _shared(key[many], low >> 16, ids[many]) | _shared(key[many], low & 0xFFFF, ids[many])]
+            if len(many):
+                yield out(ids[many], place[many], count[many], True)
+            end = part[(key[part] == last) & (kinds[last] <= 1)]
+            if len(end):
+                now = (ids[end], place[end], count[end])
+                pending = now if pending is None or key[0] != 0 or last > 0 else tuple(np.concatenate(x) for x in zip(pending, now, strict=True))
+            elif last > 0:
+                pending = None
+            past = (h[-1], c[-1], least[-1])
+
+    return run
 
 
 def _windows(length: int):
-    """128-bit hashes of the windows of unsettled suffixes."""
+    """Hashes (96 bits) of the windows of unsettled suffixes. Of equal ones in a slice those of the least id travel; the
+    others are settled and come as spans (count is their length in windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -204,15 +248,48 @@ def _windows(length: int):
                 continue
             at = np.repeat(starts + off[row], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             rows = np.repeat(row, counts)
-            one = mix(window_hashes(byte_values(raw), length)[at], 8)
-            two = mix(window_hashes(byte_values(raw, True), length)[at], 9)
+            w = signed(mix(window_hashes(byte_values(raw), length)[at], 8))
+            v = (mix(window_hashes(byte_values(raw, True), length)[at], 9) >> U32).astype(np.uint32).view(np.int32)
             ids, tags = _ids(b), column(b, "tag").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_pydict({"w1": signed(one), "w2": signed(two), "id": ids[rows], "place": _places(at - off[rows], tags[rows])})
+            order = np.lexsort((ids[rows], v, w))
+            head = np.ones(len(order), bool)
+            head[1:] = (w[order][1:] != w[order][:-1]) | (v[order][1:] != v[order][:-1])
+            own = ids[rows][order]
+            least = own == own[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+            go = np.sort(order[least])
+            yield pa.RecordBatch.from_pydict({"w": w[go], "v": v[go], "id": ids[rows[go]], "place": _places(at[go] - off[rows[go]], tags[rows[go]]), "count": np.zeros(len(go), np.int32)})
+            done = order[~least]
+            if len(done):
+                r, a, e = _merge(rows[done], at[done], at[done] + 1)
+                yield pa.RecordBatch.from_pydict({"w": signed(mix(a.astype(np.uint64), 10)), "v": np.zeros(len(r), np.int32), "id": ids[r], "place": _places(a - off[r], tags[r]), "count": (e - a).astype(np.int32)})
 
     return run
 
 
-def _kept(length: int):
+def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted windows those whose id isn't the least of their equals; the last row's state crosses batches."""
+    past = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        w, v, ids, place, count = (column(b, k).to_numpy() for k in ("w", "v", "id", "place", "count"))
+        ready = count > 0
+        if ready.any():
+            yield pa.RecordBatch.from_pydict({"id": ids[ready], "place": place[ready], "count": count[ready]})
+            w, v, ids, place = (x[~ready] for x in (w, v, ids, place))
+        if not len(w):
+            continue
+        head = np.ones(len(w), bool)
+        head[1:] = (w[1:] != w[:-1]) | (v[1:] != v[:-1])
+        head[0] = past is None or past[:2] != (w[0], v[0])
+        group = np.maximum.accumulate(np.where(head, np.arange(len(w)), -1))
+        first = np.where(group >= 0, ids[np.maximum(group, 0)], past[2] if past else 0)
+        late = ids > first
+        yield pa.RecordBatch.from_pydict({"id": ids[late], "place": place[late], "count": np.ones(int(late.sum()), np.int32)})
+        past = (w[-1], v[-1], first[-1])
+
+
+def _kept(length: int, with_text: bool):
     """Apply spans to the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +310,8 @@ def _kept(length: int):
                     removed[k] += e - a
                 kept.append(b"".join([*parts, text[last:].tobytes()]))
             yield pa.RecordBatch.from_pydict({
-                "doc_id": column(b, "doc_id"), "n_bytes": np.diff(off), "n_removed": removed, "n_spans": spans.astype(np.int64), "kept": pa.array(kept, pa.binary()),
+                "doc_id": column(b, "doc_id"), "n_bytes": np.diff(off), "n_removed": removed, "n_spans": spans.astype(np.int64),
+                "kept_text": pa.array([x.decode("utf-8", "ignore") for x in kept] if with_text else [None] * len(kept), pa.string()),
                 "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), "row": column(b, "row")})
 
     return run
@@ -248,36 +326,39 @@ def _splitters(docs: DataFrame, length: int, n: int) -> np.ndarray:
     return np.unique(h[np.linspace(0, len(h) - 1, n + 1).astype(np.int64)[1:-1]]) if len(h) else np.zeros(0, np.uint64)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256 for each row of ``docs`` (doc_id, text).
+def remove_repeats(docs: DataFrame, length: int = 50, carry: list[str] | None = None, with_text: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_text, kept_sha256 for each row of ``docs`` (doc_id, text).
 
-    ``carry``: names of further columns to hand on, in a struct column ``row``.
+    kept_sha256 is of the remaining bytes. kept_text is what they say; where a removed span began or ended inside a
+    UTF-8 character, the rest of that character is left out of it. ``carry``: names of further columns to hand on, in
+    a struct column ``row``.
     """
     spark = docs.sparkSession
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} or more")
     text = F.coalesce(F.col("text"), F.lit(""))
+    unique = docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     keyed = docs.select(
         "doc_id", F.col("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"),
-        F.crc32(text).alias("tag"), F.struct(*[F.col(c) for c in carry] if carry else [F.lit(0).alias("none")]).alias("row"),
+        (F.lit(0).cast("long") if unique else F.crc32(text)).alias("tag"), F.struct(*[F.col(c) for c in carry] if carry else [F.lit(0).alias("none")]).alias("row"),
     )
     plain = keyed.select("text", "id", "tag")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = plain.mapInArrow(_deal(length, _splitters(docs, length, RANGES * parts)), f"range int, {SUFFIX}")
+    dealt = plain.mapInArrow(_deal(length, _splitters(docs, length, RANGES * parts), unique), f"range int, {SUFFIX}")
     ordered = dealt.repartition(parts, "range").sortWithinPartitions("h", "c", "id").drop("range")
-    seen = materialise(ordered.mapInArrow(_compare, "id long, place long, count int, open boolean"), "suffix-runs")
-    by_text = (F.col("id"), F.shiftright("place", 32).cast("int").alias("start"), F.col("place").bitwiseAND(2**32 - 1).alias("tag"))
+    seen = materialise(ordered.mapInArrow(_compare(unique), "id long, place long, count int, open boolean"), "suffix-runs", tidy=True)
+    by_text = (F.col("id"), F.shiftright("place", 32).cast("int").alias("start"), (F.lit(0).cast("long") if unique else F.col("place").bitwiseAND(2**32 - 1)).alias("tag"))
 
     def per_text(spans: DataFrame, name: str) -> DataFrame:
         return spans.select(*by_text, "count").groupBy("id", "tag").agg(F.collect_list(F.struct("start", "count")).alias(name))
 
     asked = per_text(seen.where("open"), "asked")
-    windows = plain.join(asked, ["id", "tag"]).mapInArrow(_windows(length), "w1 long, w2 long, id long, place long")
-    windows = materialise(windows, "suffix-windows")
-    least = windows.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-    late = windows.join(least, ["w1", "w2"]).where("id > least").select("id", "place", F.lit(1).alias("count"))
-    found = per_text(seen.where("not open").select("id", "place", "count").unionByName(late), "found")
+    windows = plain.join(asked, ["id", "tag"]).mapInArrow(_windows(length), "w long, v int, id long, place long, count int")
+    late = windows.repartition(parts, "w").sortWithinPartitions("w", "v", "id").mapInArrow(_least, "id long, place long, count int")
+    spans = materialise(seen.where("not open").select("id", "place", "count").unionByName(late), "suffix-spans", tidy=True)
+    discard(seen)
+    found = per_text(spans, "found")
     none = F.array().cast("array<struct<start:int,count:int>>")
     whole = keyed.join(found, ["id", "tag"], "left").withColumn("found", F.coalesce("found", none))
     row = whole.schema["row"].dataType.simpleString()
-    return whole.mapInArrow(_kept(length), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, row {row}")
+    return whole.mapInArrow(_kept(length, with_text), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_text string, kept_sha256 string, row {row}")
