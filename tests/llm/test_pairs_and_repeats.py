@@ -1,6 +1,7 @@
 import random
 
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -47,8 +48,11 @@ def test_jaccard_components(odd_docs, odd_rows, no_docs):
     assert jaccard_orders.join_components(no_docs).count() == 0
 
 
-def test_jaccard_finds_links_that_stars_miss(spark):
-    """Chains of sets near the limit, with a passage that all share."""
+@pytest.mark.parametrize("crowd", [1, 64])
+def test_jaccard_finds_links_that_stars_miss(spark, monkeypatch, crowd):
+    """Chains of sets near the limit, with a passage that all share; with all pairs made in blocks, and with none."""
+    monkeypatch.setattr(jaccard_orders, "CROWD", crowd)
+    monkeypatch.setattr(jaccard_orders, "CROWD_BYTES", 3000)
     rng = random.Random(4)
     passage = sentence(rng, 40)
     rows, k = [], 0

@@ -5,16 +5,19 @@ Two sets link when 100 * intersection >= 75 * union. Under any global order of t
 their first n - ceil(0.75 n) + 1. So a candidate must share such a prefix token under each of several orders.
 
 1. Equal sets become one node; copies need no pairs.
-2. Stars: nodes with the same first token under one of ``STARS`` orders are compared with the least node among them.
+2. Stars: nodes with the same first token under one of ``STARS`` orders are compared with one of them, the one that
+   shares first tokens with most others (of a group of edited copies that is the original, or nearly so).
    Components of the verified links hold most near copies, at one comparison each instead of one for each pair.
-3. The rest: prefix tokens under an order that puts rare tokens first. Tokens all of whose nodes are in one component
-   can add nothing and go. Nodes of different components that share a token, with sizes and ranks that allow a link
-   (position filter), are candidates; those whose prefixes under the further orders don't meet are dropped, and the
-   others are verified on whole sets. Links of both steps give the components.
+3. The rest. Prefix tokens under a hash order show which tokens are popular, that is shared by several components.
+   The orders that count put popular tokens last (the more popular the later), so shared passages hardly enter a
+   prefix. Tokens all of whose nodes are in one component can add nothing and go. Nodes of different components that
+   share a token, with sizes and ranks that allow a link (position filter), are candidates; those whose prefixes under
+   the further orders don't meet are dropped, and the others are verified on whole sets. Nodes of tokens with more than
+   ``CROWD`` nodes (large groups of texts just below the limit) are compared block by block inside tasks instead.
 
-No link between different components is lost, no list of partners is capped, and nothing of a group is collected.
-How rare a token is comes from a table of ``BUCKETS`` counters over all documents, of fixed size; it only shapes the
-order, any order is exact. Tokens are 64-bit fingerprints.
+Links of both steps give the components. No link between different components is lost, no list of partners is capped,
+and nothing of a group is collected. The table of popular tokens is cut off at ``POPULAR`` rows so that it can be
+broadcast; it only shapes the orders, and under any order the result is the same. Tokens are 64-bit fingerprints.
 
 Null and empty texts have no shingles, link with nothing and are their own component. Rows with a null id take part;
 they never name a component (a component of nothing but such rows has a null id). Repeated ids are separate documents.
@@ -29,16 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialise, mix, signed, slices, split_words, texts_of, window_hashes, word_hashes
+from .common import column, discard, materialise, mix, signed, slices, split_words, texts_of, window_hashes, word_hashes
 from .graph import components
 
 SHINGLE = 5
 #: Orders whose first token makes a star, and seeds of the further orders of the prefix filter.
-STARS = 8
+STARS = 16
 ORDERS = (41, 42, 43)
-#: Counters for the frequency of tokens; 8 bytes each.
-BUCKETS = 1 << 18
+#: Rows of the table of popular tokens (16 bytes each).
+POPULAR = 1_000_000
 NULL_ID = 2**63 - 1
+#: Bytes of the texts of a block of nodes, and partners of a node that are compared at a time.
+BLOCK_BYTES, CHUNK = 4 << 20, 2000
+#: Nodes of a token beyond which its pairs are made inside tasks only, and bytes of a block of such nodes.
+CROWD, CROWD_BYTES = 64, 1 << 20
 #: Token tables up to so many rows (8 bytes each) are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
 TOP = np.uint64(56)
@@ -95,48 +102,39 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"doc_id": column(b, "doc_id"), "id": column(b, "id"), "tag": column(b, "tag"), "n": size.astype(np.int32), **out, "mins": lists})
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(BUCKETS, np.int64)
-    for b in slices(batches, "text"):
-        _, tokens = shingle_sets(texts_of(b))
-        counts += np.bincount((tokens >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS)
-    part = BUCKETS // 64
-    yield pa.RecordBatch.from_pydict({"part": np.arange(64, dtype=np.int32), "counts": [counts[k * part : (k + 1) * part].astype("<i8").tobytes() for k in range(64)]})
-
-
-def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for b in batches:
-        for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            sums[k] = sums.get(k, 0) + np.frombuffer(x, "<i8")
-    yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "counts": pa.array([v.astype("<i8").tobytes() for v in sums.values()], pa.binary())})
+class Order:
+    """Global orders of tokens: those that aren't popular first, then by popularity; each seed breaks ties its own way."""
 
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
+        order = np.argsort(tokens)
+        self.tokens = tokens[order]
+        self.levels = np.concatenate([1 + np.log2(counts[order].astype(float)), [0]]).astype(np.uint64)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.tokens >> np.uint64(44)] = True
 
-def frequency_levels(docs: DataFrame) -> np.ndarray:
-    """Logarithm of the count of each bucket of tokens, over all documents; a fixed 256 kB."""
-    parts = docs.select("text").mapInArrow(_frequencies, "part int, counts binary").repartition(64, "part").mapInArrow(_sum_parts, "part int, counts binary")
-    rows = sorted(parts.collect())  # 64 parts of fixed size
-    counts = np.concatenate([np.frombuffer(r["counts"], "<i8") for r in rows]) if rows else np.zeros(BUCKETS, np.int64)
-    return np.log2(counts + 1).astype(np.uint8)
+    def keys(self, tokens: np.ndarray, seed: int) -> np.ndarray:
+        level = np.zeros(len(tokens), np.uint64)
+        at = np.flatnonzero(self.maybe[tokens >> np.uint64(44)])
+        if len(at):
+            k = np.searchsorted(self.tokens, tokens[at])
+            same = self.tokens[np.minimum(k, len(self.tokens) - 1)] == tokens[at]
+            level[at] = np.where(same, self.levels[k], 0)
+        return (level << TOP) | (mix(tokens, seed) >> np.uint64(8))
 
 
-def _order_keys(tokens: np.ndarray, levels: np.ndarray, seed: int) -> np.ndarray:
-    """Place of tokens in a global order: rarer buckets first, then by a hash that differs for each order."""
-    level = levels[(tokens >> np.uint64(40)).astype(np.int64) % BUCKETS].astype(np.uint64)
-    return (level << TOP) | (mix(tokens, seed) >> np.uint64(8))
+def _prefixes(order_by, percent: int):
+    """The prefix of each set under the first order, in that order."""
 
-
-def _prefixes(levels, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             rows, tokens = shingle_sets(texts_of(b))
             size, first = _ends(rows, b.num_rows)
-            key = _order_keys(tokens, levels.value, ORDERS[0])
+            key = order_by.value.keys(tokens, ORDERS[0])
             order = np.lexsort((key, rows))
             rank = np.arange(len(rows)) - first[rows]
             chosen = rank < prefix_size(size, percent)[rows]
             count = np.bincount(rows[chosen], minlength=b.num_rows)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *count]).astype(np.int32)), pa.array(signed(key[order][chosen])))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *count]).astype(np.int32)), pa.array(signed(tokens[order][chosen])))
             with np.errstate(over="ignore"):
                 s = np.zeros((2, b.num_rows), np.uint64)
                 full = np.flatnonzero(size)
@@ -147,50 +145,121 @@ def _prefixes(levels, percent: int):
     return run
 
 
-def _meet(rows_a: np.ndarray, a: np.ndarray, rows_b: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Size of the intersection of the two sets of each row."""
-    rows, values = np.concatenate([rows_a, rows_b]), np.concatenate([a, b])
-    order = np.lexsort((values, rows))
-    rows, values = rows[order], values[order]
-    same = (rows[1:] == rows[:-1]) & (values[1:] == values[:-1])
-    return np.bincount(rows[1:][same], minlength=n)
+def _verify(order_by, percent: int):
+    """Pairs (a, b) of a group that link, from the texts of its nodes. With an order, prefixes under all further orders
+    must meet before whole sets are compared."""
 
+    def run(key: tuple, pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        sets: dict[int, list[np.ndarray]] = {}
+        for b in slices(iter(texts.combine_chunks().to_batches()), "text"):
+            rows, tokens = shingle_sets(texts_of(b))
+            size, first = _ends(rows, b.num_rows)
+            views = [tokens]
+            for seed in ORDERS[1:] if order_by else ():
+                key_of = order_by.value.keys(tokens, seed)
+                order = np.lexsort((key_of, rows))
+                views.append((tokens[order], prefix_size(size, percent)))
+            for k, node in enumerate(column(b, "node").to_pylist()):
+                own = slice(first[k], first[k] + size[k])
+                sets[node] = [tokens[own].copy(), *[t[first[k] : first[k] + p[k]].copy() for t, p in views[1:]]]
+        a, b = (pairs.column(c).to_numpy() for c in "ab")
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        linked = np.zeros(len(a), bool)
+        cut = [*np.flatnonzero(np.diff(a, prepend=a[0] - 1 if len(a) else 0)), len(a)]
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            mine = sets.get(a[i])
+            for k in range(i, j, CHUNK):
+                others = [sets.get(x) for x in b[k : min(j, k + CHUNK)]]
+                live = np.array([mine is not None and x is not None for x in others])
+                for view in range(len(mine) - 1 if mine else 0, -1, -1):
+                    at = np.flatnonzero(live)
+                    if not len(at):
+                        break
+                    size = np.array([len(others[x][view]) for x in at])
+                    flat = np.concatenate([others[x][view] for x in at])
+                    known = mine[view] if view == 0 else np.sort(mine[view])
+                    place = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                    both = np.add.reduceat((known[place] == flat).astype(np.int64), np.cumsum(size) - size)
+                    live[at] = both > 0 if view else 100 * both >= percent * (len(known) + size - both)
+                linked[k : min(j, k + CHUNK)] = live
+        return pa.table({"a": pa.array(a[linked]), "b": pa.array(b[linked])})
 
-def _verify(levels, percent: int):
-    """Pairs of texts that link. With levels, prefixes under all orders must meet before whole sets are compared."""
+    return run
 
-    def prefix(rows, tokens, n, seed):
-        size, first = _ends(rows, n)
-        key = _order_keys(tokens, levels.value, seed)
-        order = np.lexsort((key, rows))
-        chosen = np.arange(len(rows)) - first[rows] < prefix_size(size, percent)[rows]
-        return rows[chosen], key[order][chosen]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in slices(batches, "text_a"):
-            for b in slices(iter([big]), "text_b"):
-                n = b.num_rows
-                ra, ta = shingle_sets(texts_of(b, "text_a"))
-                rb, tb = shingle_sets(texts_of(b, "text_b"))
-                live = np.ones(n, bool)
-                for seed in ORDERS[1:] if levels else ():
-                    live &= _meet(*prefix(ra, ta, n, seed), *prefix(rb, tb, n, seed), n) > 0
-                keep_a, keep_b = live[ra], live[rb]
-                both = _meet(ra[keep_a], ta[keep_a], rb[keep_b], tb[keep_b], n)
-                union = np.bincount(ra, minlength=n) + np.bincount(rb, minlength=n) - both
-                linked = live & (100 * both >= percent * union) & (both > 0)
-                yield pa.RecordBatch.from_arrays([column(b, "a"), column(b, "b")], names=["a", "b"]).filter(pa.array(linked))
+def _crowd(order_by, percent: int):
+    """Links among the nodes of two blocks of a crowd (of one, if they are the same), from their texts. Prefixes under all
+    orders must meet; then whole sets are compared. Pairs exist only here, as rows of an array of counts."""
+
+    def run(key: tuple, nodes: pa.Table) -> pa.Table:
+        x, y = key[1].as_py(), key[2].as_py()
+        node, own, component = (nodes.column(c).to_numpy() for c in ("node", "own", "component"))
+        texts = nodes.column("text").combine_chunks()
+        rows, tokens = shingle_sets((pa.chunked_array([texts]) if isinstance(texts, pa.Array) else texts).combine_chunks().fill_null(""))
+        n = len(node)
+        size, first = _ends(rows, n)
+        dense, code = np.unique(tokens, return_inverse=True)
+        views = []
+        for seed in ORDERS:
+            order = np.lexsort((order_by.value.keys(tokens, seed), rows))
+            chosen = np.arange(len(rows)) - first[rows] < prefix_size(size, percent)[rows]
+            views.append((code[order][chosen], np.concatenate([[0], np.cumsum(np.bincount(rows[chosen], minlength=n))])))
+        views.append((code, np.concatenate([[0], np.cumsum(size)])))
+        flags, a, b = np.zeros(len(dense), np.int32), [], []
+        for i in np.flatnonzero(own == x):
+            live = (own == y) & (component != component[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+            if x == y:
+                live[: i + 1] = False
+            for k, (flat, cut) in enumerate(views):
+                if not live.any():
+                    break
+                mine = flat[cut[i] : cut[i + 1]]
+                flags[mine] = 1
+                both = np.add.reduceat(flags[flat], cut[:-1])
+                flags[mine] = 0
+                live &= both > 0 if k < len(ORDERS) else 100 * both >= percent * (size + size[i] - both)
+            partners = node[live]
+            a.append(np.minimum(partners, node[i]))
+            b.append(np.maximum(partners, node[i]))
+        none = np.zeros(0, np.int64)
+        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
 
     return run
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, repeated: bool, levels=None) -> DataFrame:
-    """The pairs (a, b) of nodes that link, verified on whole texts. ``repeated``: whole rows may occur twice."""
+def _crowd_links(listed: DataFrame, crowded: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, repeated: bool, order_by) -> DataFrame:
+    """Links among nodes that share a crowded token. Nodes that crowded tokens connect are one crowd; its nodes fall into
+    blocks of about ``CROWD_BYTES`` of text and each two blocks are one task, so no list of pairs is ever written."""
+    members = listed.join(crowded, "t", "left_semi")
+    heads = members.groupBy("t").agg(F.min("node").alias("a"))
+    crowds = components(members.join(heads, "t").select("a", F.col("node").alias("b")).distinct())
+    found = docs.join(nodes.select("node", "id", "tag").join(crowds.select("node"), "node", "left_semi"), ["id", "tag"]).select("node", "text")
+    texts = materialise(found.dropDuplicates(["node"]) if repeated else found, "jaccard-texts", tidy=True)
+    placed = crowds.withColumnRenamed("component", "crowd").join(members.select("node", "component").distinct(), "node").join(texts, "node")
+    sizes = placed.groupBy("crowd").agg(F.ceil(F.sum(F.octet_length("text")) / F.lit(CROWD_BYTES)).cast("int").alias("blocks"))
+    blocked = placed.join(sizes, "crowd").withColumn("own", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).cast("int"))
+    dealt = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)))
+    dealt = dealt.select("crowd", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "own", "component", "text")
+    return materialise(dealt.groupBy("crowd", "x", "y").applyInArrow(_crowd(order_by, percent), "a long, b long").distinct(), "jaccard-links", tidy=True)
+
+
+def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, repeated: bool, order_by=None) -> DataFrame:
+    """The pairs (a, b) of nodes that link, verified on whole texts. Nodes fall into blocks of about ``BLOCK_BYTES`` of
+    text, and a task compares the pairs of two blocks: a text is sent once for each block that it has partners in, not
+    once for each partner. ``repeated``: whole rows may occur twice."""
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "id", "tag")
-    texts = materialise((lambda x: x.dropDuplicates(["node"]) if repeated else x)(docs.join(need, ["id", "tag"]).select("node", "text")), "jaccard-texts")
-    one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    two = one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    return materialise(two.mapInArrow(_verify(levels, percent), "a long, b long").distinct(), "jaccard-links")
+    texts = materialise((lambda x: x.dropDuplicates(["node"]) if repeated else x)(docs.join(need, ["id", "tag"]).select("node", "text")), "jaccard-texts", tidy=True)
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).alias("x" if c == "a" else "y")
+    placed = pairs.select("a", "b", block("a"), block("b"))
+    wanted = placed.select(F.col("a").alias("node"), "x", "y").union(placed.select("b", "x", "y")).distinct()
+    ready = texts.join(wanted, "node").select(F.col("x").alias("to_x"), F.col("y").alias("to_y"), "node", "text")
+    found = placed.groupBy("x", "y").cogroup(ready.groupBy("to_x", "to_y")).applyInArrow(_verify(order_by, percent), "a long, b long")
+    found = materialise(found.distinct(), "jaccard-links", tidy=True)
+    discard(texts)
+    return found
 
 
 def join_components(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -207,28 +276,48 @@ def join_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     nodes = materialise(named.select("node", "s1", "s2", "n", "least", "rep.id", "rep.tag", "mins"), "jaccard-nodes")
 
     stars = nodes.select("node", "n", F.posexplode("mins").alias("k", "m"))
-    hubs = stars.groupBy("k", "m").agg(F.min_by("node", "node").alias("a"), F.count(F.lit(1)).alias("c"), F.min_by("n", "node").alias("n_a")).where("c > 1").drop("c")
-    pairs = stars.join(hubs, ["k", "m"]).where("a < node").where(100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))
-    pairs = materialise(pairs.select("a", F.col("node").alias("b")).distinct(), "jaccard-stars")
+    held_by = stars.groupBy("k", "m").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared_firsts = materialise(stars.join(held_by, ["k", "m"]), "jaccard-firsts")
+    central = shared_firsts.groupBy("node").agg(F.sum("c").alias("central"))
+    ranked = shared_firsts.join(central, "node").withColumn("order", F.struct(-F.col("central"), "node"))
+    hubs = ranked.groupBy("k", "m").agg(F.min_by(F.struct("node", "n"), "order").alias("hub")).select("k", "m", F.col("hub.node").alias("a"), F.col("hub.n").alias("n_a"))
+    pairs = shared_firsts.join(hubs, ["k", "m"]).where("a <> node").where(100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))
+    pairs = materialise(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "jaccard-stars")
     found = _linked(pairs, nodes, docs, percent, repeated)
     groups = components(found)
 
-    levels = spark.sparkContext.broadcast(frequency_levels(docs))
-    held = docs.mapInArrow(_prefixes(levels, percent), "id long, tag long, s1 long, s2 long, prefix array<long>")
-    held = held.join(nodes.select("node", "s1", "s2", "n", "id", "tag"), ["s1", "s2", "id", "tag"])
-    held = (held.dropDuplicates(["node"]) if repeated else held).join(groups, "node", "left")
-    held = materialise(held.select("node", "n", F.coalesce("component", "node").alias("component"), "prefix"), "jaccard-prefixes")
+    def prefixes(order: Order) -> DataFrame:
+        """node, n, component, prefix of every node."""
+        held = docs.mapInArrow(_prefixes(spark.sparkContext.broadcast(order), percent), "id long, tag long, s1 long, s2 long, prefix array<long>")
+        held = held.join(nodes.select("node", "s1", "s2", "n", "id", "tag"), ["s1", "s2", "id", "tag"])
+        held = (held.dropDuplicates(["node"]) if repeated else held).join(groups, "node", "left")
+        return held.select("node", "n", F.coalesce("component", "node").alias("component"), "prefix")
+
+    def shared(spread: DataFrame) -> DataFrame:
+        return spread.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("c")).where("low <> high").select("t", "c")
+
+    none = np.zeros(0, np.uint64)
+    popular = materialise(shared(prefixes(Order(none, none)).select("component", F.explode("prefix").alias("t"))), "jaccard-popular", tidy=True)
+    top = popular.orderBy(F.desc("c"), "t").limit(POPULAR).toArrow()  # bounded
+    order = Order(top.column("t").to_numpy().astype(np.int64).view(np.uint64), top.column("c").to_numpy())
+    held = materialise(prefixes(order), "jaccard-prefixes", tidy=True)
     spread = held.select("node", "n", "component", F.posexplode("prefix").alias("rank", "t"))
-    mixed = spread.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("t")
-    mixed = materialise(mixed, "jaccard-tokens")
-    listed = materialise(spread.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_ROWS else mixed, "t"), "jaccard-postings")
-    left, right = (listed.select("t", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component", "rank")]) for s in "ab")
+    mixed = materialise(shared(spread).select("t"), "jaccard-tokens", tidy=True)
+    listed = materialise(spread.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_ROWS else mixed, "t"), "jaccard-postings", tidy=True)
+    crowded = materialise(listed.groupBy("t").count().where(F.col("count") > CROWD).select("t"), "jaccard-crowded")
+    few = listed.join(crowded, "t", "left_anti")
+    left, right = (few.select("t", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component", "rank")]) for s in "ab")
     needed = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
     fits = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     place = F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b")) >= needed
     pairs = left.join(right, (left["t"] == right["t"]) & fits & place).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    pairs = materialise(pairs.distinct(), "jaccard-pairs")
-    more = _linked(pairs, nodes, docs, percent, repeated, levels)
+    pairs = materialise(pairs.distinct(), "jaccard-pairs", tidy=True)
+    shared_order = spark.sparkContext.broadcast(order)
+    more = _linked(pairs, nodes, docs, percent, repeated, shared_order)
+    if not crowded.isEmpty():
+        more = more.union(_crowd_links(listed, crowded, nodes, docs, percent, repeated, shared_order))
+    discard(held)
+    discard(listed)
     groups = components(found.union(more))
 
     labelled = nodes.join(groups, "node", "left").select("s1", "s2", "least", F.coalesce("component", "node").alias("component"))
