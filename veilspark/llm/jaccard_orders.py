@@ -207,18 +207,25 @@ def _crowd(order_by, percent: int):
             views.append((code[order][chosen], np.concatenate([[0], np.cumsum(np.bincount(rows[chosen], minlength=n))])))
         views.append((code, np.concatenate([[0], np.cumsum(size)])))
         flags, a, b = np.zeros(len(dense), np.int32), [], []
+        flat, cut = views[0]
+        by_token = np.argsort(flat, kind="stable")
+        holder = np.repeat(np.arange(n), np.diff(cut))[by_token]
+        begin = np.searchsorted(flat[by_token], np.arange(len(dense) + 1))
         for i in np.flatnonzero(own == x):
-            live = (own == y) & (component != component[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+            live = np.unique(np.concatenate([holder[:0], *[holder[begin[t] : begin[t + 1]] for t in flat[cut[i] : cut[i + 1]]]]))
+            live = live[(own[live] == y) & (component[live] != component[i]) & (100 * np.minimum(size[live], size[i]) >= percent * np.maximum(size[live], size[i]))]
             if x == y:
-                live[: i + 1] = False
-            for k, (flat, cut) in enumerate(views):
-                if not live.any():
+                live = live[live > i]
+            for k, (tokens_of, ends) in enumerate(views[1:], 1):
+                if not len(live):
                     break
-                mine = flat[cut[i] : cut[i + 1]]
+                mine = tokens_of[ends[i] : ends[i + 1]]
+                count = ends[live + 1] - ends[live]
+                at = np.cumsum(count) - count
                 flags[mine] = 1
-                both = np.add.reduceat(flags[flat], cut[:-1])
+                both = np.add.reduceat(flags[tokens_of[np.repeat(ends[live] - at, count) + np.arange(count.sum())]], at)
                 flags[mine] = 0
-                live &= both > 0 if k < len(ORDERS) else 100 * both >= percent * (size + size[i] - both)
+                live = live[both > 0 if k < len(ORDERS) else 100 * both >= percent * (size[live] + size[i] - both)]
             partners = node[live]
             a.append(np.minimum(partners, node[i]))
             b.append(np.maximum(partners, node[i]))
