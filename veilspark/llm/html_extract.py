@@ -1,15 +1,21 @@
-"""Main text of web pages, by page structure and a suffix array of each host's token streams.
+"""Main text of web pages, by page structure and repeated windows of each host's token streams.
 
 A page becomes blocks of visible text. Elements for navigation, headers, footers, asides, forms, adverts, notices and
 comments (by tag, role, or words in class and id) are out. If what is left has an article (else a main part) with
 text, only that counts.
 
-Boilerplate that the markup doesn't tell is found by repetition. The token streams of a host's pages are taken as one,
-and suffixes are taken at anchors (in each window of ``LENGTH`` tokens the ``GRAM`` tokens with the least hash), keyed
-by host, leading tokens and a fingerprint of all tokens their windows cover. They are dealt out in ranges by sampled
-splitters, sorted, and neighbours compared: equal ones are a long substring, with the number of pages that hold it. One
-that is on at least ``PAGES`` pages and ``SHARE`` of the host's pages is boilerplate; the blocks it covers whole go and
-unique runs stay. A page of which that would take half or more is a mirror of others, not boilerplate, and stays.
+Boilerplate that the markup doesn't tell is found by repetition. The tokens of a page are one stream across its blocks.
+A window of ``LENGTH`` tokens is boilerplate if enough pages of the host hold it, and so is a whole block of fewer
+tokens. Enough is ``SHARE`` of the host's pages and ``PAGES``; on a small host half of its pages do instead of
+``PAGES``, if they are ``FEW``. The tokens that boilerplate covers go, unique runs stay, also within a block. Pages of a
+host with equal streams are mirrors: they count as one page, so what only they share is not boilerplate.
+
+1. Suffixes are taken at anchors (in each window the ``GRAM`` tokens with the least hash), keyed by host and leading
+   tokens, dealt out in ranges by sampled splitters, sorted, and neighbours compared: equal ones are added up. Equal
+   windows have equal anchors, so a window is on enough pages only if its anchor's key is.
+2. The windows at such anchors are added up in the same way, each by itself: an edit next to a window doesn't hide it.
+3. The windows of all pages are looked up in what was found. Steps 2 and 3, and what tells mirrors, read
+   filters of fixed size, which let through some other keys too: those are counted, or joined, exactly like the rest.
 
 Pages of one slice are counted before anything moves, so a footer on a third of all pages is one row for each slice.
 Null html is empty; repeated and null page_ids are separate pages. A null url has the empty host.
@@ -23,18 +29,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, hash_strings, materialise, mix, signed, slices, texts_of, window_hashes
+from .common import BASE, column, hash_strings, materialise, mix, signed, slices, texts_of, window_hashes
 from .suffix_dedup import _window_min
 
-#: Tokens of a long substring and of an anchor; pages and share of a host's pages for boilerplate.
+#: Tokens of a window and of an anchor; pages and share of a host's pages for boilerplate.
 LENGTH, GRAM = 12, 4
 PAGES, SHARE = 8, 0.2
-#: Part of a page's tokens from which repetition means a mirror.
-MIRROR = 0.5
+#: Fewest pages for boilerplate on hosts of fewer than twice ``PAGES``.
+FEW = 5
 SAMPLE_ROWS = 256
+#: Leading bits of a key that filters tell apart.
+FILTER_BITS = 25
+ROWS = "range int, h long, host long, n int"
 
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -143,58 +153,88 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _streams(b: pa.RecordBatch) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
-    """Blocks of each page; of all tokens, the page, the number of the block within the slice, and the fingerprint."""
-    pages = [[x for x, _ in page_blocks(t)] for t in texts_of(b, "html").to_pylist()]
-    blocks = [x.split(" ") for p in pages for x in p]
-    of_page = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
-    size = np.array([len(x) for x in blocks], np.int64)
-    tokens = pa.array([t for x in blocks for t in x], pa.string())
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stream of each page (a line for each block), and fingerprints of its host and of both."""
+    for b in slices(batches, "html"):
+        stream = pa.array(["\n".join(x for x, _ in page_blocks(t)) for t in texts_of(b, "html").to_pylist()], pa.string())
+        host = hash_strings(pa.array([host_of(u) for u in column(b, "url").to_pylist()], pa.string()))
+        yield pa.RecordBatch.from_arrays([column(b, "page_id"), column(b, "url"), stream, pa.array(signed(host)), pa.array(signed(mix(hash_strings(stream) + host, 8)))], names=["page_id", "url", "stream", "host", "print"])
+
+
+def _tokens(streams: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All tokens of a slice, and of each the number of its page and of its block within the slice."""
+    lists = pc.split_pattern(streams, "\n")
+    blocks, of_page = lists.flatten(), np.repeat(np.arange(len(streams)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    full = pc.greater(pc.binary_length(blocks), 0)
+    lists, of_page = pc.split_pattern(blocks.filter(full), " "), of_page[full.to_numpy(zero_copy_only=False)]
+    block = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    return lists.flatten(), of_page[block], block
+
+
+def token_windows(page: np.ndarray, block: np.ndarray, keys: np.ndarray, host: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(h, w, first token, end) of the windows of all pages, and of their blocks that are shorter than a window: key of
+    the anchor and of the window itself, and the tokens that it covers. A short block is its own anchor."""
+    n = len(keys)
+    head = np.flatnonzero(np.diff(block, prepend=-1))
+    size = np.diff(np.append(head, n))
+    short, size = head[size < LENGTH], size[size < LENGTH]
+    start = np.flatnonzero(page[LENGTH - 1 :] == page[: max(0, n - LENGTH + 1)]) if n >= LENGTH else np.zeros(0, np.int64)
+    with np.errstate(over="ignore"):
+        line = np.zeros(len(short), np.uint64)
+        for k in range(LENGTH - 1):
+            more = size > k
+            line[more] = mix(line[more] * BASE + keys[short[more] + k], 6)
+        line = mix(line + size.astype(np.uint64) + host[page[short]], 7)
+        if not len(start):
+            return line, line, short, short + size
+        gram, whole = mix(window_hashes(keys, GRAM), 1), window_hashes(keys, LENGTH)
+        anchor = (_window_min((gram >> np.uint64(32) << np.uint64(32)) | np.arange(len(gram), dtype=np.uint64), LENGTH - GRAM + 1)[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        own = host[page[start]]
+        h, w = mix(gram[anchor] + own, 2), mix(mix(whole[start], 3) + own, 4)
+    return np.concatenate([h, line]), np.concatenate([w, line]), np.concatenate([start, short]), np.concatenate([start + LENGTH, short + size])
+
+
+def _windows(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """h, w, first and end of :func:`token_windows`, and the page of each token."""
+    tokens, page, block = _tokens(column(b, "stream"))
     coded = tokens.dictionary_encode()
     keys = hash_strings(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)] if len(tokens) else np.zeros(0, np.uint64)
-    block = np.repeat(np.arange(len(blocks)), size)
-    return pages, of_page[block] if len(block) else np.zeros(0, np.int64), block, keys
-
-
-def token_suffixes(page: np.ndarray, block: np.ndarray, keys: np.ndarray, host: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(h, c, first token, end) of the suffixes of all pages: sort key, fingerprint, and the tokens that they cover.
-    Windows keep within a block, so equal blocks have equal suffixes whatever stands around them."""
-    n, w = len(keys), LENGTH - GRAM + 1
-    start = np.flatnonzero(block[LENGTH - 1 :] == block[: max(0, n - LENGTH + 1)]) if n >= LENGTH else np.zeros(0, np.int64)
-    if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), start, start
-    gram, whole = mix(window_hashes(keys, GRAM), 1), window_hashes(keys, LENGTH)
-    anchor = (_window_min((gram >> np.uint64(32) << np.uint64(32)) | np.arange(len(gram), dtype=np.uint64), w)[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(block[start], prepend=-1) != 0))
-    last = np.append(first[1:], len(start)) - 1
-    with np.errstate(over="ignore"):
-        h = mix(gram[anchor[first]] + host[page[start[first]]], 2)
-        c = mix(mix(whole[start[first]], 3) * np.uint64(3) + mix(whole[start[last]], 4) + (last - first).astype(np.uint64), 5)
-    return h, c, start[first], start[last] + LENGTH
+    return *token_windows(page, block, keys, column(b, "host").to_numpy().view(np.uint64)), page
 
 
-def _hosts(b: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
-    names = [host_of(u) for u in column(b, "url").to_pylist()]
-    return names, hash_strings(pa.array(names, pa.string()))
+def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
 
 
-def _suffix_rows(splitters: np.ndarray):
-    """Suffixes of each slice with the number of its pages that hold them."""
+def _picked(b: pa.RecordBatch, mirrors, wanted: bool) -> pa.RecordBatch:
+    """The pages that a filter of mirrors lets through, or the others."""
+    return b.filter(pa.array(_passes(mirrors.value, column(b, "print").to_numpy().view(np.uint64)) == wanted))
+
+
+def _rows(splitters: np.ndarray, known=None, mirrors=None):
+    """Anchors of each slice with the number of its pages that hold them; with a filter of anchors, their windows.
+    Pages that pass a filter of mirrors are left to another call."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "html"):
-            _, page, block, keys = _streams(b)
-            _, host = _hosts(b)
-            h, c, first, _ = token_suffixes(page, block, keys, host)
+        for b in slices(batches, "stream"):
+            b = _picked(b, mirrors, False) if mirrors else b
+            h, w, first, _, page = _windows(b)
+            own = page[first]
+            if known is not None:
+                asked = _passes(known.value, h)
+                h, own = w[asked], own[asked]
             if not len(h):
                 continue
-            rows = np.unique(np.stack([h, c, page[first].astype(np.uint64)], axis=1), axis=0)
-            new = np.ones(len(rows), bool)
-            new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
-            at = np.flatnonzero(new)
-            n = np.diff(np.append(at, len(rows)))
-            h, c = rows[at, 0].copy(), rows[at, 1].copy()
-            yield pa.RecordBatch.from_pydict({"range": np.searchsorted(splitters, h).astype(np.int32), "h": signed(h), "c": signed(c), "host": signed(host[rows[at, 2].astype(np.int64)].copy()), "n": n.astype(np.int32)})
+            # the keys of a page are made distinct, then its pages are counted
+            order = np.lexsort((own, h))
+            h, own = h[order], own[order]
+            once = np.ones(len(h), bool)
+            once[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
+            h, own = h[once], own[once]
+            at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            n = np.diff(np.append(at, len(h)))
+            yield pa.RecordBatch.from_pydict({"range": np.searchsorted(splitters, h[at]).astype(np.int32), "h": signed(h[at]), "host": column(b, "host").take(pa.array(own[at])), "n": n.astype(np.int32)})
 
     return run
 
@@ -205,65 +245,87 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        h, c, host, n = (column(b, k).to_numpy().astype(np.int64) for k in ("h", "c", "host", "n"))
+        h, host, n = (column(b, k).to_numpy().astype(np.int64) for k in ("h", "host", "n"))
         if held:
-            h, c, host, n = (np.concatenate([[x], y]) for x, y in zip(held, (h, c, host, n), strict=True))
-        at = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
+            h, host, n = (np.concatenate([[x], y]) for x, y in zip(held, (h, host, n), strict=True))
+        at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         total = np.add.reduceat(n, at)
-        held = (h[at[-1]], c[at[-1]], host[at[-1]], total[-1])
-        at, total = at[:-1][total[:-1] >= PAGES], total[:-1][total[:-1] >= PAGES]
-        yield pa.RecordBatch.from_pydict({"h": h[at], "c": c[at], "host": host[at], "n": total})
-    if held and held[3] >= PAGES:
-        yield pa.RecordBatch.from_pydict({k: [int(x)] for k, x in zip(("h", "c", "host", "n"), held, strict=True)})
+        held = (h[at[-1]], host[at[-1]], total[-1])
+        at, total = at[:-1][total[:-1] >= FEW], total[:-1][total[:-1] >= FEW]
+        yield pa.RecordBatch.from_pydict({"h": h[at], "host": host[at], "n": total})
+    if held and held[2] >= FEW:
+        yield pa.RecordBatch.from_pydict({k: [int(x)] for k, x in zip(("h", "host", "n"), held, strict=True)})
 
 
-def _host_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of a filter that keys set bits in."""
     for b in batches:
-        _, host = _hosts(b)
-        keys, n = np.unique(host, return_counts=True)
-        yield pa.RecordBatch.from_pydict({"host": signed(keys), "pages": n})
+        slot = np.unique(column(b, "h").to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        if len(slot):
+            at = np.flatnonzero(np.diff(slot >> 5, prepend=-1))
+            yield pa.RecordBatch.from_pydict({"word": slot[at] >> 5, "bits": np.bitwise_or.reduceat(np.int64(1) << (slot & 31), at)})
+
+
+def _filter(keys: DataFrame):
+    """A bit for the leading ``FILTER_BITS`` bits of each key, broadcast; at most 2**FILTER_BITS / 32 rows are collected."""
+    words = keys.mapInArrow(_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(1 << FILTER_BITS - 5, "<u4")
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype("<u4")
+    return keys.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
+
+
+def _often(pages: DataFrame, again: DataFrame, mirrors, hosts: DataFrame, splitters: np.ndarray, name: str, known=None) -> DataFrame:
+    """h of the anchors (of the windows, if a filter of anchors is known) that are on enough pages of their host.
+    ``again``: one page of each group of mirrors."""
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pages.mapInArrow(_rows(splitters, known, mirrors), ROWS).unionByName(again.mapInArrow(_rows(splitters, known), ROWS))
+    runs = rows.repartition(parts, "range").sortWithinPartitions("h").mapInArrow(_runs, "h long, host long, n long")
+    enough = F.greatest(SHARE * F.col("pages"), F.least(F.lit(float(PAGES)), F.greatest(F.lit(float(FEW)), F.col("pages") / 2)))
+    return materialise(materialise(runs, f"html-{name}-runs").join(hosts, "host").where(F.col("n") >= enough).select("h"), f"html-{name}")
 
 
 def boilerplate(pages: DataFrame) -> DataFrame:
-    """h, c of the suffixes that are boilerplate of their host."""
-    spark = pages.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sample = pages.limit(SAMPLE_ROWS).mapInArrow(_suffix_rows(np.zeros(0, np.uint64)), "range int, h long, c long, host long, n int").select("h").toArrow()
+    """h of the windows and short blocks that are boilerplate of their host; ``pages`` as :func:`extract` parses them."""
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pages = pages.select("row", "stream", "host", "print")
+    distinct = materialise(pages.groupBy("print").agg(F.min("row").alias("row"), F.min("host").alias("host"), F.count("*").alias("n")), "html-distinct")
+    hosts = distinct.groupBy("host").agg(F.count("*").alias("pages"))
+    mirrors = _filter(distinct.where("n > 1").select(F.col("print").alias("h")))
+    passed = pages.mapInArrow(lambda batches: (_picked(b, mirrors, True) for b in batches), "row long, stream string, host long, print long")
+    again = materialise(passed.join(distinct.select("row"), "row", "left_semi"), "html-again")
+    sample = pages.limit(SAMPLE_ROWS).mapInArrow(_rows(np.zeros(0, np.uint64)), ROWS).select("h").toArrow()
     h = np.sort(sample.column("h").to_numpy().astype(np.int64).view(np.uint64))
     splitters = np.unique(h[np.linspace(0, len(h) - 1, 4 * parts + 1).astype(np.int64)[1:-1]]) if len(h) else h
-    rows = pages.mapInArrow(_suffix_rows(splitters), "range int, h long, c long, host long, n int")
-    runs = rows.repartition(parts, "range").sortWithinPartitions("h", "c").mapInArrow(_runs, "h long, c long, host long, n long")
-    hosts = pages.select("url").mapInArrow(_host_rows, "host long, pages long").groupBy("host").agg(F.sum("pages").alias("pages"))
-    return materialise(materialise(runs, "html-runs").join(hosts, "host").where(F.col("n") >= SHARE * F.col("pages")).select("h", "c"), "html-boilerplate")
+    anchors = _often(pages, again, mirrors, hosts, splitters, "anchors")
+    return _often(pages, again, mirrors, hosts, splitters, "windows", _filter(anchors))
 
 
-def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "html"):
-        _, page, block, keys = _streams(b)
-        _, host = _hosts(b)
-        h, c, first, end = token_suffixes(page, block, keys, host)
-        begin = np.searchsorted(page, np.arange(b.num_rows))
-        own = page[first]
-        yield pa.RecordBatch.from_pydict({"h": signed(h), "c": signed(c), "id": column(b, "page_id").take(pa.array(own)), "tag": column(b, "tag").take(pa.array(own)), "first": (first - begin[own]).astype(np.int32), "end": (end - begin[own]).astype(np.int32)})
+def _found(known):
+    """The windows of all pages that a filter of the known ones lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "stream"):
+            _, w, first, end, page = _windows(b)
+            begin = np.searchsorted(page, np.arange(b.num_rows))
+            at = np.flatnonzero(_passes(known.value, w))
+            own = page[first[at]]
+            yield pa.RecordBatch.from_pydict({"h": signed(w[at]), "row": column(b, "row").take(pa.array(own)), "first": (first[at] - begin[own]).astype(np.int32), "end": (end[at] - begin[own]).astype(np.int32)})
+
+    return run
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "html"):
+    for b in slices(batches, "stream"):
         out = []
-        spans = column(b, "spans").to_pylist()
-        for text, cover in zip(texts_of(b, "html").to_pylist(), spans, strict=True):
-            blocks = [x for x, _ in page_blocks(text)]
-            if cover:
-                size = np.array([x.count(" ") + 1 for x in blocks])
-                hit = np.zeros(size.sum() + 1, np.int64)
-                for s in cover:
-                    hit[s["first"]] += 1
-                    hit[s["end"]] -= 1
-                hit = np.cumsum(hit[:-1]) > 0
-                if hit.sum() < MIRROR * len(hit):
-                    whole = np.add.reduceat(hit, np.cumsum(size) - size) == size
-                    blocks = [x for x, w in zip(blocks, whole, strict=True) if not w]
-            out.append(" ".join(blocks))
+        spans = column(b, "spans")
+        for stream, cover in zip(column(b, "stream").to_pylist(), spans, strict=True):
+            text = stream.replace("\n", " ")
+            if len(cover):
+                tokens = text.split(" ")
+                first, end = (cover.values.field(k).to_numpy() for k in ("first", "end"))
+                hit = np.cumsum(np.bincount(first, minlength=len(tokens) + 1) - np.bincount(end, minlength=len(tokens) + 1))
+                text = " ".join(x for x, gone in zip(tokens, hit[:-1] > 0, strict=True) if not gone)
+            out.append(text)
         text = pa.array(out, pa.string())
         yield pa.RecordBatch.from_arrays([column(b, "page_id"), column(b, "url"), text, pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
@@ -271,11 +333,11 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every row of ``pages`` (page_id, url, html)."""
     id_type = pages.schema["page_id"].dataType.simpleString()
-    pages = pages.select("page_id", "url", "html", F.crc32(F.coalesce("html", F.lit(""))).alias("tag"))
-    known = boilerplate(pages)
-    rows = pages.mapInArrow(_found, f"h long, c long, id {id_type}, tag long, first int, end int")
-    covered = rows.join(known, ["h", "c"]).groupBy("id", "tag").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
-    covered = materialise(covered, "html-spans")
-    joined = pages.join(covered.withColumnRenamed("tag", "of"), pages["page_id"].eqNullSafe(F.col("id")) & (pages["tag"] == F.col("of")), "left")
+    parsed = pages.select("page_id", "url", "html").mapInArrow(_parse, f"page_id {id_type}, url string, stream string, host long, print long")
+    parsed = materialise(parsed.withColumn("row", F.monotonically_increasing_id()), "html-streams")
+    known = boilerplate(parsed)
+    rows = parsed.select("row", "stream", "host").mapInArrow(_found(_filter(known)), "h long, row long, first int, end int")
+    covered = materialise(rows.join(known, "h").groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("spans")), "html-spans")
     none = F.array().cast("array<struct<first:int,end:int>>")
-    return joined.select("page_id", "url", "html", F.coalesce("spans", none).alias("spans")).mapInArrow(_texts, f"page_id {id_type}, url string, text string, n_chars long")
+    joined = parsed.join(covered, "row", "left")
+    return joined.select("page_id", "url", "stream", F.coalesce("spans", none).alias("spans")).mapInArrow(_texts, f"page_id {id_type}, url string, text string, n_chars long")
