@@ -7,7 +7,8 @@ language none of whose training letters are in a script can't claim words in it.
 a penalty for each switch labels spans; the language of most letters in the best path is the text's. Its score is the
 share of those letters, tempered by how far the path's language beats the others for each word.
 
-Gram counts are kept in ``BUCKETS`` hashed cells for each language, so the model has a fixed size and can be broadcast.
+Gram counts are kept in ``BUCKETS`` hashed cells for each language, and every language of a training row is told apart.
+The model grows with their number only and is broadcast; with more than ``MOST`` of them training stops with an error.
 Null texts, and texts without a letter, are ``und`` with score 0. Rows without a language don't train. If there is
 nothing to learn from, everything is ``und``. Repeated rows and null ids are just rows.
 """
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from .common import BASE, buffers, column, mix, slices, texts_of
 
 BUCKETS = 1 << 15
-#: Most languages that are told apart; those with the most training rows stay.
+#: Most languages that a broadcast model has room for (128 kB each); more are an error.
+MOST = 1024
+#: Languages whose counts a task holds at a time, and for which slices of texts have their full size.
 LANGUAGES = 64
 #: Log probability that a switch of language costs.
 SWITCH = 12.0
@@ -81,8 +84,11 @@ def grams_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _count(languages: list[str]):
     number = {x: k for k, x in enumerate(languages)}
 
+    def rows(sums: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"language": pa.array(list(sums), pa.int32()), "counts": pa.array([c.astype("<i8").tobytes() for c, _ in sums.values()], pa.binary()), "scripts": pa.array([s.astype("<i8").tobytes() for _, s in sums.values()], pa.binary())})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, scripts = np.zeros((len(languages), BUCKETS), np.int64), np.zeros((len(languages), len(NAMES)), np.int64)
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in slices(batches, "text"):
             lang = np.array([number.get(x, -1) for x in column(b, "lang").to_pylist()])
             words, row = words_of(texts_of(b))
@@ -91,12 +97,18 @@ def _count(languages: list[str]):
             coded = words.dictionary_encode()
             code = coded.indices.to_numpy(zero_copy_only=False)
             of, cell, bits = grams_of(coded.dictionary)
-            for k in np.unique(lang[lang >= 0]):
+            for k in np.unique(lang[row]):
+                if k not in sums:
+                    if len(sums) >= LANGUAGES:
+                        yield rows(sums)
+                        sums = {}
+                    sums[k] = np.zeros(BUCKETS, np.int64), np.zeros(len(NAMES), np.int64)
+                counts, scripts = sums[k]
                 times = np.bincount(code[lang[row] == k], minlength=len(coded.dictionary))
-                counts[k] += np.bincount(cell, weights=times[of], minlength=BUCKETS).astype(np.int64)
-                scripts[k] += [int(times[(bits >> s) & 1 > 0].sum()) for s in range(len(NAMES))]
-        for k in np.flatnonzero(counts.any(axis=1)):
-            yield pa.RecordBatch.from_pydict({"language": pa.array([k], pa.int32()), "counts": [counts[k].astype("<i8").tobytes()], "scripts": [scripts[k].astype("<i8").tobytes()]})
+                counts += np.bincount(cell, weights=times[of], minlength=BUCKETS).astype(np.int64)
+                scripts += [int(times[(bits >> s) & 1 > 0].sum()) for s in range(len(NAMES))]
+        if sums:
+            yield rows(sums)
 
     return run
 
@@ -115,8 +127,9 @@ class Model:
 
     def __init__(self, languages: list[str], counts: np.ndarray, scripts: np.ndarray):
         self.languages = languages
-        total = counts.sum(axis=1, keepdims=True)
-        self.log = np.log((counts + 0.1) / (total + 0.1 * BUCKETS)).astype(np.float32).T.copy()
+        self.log = np.empty((BUCKETS, len(languages)), np.float32)
+        for k, c in enumerate(counts):
+            self.log[:, k] = np.log((c + 0.1) / (c.sum() + 0.1 * BUCKETS))
         share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
         self.scripts = (np.int64(1) << np.arange(len(NAMES))) @ (share > 0.001).T.astype(np.int64)
 
@@ -124,26 +137,30 @@ class Model:
 def train(docs: DataFrame) -> Model | None:
     """A model of all rows of ``docs`` (text, lang) with a language."""
     docs = docs.where("lang is not null and text is not null").select("text", "lang")
-    languages = sorted(r[0] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    languages = sorted(r[0] for r in docs.select("lang").distinct().limit(MOST + 1).collect())
     if not languages:
         return None
+    if len(languages) > MOST:
+        raise ValueError(f"more than {MOST} languages in the training rows; their gram counts don't fit a broadcast")
     schema = "language int, counts binary, scripts binary"
-    rows = docs.mapInArrow(_count(languages), schema).repartition(len(languages), "language").mapInArrow(_add, schema).collect()  # at most LANGUAGES rows of fixed size
+    rows = docs.mapInArrow(_count(languages), schema).repartition(len(languages), "language").mapInArrow(_add, schema).toLocalIterator()  # at most MOST rows of fixed size
     counts, scripts = np.zeros((len(languages), BUCKETS)), np.zeros((len(languages), len(NAMES)))
     for r in rows:
         counts[r[0]], scripts[r[0]] = np.frombuffer(r[1], "<i8"), np.frombuffer(r[2], "<i8")
     return Model(languages, counts, scripts)
 
 
-def viterbi(scores: np.ndarray, off: np.ndarray, switch: float) -> np.ndarray:
-    """The best language of each word. ``scores``: words by languages; texts lie between offsets. All texts advance
-    together, longest first, so each step is over the texts that still have a word."""
+def viterbi(scores: np.ndarray, off: np.ndarray, switch: float, code: np.ndarray | None = None) -> np.ndarray:
+    """The best language of each word. ``scores``: words by languages, or distinct words if ``code`` has the number of
+    each word; texts lie between offsets. All texts advance together, longest first, so each step is over the texts that
+    still have a word. What is kept of a step is a bit for each language (whether it stays) and where a switch is from."""
+    code = np.arange(len(scores)) if code is None else code
     size = np.diff(off)
     order = np.argsort(-size, kind="stable")
     size, first = size[order], off[:-1][order]
     steps = int(size.max(initial=0))
     active = np.searchsorted(-size, -np.arange(steps), side="left")
-    back = np.zeros(scores.shape, np.int8)
+    back, jumped = np.zeros((len(code), -(-scores.shape[1] // 8)), np.uint8), np.zeros(len(code), np.int32)
     best = np.zeros((len(size), scores.shape[1]), np.float32)
     for t in range(steps):
         k = active[t]
@@ -152,20 +169,20 @@ def viterbi(scores: np.ndarray, off: np.ndarray, switch: float) -> np.ndarray:
         top = now.argmax(axis=1)
         jump = now[np.arange(k), top] - switch
         stay = now >= jump[:, None]
-        back[at] = np.where(stay, np.arange(scores.shape[1]), top[:, None])
-        best[:k] = np.where(stay, now, jump[:, None]) + scores[at]
-    path = np.zeros(len(scores), np.int64)
+        back[at], jumped[at] = np.packbits(stay, axis=1), top
+        best[:k] = np.where(stay, now, jump[:, None]) + scores[code[at]]
+    path = np.zeros(len(code), np.int64)
     state = best.argmax(axis=1)
     for t in range(steps - 1, -1, -1):
         k = active[t]
         at = first[:k] + t
-        path[at] = state[:k]
-        state[:k] = back[at, state[:k]]
+        now = path[at] = state[:k].copy()
+        state[:k] = np.where(back[at, now >> 3] >> (7 - (now & 7)).astype(np.uint8) & 1, now, jumped[at])
     return path
 
 
 def label(model: Model, texts: pa.Array, switch: float = SWITCH):
-    """(row, word length, language of each word, score for each language of each word)"""
+    """(row, word length, language and number of each word, score for each language of each distinct word)"""
     words, row = words_of(texts)
     coded = words.dictionary_encode()
     code = coded.indices.to_numpy(zero_copy_only=False)
@@ -174,22 +191,22 @@ def label(model: Model, texts: pa.Array, switch: float = SWITCH):
     for k in range(len(model.languages)):
         score[:, k] = np.bincount(of, weights=model.log[cell, k], minlength=len(score))
     able = (bits[:, None] & ~model.scripts[None, :]) == 0
-    score = np.where(able | ~able.any(axis=1, keepdims=True), score, np.float32(-1e4))[code]
+    score = np.where(able | ~able.any(axis=1, keepdims=True), score, np.float32(-1e4))
     off = np.searchsorted(row, np.arange(len(texts) + 1))
     length = pc.utf8_length(words).to_numpy(zero_copy_only=False)
-    return row, length, viterbi(score, off, switch), score
+    return row, length, viterbi(score, off, switch, code), code, score
 
 
 def _predict(model, switch: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", (2 << 20) * LANGUAGES // max(LANGUAGES, len(m.languages))):
             n, count = b.num_rows, len(m.languages)
-            row, length, path, score = label(m, texts_of(b), switch)
+            row, length, path, code, score = label(m, texts_of(b), switch)
             letters = np.bincount(row * count + path, weights=length, minlength=n * count).reshape(n, count)
             total = letters.sum(axis=1)
             best = letters.argmax(axis=1)
-            sums = np.stack([np.bincount(row, weights=score[:, k], minlength=n) for k in range(count)], axis=1) / np.maximum(np.bincount(row, minlength=n), 1)[:, None]
+            sums = np.stack([np.bincount(row, weights=score[code, k], minlength=n) for k in range(count)], axis=1) / np.maximum(np.bincount(row, minlength=n), 1)[:, None]
             sure = 1 / np.exp(np.clip(sums - sums[np.arange(n), best][:, None], -50, 50)).sum(axis=1)
             value = letters[np.arange(n), best] / np.maximum(total, 1) * np.clip(sure, 0, 1)
             turns = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(path, prepend=-1) != 0))
@@ -209,6 +226,6 @@ def predict(docs: DataFrame, model: Model | None, carry: list[str], switch: floa
     if model is None:
         spans = F.array().cast("array<struct<first_word:int,end_word:int,lang:string>>")
         return docs.select(*carry, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), spans.alias("spans"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LANGUAGES * BUCKETS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST * BUCKETS numbers
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
     return docs.select(*carry, "text").mapInArrow(_predict(shared, switch), f"{kinds}, lang_pred string, score double, spans array<struct<first_word:int,end_word:int,lang:string>>")
