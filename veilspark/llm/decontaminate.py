@@ -4,10 +4,11 @@ Texts and items are compared as lower-cased letters and digits; anything else be
 characters leaks where a stretch of a text is within e = ``RATE`` * m edits of all of it. By the q-gram lemma such a
 stretch shares at least m - q + 1 - q*e q-grams with the item, and e edits shift them by at most e diagonals. So hits
 are counted in bands of 2(e+1) diagonals that overlap by half; bands that reach the bound are verified by an alignment
-held to the band. Nothing within the budget is missed.
+held to the band. Items for which the bound wouldn't be positive have shorter grams, of m // (e+1) characters. Nothing
+within the budget is missed. Items of fewer than q characters and no edits are searched for as whole words.
 
 Items are read in blocks of bounded size, each broadcast in turn and held against all documents, whole. Documents don't
-move. Null texts and items, and items of fewer than q characters after cleaning, never match. An item that several
+move. Null texts and items, and items without a letter or digit, never match. An item that several
 rows hold is reported for each; of several stretches of a text the one with the fewest edits counts, then the first.
 Repeated and null doc_ids are separate documents. Either table may be empty.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import BASE, buffers, column, mix, slices, texts_of, window_hashes
 
-#: Length of a gram, and edits allowed for each character of an item.
+#: Greatest length of a gram, and edits allowed for each character of an item.
 Q, RATE = 10, 0.08
 #: Characters of the items of a block.
 BLOCK_CHARS = 1_000_000
@@ -53,21 +54,15 @@ def _slot(grams: np.ndarray) -> np.ndarray:
         return (grams * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - _BITS)
 
 
-class Items:
-    """The grams of a block of items by hash, with the item and the place of each."""
+class Grams:
+    """The grams of one length of some items of a block by hash, with the item and the place of each."""
 
-    def __init__(self, ids: list, texts: list[str], q: int, rate: float):
-        self.ids, self.q = ids, q
-        points, off = code_points(normalise(pa.array([t or "" for t in texts], pa.string())))
-        self.points = [points[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
-        size = np.diff(off)
-        self.size = size
-        self.edits = np.minimum((rate * size).astype(np.int64), np.maximum(size - q, 0) // q)
-        self.bound = size - q + 1 - q * self.edits
-        fits = np.maximum(size - q + 1, 0)
-        item = np.repeat(np.arange(len(size)), fits)
+    def __init__(self, points: np.ndarray, off: np.ndarray, which: np.ndarray, q: int):
+        self.q = q
+        fits = np.diff(off)[which] - q + 1
+        item = np.repeat(which, fits)
         place = np.arange(len(item)) - np.repeat(np.cumsum(fits) - fits, fits)
-        grams = gram_hashes(points, q)[off[:-1][item] + place] if len(item) else np.zeros(0, np.uint64)
+        grams = gram_hashes(points, q)[off[:-1][item] + place]
         order = np.argsort(grams, kind="stable")
         self.item, self.place = item[order], place[order]
         self.grams, self.first = np.unique(grams[order], return_index=True)
@@ -77,9 +72,8 @@ class Items:
 
     def hits(self, points: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, item, diagonal) of every shared gram."""
-        none = (np.zeros(0, np.int64),) * 3
-        if not len(self.grams) or len(points) < self.q:
-            return none
+        if len(points) < self.q:
+            return (np.zeros(0, np.int64),) * 3
         grams = gram_hashes(points, self.q)
         at = np.flatnonzero(self.maybe[_slot(grams)])
         k = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
@@ -92,6 +86,41 @@ class Items:
         one = np.repeat(self.first[k] - (np.cumsum(count) - count), count) + np.arange(count.sum())
         return np.repeat(text, count), self.item[one], np.repeat(at - off[text], count) - self.place[one]
 
+
+class Items:
+    """A block of items and their grams; those of fewer than q characters and no edits are ``words``."""
+
+    def __init__(self, ids: list, texts: list[str], q: int, rate: float):
+        self.ids = ids
+        points, off = code_points(normalise(pa.array([t or "" for t in texts], pa.string())))
+        self.points = [points[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
+        size = np.diff(off)
+        self.size = size
+        self.edits = (rate * size).astype(np.int64)
+        own = np.minimum(q, size // (self.edits + 1))
+        self.bound = size - own + 1 - own * self.edits
+        word = (size < q) & (self.edits == 0)
+        indexed = lambda of: [Grams(points, off, np.flatnonzero(of & (own == k)), int(k)) for k in np.unique(own[of & (own > 0)])]
+        self.grams, self.words = indexed(~word), indexed(word)
+
+    def hits(self, points: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, diagonal) of every shared gram."""
+        found = [g.hits(points, off) for g in self.grams]
+        return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+    def whole_words(self, points: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, item, first place) of ``words`` between spaces or ends of a text."""
+        for g in self.words:
+            text, item, place = g.hits(points, off)
+            start, end = off[text] + place, off[text] + place + g.q
+            left = (start == off[text]) | (points[np.maximum(start - 1, 0)] == 32)
+            right = (end == off[text + 1]) | (points[np.minimum(end, len(points) - 1)] == 32)
+            text, item, place = (x[left & right] for x in (text, item, place))
+            order = np.lexsort((place, item, text))
+            text, item, place = text[order], item[order], place[order]
+            for k in np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0)):
+                yield int(text[k]), int(item[k]), int(place[k])
+
     def regions(self, points: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, first diagonal of a band, hits in it) where the lemma's bound is reached."""
         text, item, diagonal = self.hits(points, off)
@@ -144,6 +173,8 @@ def _find(items: Items, points: np.ndarray, off: np.ndarray) -> dict[tuple[int,
             _, size = align(item[::-1], text[max(0, end - len(item) - e) : end][::-1], -e, e, free_start=False)
             found = (edits, end - size, end, shared)
         best[t, i] = min(best.get((t, i), found), found)
+    for t, i, start in items.whole_words(points, off):
+        best[t, i] = (0, start, start + len(items.points[i]), 1)
     return best
 
 
