@@ -185,7 +185,7 @@ def _compare(prune: bool):
         return pa.RecordBatch.from_pydict({"id": i, "place": place, "count": count.astype(np.int32), "open": np.full(len(i), is_open)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        past = None  # (h, c, least id) of the last row
+        past = None  # (h, c, least id) of the last row, and the number of its key's fingerprints so far (2: or more)
         pending = None  # the first suffix of the last key, while that has one fingerprint only
         for ready, h, c, ids, place in _blocks(batches, BLOCK_ROWS):
             if ready.any():
@@ -210,7 +210,7 @@ def _compare(prune: bool):
             last = key[-1]
             kinds = np.zeros(last + 1, np.int64)
             np.add.at(kinds, key[new_c], 1)
-            kinds[0] += past is not None and key[0] == 0
+            kinds[0] += past[3] if past and key[0] == 0 else 0
             if pending is not None and key[0] == 0 and kinds[0] > 1:
                 yield out(*pending, True)
             if pending is not None and (key[0] != 0 or kinds[0] > 1):
@@ -228,7 +228,7 @@ def _compare(prune: bool):
                 pending = now if pending is None or key[0] != 0 or last > 0 else tuple(np.concatenate(x) for x in zip(pending, now, strict=True))
             elif last > 0:
                 pending = None
-            past = (h[-1], c[-1], least[-1])
+            past = (h[-1], c[-1], least[-1], min(2, kinds[last]))
 
     return run
 
