@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings by a distributed, sampled suffix array.
+"""Exact removal of repeated byte strings by fingerprints of sampled suffixes, grouped by a distributed sort.
 
 A string counts as repeated if it has ``length`` bytes (50) and also starts in a document with a smaller id.
 Suffixes are taken at anchors: in each window of ``length`` bytes the anchor is the ``GRAM``-byte string with the
