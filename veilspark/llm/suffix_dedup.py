@@ -37,8 +37,10 @@ from .common import buffers, byte_values, column, discard, materialise, mix, sig
 GRAM = 16
 #: Texts whose suffixes are sampled for the splitters, and splitters for each shuffle partition.
 SAMPLE_ROWS, RANGES = 128, 4
+#: Windows whose anchors are taken at a time (about 100 bytes of arrays for each).
+STRETCH = 1 << 19
 #: Suffixes of a range that are compared at a time.
-BLOCK_ROWS = 200_000
+BLOCK_ROWS = 100_000
 NULL_ID = 2**63 - 1
 SUFFIX = "h long, c long, id long, place long"
 U32 = np.uint64(32)
@@ -55,42 +57,62 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def suffixes(raw: np.ndarray, off: np.ndarray, length: int) -> dict[str, np.ndarray]:
-    """The anchors of all windows of texts that lie one after the other in ``raw`` (``off``: n+1 offsets).
-
-    h: sort key; c: fingerprint of what the windows cover, with their number in the low six bits; row: the text;
-    start: first window in it; count: windows; sides: two 16-bit hashes, of the anchor with as many bytes before it as
-    half a window needs and with as many after it (0: the windows don't reach so far). Windows that are equal have one
-    of the two in common.
-    """
-    keys = ("h", "c", "row", "start", "count", "sides")
-    if len(raw) < length:
-        return {k: np.zeros(0, np.uint64 if k in "hc" else np.int64) for k in keys}
+def _stretch(raw: np.ndarray, at: np.ndarray, row: np.ndarray, length: int) -> dict[str, np.ndarray]:
+    """The anchors of windows that start at ``at`` in ``raw``; ``row``: the text of each."""
     w = length - GRAM + 1
     values = byte_values(raw)
     gram = mix(window_hashes(values, GRAM), 1)
-    whole = window_hashes(values, length)
     anchor = (_window_min((gram >> U32 << U32) | np.arange(len(gram), dtype=np.uint64), w) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    size = np.diff(off)
-    fits = np.repeat(np.maximum(size - length + 1, 0), 1)
-    row = np.repeat(np.arange(len(size)), fits)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(fits) - fits, fits) + np.repeat(off[:-1], fits)
-    if not len(at):
-        return {k: np.zeros(0, np.uint64 if k in "hc" else np.int64) for k in keys}
     a = anchor[at]
+    del anchor
     first = np.flatnonzero((np.diff(a, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
     last = np.append(first[1:], len(at)) - 1
     count = last - first + 1
-    pos = a[first]
+    pos, begin, end = a[first], at[first], at[last]
     lead = (raw[pos].astype(np.uint64) << np.uint64(56)) | (raw[pos + 1].astype(np.uint64) << np.uint64(48))
+    h = lead | (gram[pos] >> np.uint64(16))
+    del gram, a
+    whole = window_hashes(values, length)
     with np.errstate(over="ignore"):
-        c = mix(mix(whole[at[first]], 2) * np.uint64(3) + mix(whole[at[last]], 3) + mix((count * 64 + pos - at[first]).astype(np.uint64), 4), 5)
+        c = mix(mix(whole[begin], 2) * np.uint64(3) + mix(whole[end], 3) + mix((count * 64 + pos - begin).astype(np.uint64), 4), 5)
+    del whole
     c = (c << np.uint64(6)) | count.astype(np.uint64)
     half = w // 2
-    longer = mix(window_hashes(values, GRAM + half), 6)
-    before, after = pos - half >= at[first], pos + GRAM + half <= at[last] + length
-    sides = [np.where(ok, (mix(longer[np.where(ok, x, 0)], seed) >> np.uint64(48)) | np.uint64(1), np.uint64(0)).astype(np.int64) for ok, x, seed in ((before, pos - half, 12), (after, pos, 13))]
-    return {"h": lead | (gram[pos] >> np.uint64(16)), "c": c, "row": row[first], "start": at[first] - off[row[first]], "count": count, "sides": (sides[0] << 16) | sides[1]}
+    longer = window_hashes(values, GRAM + half)
+    before, after = pos - half >= begin, pos + GRAM + half <= end + length
+    sides = [np.where(ok, (mix(mix(longer[np.where(ok, x, 0)], 6), seed) >> np.uint64(48)) | np.uint64(1), np.uint64(0)).astype(np.int64) for ok, x, seed in ((before, pos - half, 12), (after, pos, 13))]
+    return {"h": h, "c": c, "row": row[first], "start": begin, "count": count, "sides": (sides[0] << 16) | sides[1]}
+
+
+def suffixes(raw: np.ndarray, off: np.ndarray, length: int, most: int = STRETCH) -> dict[str, np.ndarray]:
+    """The anchors of all windows of texts that lie one after the other in ``raw`` (``off``: n+1 offsets).
+
+    h: sort key; c: fingerprint of what the windows cover, with their number in the low six bits; row: the text;
+    start: first window in it; count: windows; sides: two 16-bit hashes, of the anchor with as many bytes before it as
+    half a window needs and with as many after it (0: the windows don't reach so far). Windows that are equal have one
+    of the two in common.
+
+    Arrays of eight bytes for each byte exist for ``most`` windows at a time, however long a text is. A stretch that
+    ends inside a text gives back its last run of windows, with which the next one begins, so runs are as in one piece.
+    """
+    keys = ("h", "c", "row", "start", "count", "sides")
+    parts = [{k: np.zeros(0, np.uint64 if k in "hc" else np.int64) for k in keys}]
+    at = int(off[0]) if len(off) else 0
+    while at <= len(raw) - length:
+        end = min(at + most + length - 1, len(raw))
+        row = np.searchsorted(off, np.arange(at, end - length + 1), side="right") - 1
+        start = np.flatnonzero(np.arange(at + length, end + 1) <= off[row + 1])
+        more = end < len(raw) and len(start) > 0 and start[-1] == len(row) - 1
+        if len(start):
+            found = _stretch(raw[at:end], start, row[start], length)
+            found["start"] = found["start"] + at
+            if more:
+                last = int(found["start"][-1])
+                found = {k: v[:-1] for k, v in found.items()}
+            parts.append(found)
+        at = last if more else end - length + 1
+    out = {k: np.concatenate([p[k] for p in parts]) for k in keys}
+    return out | {"start": out["start"] - off[out["row"]]}
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -233,6 +255,17 @@ def _compare(prune: bool):
     return run
 
 
+def windows_at(raw: np.ndarray, at: np.ndarray, length: int, second: bool = False, most: int = STRETCH) -> np.ndarray:
+    """Hashes of the windows of ``raw`` that start at ``at``; only stretches with one of them are hashed."""
+    order = np.argsort(at, kind="stable")
+    ahead, out = at[order], np.empty(len(at), np.uint64)
+    for low in range(0, len(raw), most):
+        i, j = np.searchsorted(ahead, (low, low + most))
+        if i < j:
+            out[order[i:j]] = window_hashes(byte_values(raw[low : low + most + length - 1], second), length)[ahead[i:j] - low]
+    return out
+
+
 def _windows(length: int):
     """Hashes (96 bits) of the windows of unsettled suffixes. Of equal ones in a slice those of the least id travel; the
     others are settled and come as spans (count is their length in windows)."""
@@ -248,8 +281,8 @@ def _windows(length: int):
                 continue
             at = np.repeat(starts + off[row], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             rows = np.repeat(row, counts)
-            w = signed(mix(window_hashes(byte_values(raw), length)[at], 8))
-            v = (mix(window_hashes(byte_values(raw, True), length)[at], 9) >> U32).astype(np.uint32).view(np.int32)
+            w = signed(mix(windows_at(raw, at, length), 8))
+            v = (mix(windows_at(raw, at, length, True), 9) >> U32).astype(np.uint32).view(np.int32)
             ids, tags = _ids(b), column(b, "tag").to_numpy(zero_copy_only=False)
             order = np.lexsort((ids[rows], v, w))
             head = np.ones(len(order), bool)
