@@ -4,20 +4,23 @@ A document's set holds its distinct shingles of five words (lower-cased A-Z; few
 Two sets link when 100 * intersection >= 75 * union. Under any global order of tokens, linked sets share a token among
 their first n - ceil(0.75 n) + 1. So a candidate must share such a prefix token under each of several orders.
 
-1. Equal sets become one node; copies need no pairs.
-2. Stars: nodes with the same first token under one of ``STARS`` orders are compared with one of them, the one that
-   shares first tokens with most others (of a group of edited copies that is the original, or nearly so).
-   Components of the verified links hold most near copies, at one comparison each instead of one for each pair.
-3. The rest. Prefix tokens under a hash order show which tokens are popular, that is shared by several components.
-   The orders that count put popular tokens last (the more popular the later), so shared passages hardly enter a
-   prefix. Tokens all of whose nodes are in one component can add nothing and go. Nodes of different components that
-   share a token, with sizes and ranks that allow a link (position filter), are candidates; those whose prefixes under
-   the further orders don't meet are dropped, and the others are verified on whole sets. Nodes of tokens with more than
-   ``CROWD`` nodes (large groups of texts just below the limit) are compared block by block inside tasks instead.
+1. Equal sets become one node; copies need no pairs. Stars: of the nodes with the same first token under one of ``STARS``
+   orders one is the hub, the one that shares first tokens with most others (of a group of edited copies that is the
+   original, or nearly so). A node and a hub that meet under ``AGREE`` of the orders at least are candidates. Components
+   of their verified links hold most near copies, at one comparison each instead of one for each pair.
+2. The rest. Three orders put popular tokens last (the more popular the later), so shared passages hardly enter a
+   prefix; each breaks ties its own way. Tokens of the first order's prefixes all of whose nodes are in one component can
+   add nothing and go. Nodes of different components that share one of the others, with sizes and ranks that allow a
+   link (position filter), are met with the prefixes of both under the second and the third order: the pairs whose
+   prefixes meet under all three are the candidates, and only those are verified on whole sets. Nodes of tokens with
+   more than ``CROWD`` nodes (large groups of texts just below the limit) are compared block by block inside tasks, by
+   the same three orders, so that their pairs are never written.
 
 Links of both steps give the components. No link between different components is lost, no list of partners is capped,
-and nothing of a group is collected. The table of popular tokens is cut off at ``POPULAR`` rows so that it can be
-broadcast; it only shapes the orders, and under any order the result is the same. Tokens are 64-bit fingerprints.
+and nothing of a group is collected. What is popular is counted within the slices of the first pass (sets of a slice that
+share a token), and its table is cut off at ``POPULAR`` rows so that it can be broadcast; it only shapes the orders, and
+under any order the result is the same. Tokens are 64-bit fingerprints. A class or a text that many rows share is a hot
+key of an equi-join between tables of their own, which adaptive execution splits; rows without shingles are in no join.
 
 Null and empty texts have no shingles, link with nothing and are their own component. Rows with a null id take part;
 they never name a component (a component of nothing but such rows has a null id). Repeated ids are separate documents.
@@ -26,6 +29,7 @@ they never name a component (a component of nothing but such rows has a null id)
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +40,8 @@ from .common import column, discard, materialise, mix, signed, slices, split_wor
 from .graph import components
 
 SHINGLE = 5
-#: Orders whose first token makes a star, and seeds of the further orders of the prefix filter.
-STARS = 16
+#: Orders whose first token makes a star, how many of them must agree on a pair, and seeds of the orders of the prefix filter.
+STARS, AGREE = 16, 2
 ORDERS = (41, 42, 43)
 #: Rows of the table of popular tokens (16 bytes each).
 POPULAR = 1_000_000
@@ -99,7 +103,22 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(STARS if len(full) else 0):
             mins[:, k] = np.minimum.reduceat(mix(tokens, 100 + k), first[full])
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *np.where(size > 0, STARS, 0)]).astype(np.int32)), pa.array(signed(mins.ravel())))
-        yield pa.RecordBatch.from_pydict({"doc_id": column(b, "doc_id"), "id": column(b, "id"), "tag": column(b, "tag"), "n": size.astype(np.int32), **out, "mins": lists})
+        t, c = _shared_tokens(rows, tokens, out["s1"])
+        held = np.zeros(b.num_rows + 1, np.int32)
+        held[1:] = len(t)  # all with the first row of the slice
+        common = pa.ListArray.from_arrays(pa.array(held), pa.StructArray.from_arrays([pa.array(signed(t)), pa.array(c)], names=["t", "c"]))
+        yield pa.RecordBatch.from_pydict({"doc_id": column(b, "doc_id"), "id": column(b, "id"), "tag": column(b, "tag"), "n": size.astype(np.int32), **out, "mins": lists, "common": common})
+
+
+def _shared_tokens(rows: np.ndarray, tokens: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that two or more different sets of a slice hold, and how many do."""
+    _, first = np.unique(sets, return_index=True)
+    once = np.zeros(len(sets), bool)
+    once[first] = True
+    t = np.sort(tokens[once[rows]])
+    at = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
+    c = np.diff(np.append(at, len(t)))
+    return t[at][c > 1], c[c > 1]
 
 
 class Order:
@@ -122,6 +141,15 @@ class Order:
         return (level << TOP) | (mix(tokens, seed) >> np.uint64(8))
 
 
+def _prefix_lists(order_by: Order, rows: np.ndarray, tokens: np.ndarray, n: int, seed: int, percent: int) -> pa.Array:
+    """The prefix of each of n sets under the order with that seed, in that order."""
+    size, first = _ends(rows, n)
+    order = np.lexsort((order_by.keys(tokens, seed), rows))
+    chosen = np.arange(len(rows)) - first[rows] < prefix_size(size, percent)[rows]
+    count = np.bincount(rows[chosen], minlength=n)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *count]).astype(np.int32)), pa.array(signed(tokens[order][chosen])))
+
+
 def _prefixes(order_by, percent: int):
     """The prefix of each set under the first order, in that order."""
 
@@ -129,39 +157,37 @@ def _prefixes(order_by, percent: int):
         for b in slices(batches, "text"):
             rows, tokens = shingle_sets(texts_of(b))
             size, first = _ends(rows, b.num_rows)
-            key = order_by.value.keys(tokens, ORDERS[0])
-            order = np.lexsort((key, rows))
-            rank = np.arange(len(rows)) - first[rows]
-            chosen = rank < prefix_size(size, percent)[rows]
-            count = np.bincount(rows[chosen], minlength=b.num_rows)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *count]).astype(np.int32)), pa.array(signed(tokens[order][chosen])))
             with np.errstate(over="ignore"):
                 s = np.zeros((2, b.num_rows), np.uint64)
                 full = np.flatnonzero(size)
                 for k, seed in enumerate((21, 22) if len(full) else ()):
                     s[k, full] = mix(np.add.reduceat(mix(tokens, seed), first[full]) + size[full].astype(np.uint64), seed)
-            yield pa.RecordBatch.from_pydict({"id": column(b, "id"), "tag": column(b, "tag"), "s1": signed(s[0]), "s2": signed(s[1]), "prefix": lists})
+            yield pa.RecordBatch.from_pydict({"id": column(b, "id"), "tag": column(b, "tag"), "s1": signed(s[0]), "s2": signed(s[1]), "prefix": _prefix_lists(order_by.value, rows, tokens, b.num_rows, ORDERS[0], percent)})
 
     return run
 
 
-def _verify(order_by, percent: int):
-    """Pairs (a, b) of a group that link, from the texts of its nodes. With an order, prefixes under all further orders
-    must meet before whole sets are compared."""
+def _further(order_by, percent: int):
+    """The prefixes of each node under the further orders."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            rows, tokens = shingle_sets(texts_of(b))
+            yield pa.RecordBatch.from_pydict({"node": column(b, "node"), **{f"p{k}": _prefix_lists(order_by.value, rows, tokens, b.num_rows, seed, percent) for k, seed in enumerate(ORDERS[1:], 1)}})
+
+    return run
+
+
+def _verify(percent: int):
+    """Pairs (a, b) of a group that link, from the whole texts of its nodes."""
 
     def run(key: tuple, pairs: pa.Table, texts: pa.Table) -> pa.Table:
-        sets: dict[int, list[np.ndarray]] = {}
+        sets: dict[int, np.ndarray] = {}
         for b in slices(iter(texts.combine_chunks().to_batches()), "text"):
             rows, tokens = shingle_sets(texts_of(b))
             size, first = _ends(rows, b.num_rows)
-            views = [tokens]
-            for seed in ORDERS[1:] if order_by else ():
-                key_of = order_by.value.keys(tokens, seed)
-                order = np.lexsort((key_of, rows))
-                views.append((tokens[order], prefix_size(size, percent)))
             for k, node in enumerate(column(b, "node").to_pylist()):
-                own = slice(first[k], first[k] + size[k])
-                sets[node] = [tokens[own].copy(), *[t[first[k] : first[k] + p[k]].copy() for t, p in views[1:]]]
+                sets[node] = tokens[first[k] : first[k] + size[k]].copy()
         a, b = (pairs.column(c).to_numpy() for c in "ab")
         order = np.argsort(a, kind="stable")
         a, b = a[order], b[order]
@@ -169,20 +195,17 @@ def _verify(order_by, percent: int):
         cut = [*np.flatnonzero(np.diff(a, prepend=a[0] - 1 if len(a) else 0)), len(a)]
         for i, j in zip(cut[:-1], cut[1:], strict=True):
             mine = sets.get(a[i])
+            if mine is None:
+                continue
             for k in range(i, j, CHUNK):
-                others = [sets.get(x) for x in b[k : min(j, k + CHUNK)]]
-                live = np.array([mine is not None and x is not None for x in others])
-                for view in range(len(mine) - 1 if mine else 0, -1, -1):
-                    at = np.flatnonzero(live)
-                    if not len(at):
-                        break
-                    size = np.array([len(others[x][view]) for x in at])
-                    flat = np.concatenate([others[x][view] for x in at])
-                    known = mine[view] if view == 0 else np.sort(mine[view])
-                    place = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-                    both = np.add.reduceat((known[place] == flat).astype(np.int64), np.cumsum(size) - size)
-                    live[at] = both > 0 if view else 100 * both >= percent * (len(known) + size - both)
-                linked[k : min(j, k + CHUNK)] = live
+                at = [x for x in range(k, min(j, k + CHUNK)) if b[x] in sets]
+                if not at:
+                    continue
+                size = np.array([len(sets[b[x]]) for x in at])
+                flat = np.concatenate([sets[b[x]] for x in at])
+                place = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+                both = np.add.reduceat((mine[place] == flat).astype(np.int64), np.cumsum(size) - size)
+                linked[at] = 100 * both >= percent * (len(mine) + size - both)
         return pa.table({"a": pa.array(a[linked]), "b": pa.array(b[linked])})
 
     return run
@@ -252,20 +275,31 @@ def _crowd_links(listed: DataFrame, crowded: DataFrame, nodes: DataFrame, docs:
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, repeated: bool, order_by=None) -> DataFrame:
-    """The pairs (a, b) of nodes that link, verified on whole texts. Nodes fall into blocks of about ``BLOCK_BYTES`` of
-    text, and a task compares the pairs of two blocks: a text is sent once for each block that it has partners in, not
-    once for each partner. ``repeated``: whole rows may occur twice."""
+    """The pairs (a, b) of nodes that link, verified on whole texts. With an order, prefixes under all further orders must
+    meet first. Nodes fall into blocks of about ``BLOCK_BYTES`` of text, and a task compares the pairs of two blocks: a
+    text is sent once for each block that it has partners in, not once for each partner. ``repeated``: whole rows may
+    occur twice."""
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "id", "tag")
     texts = materialise((lambda x: x.dropDuplicates(["node"]) if repeated else x)(docs.join(need, ["id", "tag"]).select("node", "text")), "jaccard-texts", tidy=True)
+    if order_by is not None:
+        names = [f"p{k}" for k in range(1, len(ORDERS))]
+        held = materialise(texts.mapInArrow(_further(order_by, percent), "node long, " + ", ".join(f"{x} array<long>" for x in names)), "jaccard-further")
+        for side in "ab":
+            pairs = pairs.join(held.select(F.col("node").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in names]), side)
+        meet = reduce(lambda x, y: x & y, [F.arrays_overlap(f"{x}_a", f"{x}_b") for x in names])
+        pairs = materialise(pairs.where(meet).select("a", "b"), "jaccard-candidates", tidy=True)
+        discard(held)
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).alias("x" if c == "a" else "y")
     placed = pairs.select("a", "b", block("a"), block("b"))
     wanted = placed.select(F.col("a").alias("node"), "x", "y").union(placed.select("b", "x", "y")).distinct()
     ready = texts.join(wanted, "node").select(F.col("x").alias("to_x"), F.col("y").alias("to_y"), "node", "text")
-    found = placed.groupBy("x", "y").cogroup(ready.groupBy("to_x", "to_y")).applyInArrow(_verify(order_by, percent), "a long, b long")
+    found = placed.groupBy("x", "y").cogroup(ready.groupBy("to_x", "to_y")).applyInArrow(_verify(percent), "a long, b long")
     found = materialise(found.distinct(), "jaccard-links", tidy=True)
     discard(texts)
+    if order_by is not None:
+        discard(pairs)
     return found
 
 
@@ -274,7 +308,7 @@ def join_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     spark = docs.sparkSession
     doc_id = F.col("doc_id").cast("long")
     docs = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(NULL_ID)).alias("id"), F.crc32(F.coalesce("text", F.lit(""))).alias("tag"), "text")
-    signs = materialise(docs.mapInArrow(_signatures, "doc_id long, id long, tag long, n int, s1 long, s2 long, mins array<long>"), "jaccard-signs")
+    signs = materialise(docs.mapInArrow(_signatures, "doc_id long, id long, tag long, n int, s1 long, s2 long, mins array<long>, common array<struct<t:long,c:long>>"), "jaccard-signs")
     repeated = not signs.groupBy("id", "tag").count().where("count > 1").isEmpty()
     first = F.min(F.struct("id", "tag"))
     sets = signs.where("n > 0").groupBy("s1", "s2").agg(F.min("n").alias("n"), F.min("doc_id").alias("least"), first.alias("rep"), F.first("mins").alias("mins"))
@@ -288,28 +322,26 @@ def join_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     central = shared_firsts.groupBy("node").agg(F.sum("c").alias("central"))
     ranked = shared_firsts.join(central, "node").withColumn("order", F.struct(-F.col("central"), "node"))
     hubs = ranked.groupBy("k", "m").agg(F.min_by(F.struct("node", "n"), "order").alias("hub")).select("k", "m", F.col("hub.node").alias("a"), F.col("hub.n").alias("n_a"))
-    pairs = shared_firsts.join(hubs, ["k", "m"]).where("a <> node").where(100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))
-    pairs = materialise(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "jaccard-stars")
+    hubs = materialise(hubs, "jaccard-hubs")  # a table of its own, so that a popular first token is a join that can be split
+    met = shared_firsts.join(hubs, ["k", "m"]).where("a <> node").where(100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))
+    met = met.groupBy(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).agg(F.countDistinct("k").alias("orders"))
+    pairs = materialise(met.where(F.col("orders") >= AGREE).select("a", "b"), "jaccard-stars")
+    discard(shared_firsts)
+    discard(hubs)
     found = _linked(pairs, nodes, docs, percent, repeated)
+    discard(pairs)
     groups = components(found)
 
-    def prefixes(order: Order) -> DataFrame:
-        """node, n, component, prefix of every node."""
-        held = docs.mapInArrow(_prefixes(spark.sparkContext.broadcast(order), percent), "id long, tag long, s1 long, s2 long, prefix array<long>")
-        held = held.join(nodes.select("node", "s1", "s2", "n", "id", "tag"), ["s1", "s2", "id", "tag"])
-        held = (held.dropDuplicates(["node"]) if repeated else held).join(groups, "node", "left")
-        return held.select("node", "n", F.coalesce("component", "node").alias("component"), "prefix")
-
-    def shared(spread: DataFrame) -> DataFrame:
-        return spread.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("c")).where("low <> high").select("t", "c")
-
-    none = np.zeros(0, np.uint64)
-    popular = materialise(shared(prefixes(Order(none, none)).select("component", F.explode("prefix").alias("t"))), "jaccard-popular", tidy=True)
+    popular = signs.where(F.size("common") > 0).select(F.inline("common")).groupBy("t").agg(F.sum("c").alias("c"))
     top = popular.orderBy(F.desc("c"), "t").limit(POPULAR).toArrow()  # bounded
-    order = Order(top.column("t").to_numpy().astype(np.int64).view(np.uint64), top.column("c").to_numpy())
-    held = materialise(prefixes(order), "jaccard-prefixes", tidy=True)
+    order = spark.sparkContext.broadcast(Order(top.column("t").to_numpy().astype(np.int64).view(np.uint64), top.column("c").to_numpy()))
+    held = docs.mapInArrow(_prefixes(order, percent), "id long, tag long, s1 long, s2 long, prefix array<long>")
+    held = held.where(F.size("prefix") > 0).join(nodes.select("node", "s1", "s2", "n", "id", "tag"), ["s1", "s2", "id", "tag"])
+    held = (held.dropDuplicates(["node"]) if repeated else held).join(groups, "node", "left")
+    held = materialise(held.select("node", "n", F.coalesce("component", "node").alias("component"), "prefix"), "jaccard-prefixes", tidy=True)
     spread = held.select("node", "n", "component", F.posexplode("prefix").alias("rank", "t"))
-    mixed = materialise(shared(spread).select("t"), "jaccard-tokens", tidy=True)
+    span = spread.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = materialise(span.where("low <> high").select("t"), "jaccard-tokens", tidy=True)
     listed = materialise(spread.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_ROWS else mixed, "t"), "jaccard-postings", tidy=True)
     crowded = materialise(listed.groupBy("t").count().where(F.col("count") > CROWD).select("t"), "jaccard-crowded")
     few = listed.join(crowded, "t", "left_anti")
@@ -319,15 +351,19 @@ def join_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     place = F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b")) >= needed
     pairs = left.join(right, (left["t"] == right["t"]) & fits & place).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     pairs = materialise(pairs.distinct(), "jaccard-pairs", tidy=True)
-    shared_order = spark.sparkContext.broadcast(order)
-    more = _linked(pairs, nodes, docs, percent, repeated, shared_order)
+    more = _linked(pairs, nodes, docs, percent, repeated, order)
     if not crowded.isEmpty():
-        more = more.union(_crowd_links(listed, crowded, nodes, docs, percent, repeated, shared_order))
-    discard(held)
-    discard(listed)
+        more = more.union(_crowd_links(listed, crowded, nodes, docs, percent, repeated, order))
     groups = components(found.union(more))
-
-    labelled = nodes.join(groups, "node", "left").select("s1", "s2", "least", F.coalesce("component", "node").alias("component"))
-    heads = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    labelled = labelled.join(heads, "component").select("s1", "s2", "component_id")
-    return signs.join(labelled, ["s1", "s2"], "left").select("doc_id", F.col("tag").alias("text_crc32"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    for table in (held, mixed, listed, crowded, pairs, found):
+        discard(table)
+
+    # a component is named by its least node, which is a doc_id unless one of its nodes goes by a fingerprint
+    labelled = nodes.join(groups, "node", "left").select("node", "s1", "s2", "least", F.coalesce("component", "node").alias("component"))
+    labelled = materialise(labelled, "jaccard-labels")
+    odd = labelled.where(~F.col("node").eqNullSafe(F.col("least"))).select("component").distinct()
+    heads = labelled.join(odd, "component", "left_semi").groupBy("component").agg(F.min("least").alias("component_id"), F.lit(True).alias("renamed"))
+    labelled = labelled.join(heads, "component", "left").select("s1", "s2", F.when(F.col("renamed"), F.col("component_id")).otherwise(F.col("component")).alias("component_id"))
+    with_sets = signs.where("n > 0").join(labelled, ["s1", "s2"], "left").select("doc_id", "tag", "n", "component_id")
+    rows = with_sets.unionByName(signs.where("n = 0").select("doc_id", "tag", "n", F.col("doc_id").alias("component_id")))
+    return rows.select("doc_id", F.col("tag").alias("text_crc32"), F.col("n").cast("long").alias("n_shingles"), "component_id")
