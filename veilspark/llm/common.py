@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space; this is their separator.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -177,3 +178,33 @@ def signed(x: np.ndarray) -> np.ndarray:
 def row_offsets(rows: np.ndarray, n: int) -> np.ndarray:
     """Offsets of each of n rows in the sorted array of row numbers."""
     return np.searchsorted(rows, np.arange(n + 1))
+
+
+class KeyFilter:
+    """A bit for the leading bits of each key: lets all of them through, and some others."""
+
+    def __init__(self, bits: np.ndarray, width: int):
+        self.bits, self.width = bits, width
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        slot = (keys >> np.uint64(64 - self.width)).astype(np.int64)
+        return (self.bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+
+
+def _filter_words(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slot = np.unique(b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - width)).astype(np.int64)
+            if len(slot):
+                at = np.flatnonzero(np.diff(slot >> 5, prepend=-1))
+                yield pa.RecordBatch.from_pydict({"word": slot[at] >> 5, "bits": np.bitwise_or.reduceat(np.int64(1) << (slot & 31), at)})
+
+    return run
+
+
+def key_filter(keys: DataFrame, width: int = 25):
+    """A broadcast :class:`KeyFilter` of a column of hashes. Its size is fixed; at most 2**width / 32 rows are collected."""
+    words = keys.mapInArrow(_filter_words(width), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(1 << width - 5, "<u4")
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype("<u4")
+    return keys.sparkSession.sparkContext.broadcast(KeyFilter(bits.view(np.uint8), width))

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, column, hash_strings, materialise, mix, signed, slices, texts_of, window_hashes
+from .common import BASE, column, hash_strings, key_filter, materialise, mix, signed, slices, texts_of, window_hashes
 from .suffix_dedup import _window_min
 
 #: Tokens of a window and of an anchor; pages and share of a host's pages for boilerplate.
@@ -42,8 +42,6 @@ PAGES, SHARE = 8, 0.2
 #: Fewest pages for boilerplate on hosts of fewer than twice ``PAGES``.
 FEW = 5
 SAMPLE_ROWS = 256
-#: Leading bits of a key that filters tell apart.
-FILTER_BITS = 25
 ROWS = "range int, h long, host long, n int"
 
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>)", re.S)
@@ -202,14 +200,9 @@ def _windows(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return *token_windows(page, block, keys, column(b, "host").to_numpy().view(np.uint64)), page
 
 
-def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
-
-
 def _picked(b: pa.RecordBatch, mirrors, wanted: bool) -> pa.RecordBatch:
     """The pages that a filter of mirrors lets through, or the others."""
-    return b.filter(pa.array(_passes(mirrors.value, column(b, "print").to_numpy().view(np.uint64)) == wanted))
+    return b.filter(pa.array(mirrors.value.passes( column(b, "print").to_numpy().view(np.uint64)) == wanted))
 
 
 def _rows(splitters: np.ndarray, known=None, mirrors=None):
@@ -222,7 +215,7 @@ def _rows(splitters: np.ndarray, known=None, mirrors=None):
             h, w, first, _, page = _windows(b)
             own = page[first]
             if known is not None:
-                asked = _passes(known.value, h)
+                asked = known.value.passes(h)
                 h, own = w[asked], own[asked]
             if not len(h):
                 continue
@@ -257,23 +250,6 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({k: [int(x)] for k, x in zip(("h", "host", "n"), held, strict=True)})
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of a filter that keys set bits in."""
-    for b in batches:
-        slot = np.unique(column(b, "h").to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-        if len(slot):
-            at = np.flatnonzero(np.diff(slot >> 5, prepend=-1))
-            yield pa.RecordBatch.from_pydict({"word": slot[at] >> 5, "bits": np.bitwise_or.reduceat(np.int64(1) << (slot & 31), at)})
-
-
-def _filter(keys: DataFrame):
-    """A bit for the leading ``FILTER_BITS`` bits of each key, broadcast; at most 2**FILTER_BITS / 32 rows are collected."""
-    words = keys.mapInArrow(_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(1 << FILTER_BITS - 5, "<u4")
-    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype("<u4")
-    return keys.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
-
-
 def _often(pages: DataFrame, again: DataFrame, mirrors, hosts: DataFrame, splitters: np.ndarray, name: str, known=None) -> DataFrame:
     """h of the anchors (of the windows, if a filter of anchors is known) that are on enough pages of their host.
     ``again``: one page of each group of mirrors."""
@@ -290,14 +266,14 @@ def boilerplate(pages: DataFrame) -> DataFrame:
     pages = pages.select("row", "stream", "host", "print")
     distinct = materialise(pages.groupBy("print").agg(F.min("row").alias("row"), F.min("host").alias("host"), F.count("*").alias("n")), "html-distinct")
     hosts = distinct.groupBy("host").agg(F.count("*").alias("pages"))
-    mirrors = _filter(distinct.where("n > 1").select(F.col("print").alias("h")))
+    mirrors = key_filter(distinct.where("n > 1").select(F.col("print").alias("h")))
     passed = pages.mapInArrow(lambda batches: (_picked(b, mirrors, True) for b in batches), "row long, stream string, host long, print long")
     again = materialise(passed.join(distinct.select("row"), "row", "left_semi"), "html-again")
     sample = pages.limit(SAMPLE_ROWS).mapInArrow(_rows(np.zeros(0, np.uint64)), ROWS).select("h").toArrow()
     h = np.sort(sample.column("h").to_numpy().astype(np.int64).view(np.uint64))
     splitters = np.unique(h[np.linspace(0, len(h) - 1, 4 * parts + 1).astype(np.int64)[1:-1]]) if len(h) else h
     anchors = _often(pages, again, mirrors, hosts, splitters, "anchors")
-    return _often(pages, again, mirrors, hosts, splitters, "windows", _filter(anchors))
+    return _often(pages, again, mirrors, hosts, splitters, "windows", key_filter(anchors))
 
 
 def _found(known):
@@ -307,7 +283,7 @@ def _found(known):
         for b in slices(batches, "stream"):
             _, w, first, end, page = _windows(b)
             begin = np.searchsorted(page, np.arange(b.num_rows))
-            at = np.flatnonzero(_passes(known.value, w))
+            at = np.flatnonzero(known.value.passes(w))
             own = page[first[at]]
             yield pa.RecordBatch.from_pydict({"h": signed(w[at]), "row": column(b, "row").take(pa.array(own)), "first": (first[at] - begin[own]).astype(np.int32), "end": (end[at] - begin[own]).astype(np.int32)})
 
@@ -336,7 +312,7 @@ def extract(pages: DataFrame) -> DataFrame:
     parsed = pages.select("page_id", "url", "html").mapInArrow(_parse, f"page_id {id_type}, url string, stream string, host long, print long")
     parsed = materialise(parsed.withColumn("row", F.monotonically_increasing_id()), "html-streams")
     known = boilerplate(parsed)
-    rows = parsed.select("row", "stream", "host").mapInArrow(_found(_filter(known)), "h long, row long, first int, end int")
+    rows = parsed.select("row", "stream", "host").mapInArrow(_found(key_filter(known)), "h long, row long, first int, end int")
     covered = materialise(rows.join(known, "h").groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("spans")), "html-spans")
     none = F.array().cast("array<struct<first:int,end:int>>")
     joined = parsed.join(covered, "row", "left")

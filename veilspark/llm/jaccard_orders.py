@@ -17,9 +17,10 @@ their first n - ceil(0.75 n) + 1. So a candidate must share such a prefix token
    the same three orders, so that their pairs are never written.
 
 Links of both steps give the components. No link between different components is lost, no list of partners is capped,
-and nothing of a group is collected. What is popular is counted within the slices of the first pass (sets of a slice that
-share a token), and its table is cut off at ``POPULAR`` rows so that it can be broadcast; it only shapes the orders, and
-under any order the result is the same. Tokens are 64-bit fingerprints. A class or a text that many rows share is a hot
+and nothing of a group is collected. What is popular (tokens of several components in prefixes by hashes alone) is cut
+off at ``POPULAR`` rows so that it can be broadcast; it only shapes the orders, and under any order the result is the
+same. Tokens travel as arrays, one for each range of them, and a filter of fixed size keeps those of one component
+from becoming rows; what it lets through is joined exactly. Tokens are 64-bit fingerprints. A class or a text that many rows share is a hot
 key of an equi-join between tables of their own, which adaptive execution splits; rows without shingles are in no join.
 
 Null and empty texts have no shingles, link with nothing and are their own component. Rows with a null id take part;
@@ -33,16 +34,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, discard, materialise, mix, signed, slices, split_words, texts_of, window_hashes, word_hashes
+from .common import column, discard, key_filter, materialise, mix, signed, slices, split_words, texts_of, window_hashes, word_hashes
 from .graph import components
 
 SHINGLE = 5
 #: Orders whose first token makes a star, how many of them must agree on a pair, and seeds of the orders of the prefix filter.
 STARS, AGREE = 16, 2
-ORDERS = (41, 42, 43)
+ORDERS = (0, 42, 43)
 #: Rows of the table of popular tokens (16 bytes each).
 POPULAR = 1_000_000
 NULL_ID = 2**63 - 1
@@ -50,8 +52,8 @@ NULL_ID = 2**63 - 1
 BLOCK_BYTES, CHUNK = 4 << 20, 2000
 #: Nodes of a token beyond which its pairs are made inside tasks only, and bytes of a block of such nodes.
 CROWD, CROWD_BYTES = 64, 1 << 20
-#: Token tables up to so many rows (8 bytes each) are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 200_000
+#: Leading bits that the filter of shared tokens tells apart (a broadcast of 8 MB).
+FILTER_BITS = 26
 TOP = np.uint64(56)
 
 
@@ -71,13 +73,20 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.n
                 there = k < n[few]
                 whole[there] = mix(whole[there], 2) + hashes[first[there] + k]
             rows, tokens = np.concatenate([rows, few]), np.concatenate([tokens, mix(whole + n[few].astype(np.uint64), 3)])
-    order = np.lexsort((tokens, rows))
-    rows, tokens = rows[order], tokens[order]
+            order = np.argsort(rows, kind="stable")
+            rows, tokens = rows[order], tokens[order]
+    _sort_each(tokens, np.searchsorted(rows, np.arange(len(texts) + 1)))
     new = np.ones(len(rows), bool)
     new[1:] = (rows[1:] != rows[:-1]) | (tokens[1:] != tokens[:-1])
     return rows[new], tokens[new]
 
 
+def _sort_each(values: np.ndarray, off: np.ndarray) -> None:
+    """Sort the values between offsets in place; much faster than one sort by two keys."""
+    for a, b in zip(off[:-1], off[1:], strict=True):
+        values[a:b].sort()
+
+
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
@@ -87,67 +96,69 @@ def _ends(rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return size, np.cumsum(size) - size
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "text"):
-        rows, tokens = shingle_sets(texts_of(b))
-        size, first = _ends(rows, b.num_rows)
-        full = np.flatnonzero(size)
-        out = {}
-        with np.errstate(over="ignore"):
-            for k, seed in enumerate((21, 22)):
-                s = np.zeros(b.num_rows, np.uint64)
-                if len(full):
-                    s[full] = mix(np.add.reduceat(mix(tokens, seed), first[full]) + size[full].astype(np.uint64), seed)
-                out[f"s{k + 1}"] = signed(s)
-        mins = np.zeros((len(full), STARS), np.uint64)
-        for k in range(STARS if len(full) else 0):
-            mins[:, k] = np.minimum.reduceat(mix(tokens, 100 + k), first[full])
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *np.where(size > 0, STARS, 0)]).astype(np.int32)), pa.array(signed(mins.ravel())))
-        t, c = _shared_tokens(rows, tokens, out["s1"])
-        held = np.zeros(b.num_rows + 1, np.int32)
-        held[1:] = len(t)  # all with the first row of the slice
-        common = pa.ListArray.from_arrays(pa.array(held), pa.StructArray.from_arrays([pa.array(signed(t)), pa.array(c)], names=["t", "c"]))
-        yield pa.RecordBatch.from_pydict({"doc_id": column(b, "doc_id"), "id": column(b, "id"), "tag": column(b, "tag"), "n": size.astype(np.int32), **out, "mins": lists, "common": common})
-
-
-def _shared_tokens(rows: np.ndarray, tokens: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that two or more different sets of a slice hold, and how many do."""
-    _, first = np.unique(sets, return_index=True)
-    once = np.zeros(len(sets), bool)
-    once[first] = True
-    t = np.sort(tokens[once[rows]])
-    at = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
-    c = np.diff(np.append(at, len(t)))
-    return t[at][c > 1], c[c > 1]
+def _signatures(percent: int):
+    """Fingerprints of each set, its first token under each of the star orders, and its prefix by hashes alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            rows, tokens = shingle_sets(texts_of(b))
+            size, first = _ends(rows, b.num_rows)
+            full = np.flatnonzero(size)
+            out = {}
+            with np.errstate(over="ignore"):
+                for k, seed in enumerate((21, 22)):
+                    s = np.zeros(b.num_rows, np.uint64)
+                    if len(full):
+                        s[full] = mix(np.add.reduceat(mix(tokens, seed), first[full]) + size[full].astype(np.uint64), seed)
+                    out[f"s{k + 1}"] = signed(s)
+            mins = np.zeros((len(full), STARS), np.uint64)
+            for k in range(STARS if len(full) else 0):
+                mins[:, k] = np.minimum.reduceat(mix(tokens, 100 + k), first[full])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *np.where(size > 0, STARS, 0)]).astype(np.int32)), pa.array(signed(mins.ravel())))
+            prefix = _prefix_lists(None, rows, tokens, b.num_rows, ORDERS[0], percent)
+            yield pa.RecordBatch.from_pydict({"doc_id": column(b, "doc_id"), "id": column(b, "id"), "tag": column(b, "tag"), "n": size.astype(np.int32), **out, "mins": lists, "prefix": prefix})
+
+    return run
 
 
 class Order:
-    """Global orders of tokens: those that aren't popular first, then by popularity; each seed breaks ties its own way."""
+    """Global orders of tokens: those that aren't popular first, then by popularity; each seed breaks ties its own way, and
+    the seed 0 by the token itself."""
 
     def __init__(self, tokens: np.ndarray, counts: np.ndarray):
         order = np.argsort(tokens)
         self.tokens = tokens[order]
         self.levels = np.concatenate([1 + np.log2(counts[order].astype(float)), [0]]).astype(np.uint64)
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[self.tokens >> np.uint64(44)] = True
+        self.maybe = np.zeros(1 << 24, bool)
+        self.maybe[self.tokens >> np.uint64(40)] = True
 
-    def keys(self, tokens: np.ndarray, seed: int) -> np.ndarray:
-        level = np.zeros(len(tokens), np.uint64)
-        at = np.flatnonzero(self.maybe[tokens >> np.uint64(44)])
+    def level(self, tokens: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(tokens), np.uint64)
+        at = np.flatnonzero(self.maybe[tokens >> np.uint64(40)])
         if len(at):
             k = np.searchsorted(self.tokens, tokens[at])
             same = self.tokens[np.minimum(k, len(self.tokens) - 1)] == tokens[at]
-            level[at] = np.where(same, self.levels[k], 0)
-        return (level << TOP) | (mix(tokens, seed) >> np.uint64(8))
+            out[at] = np.where(same, self.levels[k], 0)
+        return out
+
+    def keys(self, tokens: np.ndarray, seed: int) -> np.ndarray:
+        return (self.level(tokens) << TOP) | ((mix(tokens, seed) if seed else tokens) >> np.uint64(8))
 
 
-def _prefix_lists(order_by: Order, rows: np.ndarray, tokens: np.ndarray, n: int, seed: int, percent: int) -> pa.Array:
-    """The prefix of each of n sets under the order with that seed, in that order."""
+def _prefix_lists(order_by: Order | None, rows: np.ndarray, tokens: np.ndarray, n: int, seed: int, percent: int) -> pa.Array:
+    """The prefix of each of n sets (sorted) under the order with that seed, in that order. Without levels: by the tokens
+    themselves."""
     size, first = _ends(rows, n)
-    order = np.lexsort((order_by.keys(tokens, seed), rows))
+    if order_by and seed:
+        tokens = tokens[np.lexsort((order_by.keys(tokens, seed), rows))]
+    elif order_by:  # sets without popular tokens are in order
+        level = order_by.level(tokens)
+        some = np.flatnonzero(np.isin(rows, np.unique(rows[level > 0])))
+        tokens = tokens.copy()
+        tokens[some] = tokens[some][np.lexsort((level[some], rows[some]))]
     chosen = np.arange(len(rows)) - first[rows] < prefix_size(size, percent)[rows]
     count = np.bincount(rows[chosen], minlength=n)
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *count]).astype(np.int32)), pa.array(signed(tokens[order][chosen])))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *count]).astype(np.int32)), pa.array(signed(tokens[chosen])))
 
 
 def _prefixes(order_by, percent: int):
@@ -167,6 +178,83 @@ def _prefixes(order_by, percent: int):
     return run
 
 
+def _dealt(ranges: int):
+    """The tokens of prefixes, each once for a batch with the least and the greatest component that holds it and their
+    number, as arrays of bytes for each range of tokens: one row for a range, not one for a token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = column(b, "prefix")
+            t = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            if not len(t):
+                continue
+            own = np.repeat(column(b, "component").to_numpy(), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            order = np.lexsort((own, t))
+            t, own = t[order], own[order]
+            new = np.append(True, t[1:] != t[:-1])
+            c = np.add.reduceat((new | np.append(True, own[1:] != own[:-1])).astype(np.int32), at := np.flatnonzero(new))
+            t, low, high = t[at], own[at], own[np.append(at[1:], len(own)) - 1]
+            place = ((t >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+            cut = np.flatnonzero(np.diff(place, prepend=-1))
+            pieces = list(zip(cut, np.append(cut[1:], len(t)), strict=True))
+            yield pa.RecordBatch.from_pydict({"range": place[cut], **{k: pa.array([v[i:j].tobytes() for i, j in pieces], pa.binary()) for k, v in (("t", t), ("low", low), ("high", high), ("c", c.astype("<i4")))}})
+
+    return run
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens that more than one component holds, and how many do, from rows of :func:`_dealt` sorted by range."""
+    held: dict[str, list[bytes]] = {}
+    now = None
+
+    def ready() -> pa.RecordBatch:
+        t = np.frombuffer(b"".join(held["t"]), np.uint64)
+        low, high = (np.frombuffer(b"".join(held[k]), np.int64) for k in ("low", "high"))
+        order = np.argsort(t, kind="stable")
+        t = t[order]
+        at = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+        low, high = np.minimum.reduceat(low[order], at), np.maximum.reduceat(high[order], at)
+        c = np.add.reduceat(np.frombuffer(b"".join(held["c"]), "<i4")[order].astype(np.int64), at)
+        more = low < high
+        return pa.RecordBatch.from_pydict({"t": signed(t[at][more]), "c": c[more]})
+
+    for b in batches:
+        for k, one in enumerate(column(b, "range").to_pylist()):
+            if one != now:
+                if held:
+                    yield ready()
+                held, now = {x: [] for x in ("t", "low", "high", "c")}, one
+            for x, parts in held.items():
+                parts.append(column(b, x)[k].as_py())
+    if held:
+        yield ready()
+
+
+def _mixed(prefixes: DataFrame) -> DataFrame:
+    """t, c: tokens of the ``prefixes`` (component, prefix) of more than one component, and how many hold them (rows of
+    a component in several batches count several times). A token is in one row of a range for each batch, however many
+    sets hold it."""
+    parts = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = prefixes.select("component", "prefix").mapInArrow(_dealt(2 * parts), "range int, t binary, low binary, high binary, c binary")
+    return rows.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_met, "t long, c long")
+
+
+def _postings(known):
+    """Tokens of prefixes that a filter lets through, with their set and their rank in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = column(b, "prefix")
+            t = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            count = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = np.flatnonzero(known.value.passes(t.view(np.uint64))) if len(t) else np.zeros(0, np.int64)
+            row = np.repeat(np.arange(b.num_rows), count)[at]
+            rank = at - (np.cumsum(count) - count)[row]
+            yield pa.RecordBatch.from_arrays([*[column(b, k).take(pa.array(row)) for k in ("node", "n", "component")], pa.array(rank.astype(np.int32)), pa.array(t[at])], names=["node", "n", "component", "rank", "t"])
+
+    return run
+
+
 def _further(order_by, percent: int):
     """The prefixes of each node under the further orders."""
 
@@ -308,7 +396,7 @@ def join_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     spark = docs.sparkSession
     doc_id = F.col("doc_id").cast("long")
     docs = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(NULL_ID)).alias("id"), F.crc32(F.coalesce("text", F.lit(""))).alias("tag"), "text")
-    signs = materialise(docs.mapInArrow(_signatures, "doc_id long, id long, tag long, n int, s1 long, s2 long, mins array<long>, common array<struct<t:long,c:long>>"), "jaccard-signs")
+    signs = materialise(docs.mapInArrow(_signatures(percent), "doc_id long, id long, tag long, n int, s1 long, s2 long, mins array<long>, prefix array<long>"), "jaccard-signs")
     repeated = not signs.groupBy("id", "tag").count().where("count > 1").isEmpty()
     first = F.min(F.struct("id", "tag"))
     sets = signs.where("n > 0").groupBy("s1", "s2").agg(F.min("n").alias("n"), F.min("doc_id").alias("least"), first.alias("rep"), F.first("mins").alias("mins"))
@@ -332,17 +420,17 @@ def join_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     discard(pairs)
     groups = components(found)
 
-    popular = signs.where(F.size("common") > 0).select(F.inline("common")).groupBy("t").agg(F.sum("c").alias("c"))
+    named = nodes.join(groups, "node").select("s1", "component")
+    popular = materialise(_mixed(signs.where("n > 0").join(named, "s1", "left").select(F.coalesce("component", "s1").alias("component"), "prefix")), "jaccard-popular", tidy=True)
     top = popular.orderBy(F.desc("c"), "t").limit(POPULAR).toArrow()  # bounded
     order = spark.sparkContext.broadcast(Order(top.column("t").to_numpy().astype(np.int64).view(np.uint64), top.column("c").to_numpy()))
     held = docs.mapInArrow(_prefixes(order, percent), "id long, tag long, s1 long, s2 long, prefix array<long>")
     held = held.where(F.size("prefix") > 0).join(nodes.select("node", "s1", "s2", "n", "id", "tag"), ["s1", "s2", "id", "tag"])
     held = (held.dropDuplicates(["node"]) if repeated else held).join(groups, "node", "left")
     held = materialise(held.select("node", "n", F.coalesce("component", "node").alias("component"), "prefix"), "jaccard-prefixes", tidy=True)
-    spread = held.select("node", "n", "component", F.posexplode("prefix").alias("rank", "t"))
-    span = spread.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = materialise(span.where("low <> high").select("t"), "jaccard-tokens", tidy=True)
-    listed = materialise(spread.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_ROWS else mixed, "t"), "jaccard-postings", tidy=True)
+    mixed = materialise(_mixed(held).select("t"), "jaccard-tokens", tidy=True)
+    rows = held.mapInArrow(_postings(key_filter(mixed, FILTER_BITS)), "node long, n int, component long, rank int, t long")
+    listed = materialise(rows.join(mixed, "t"), "jaccard-postings", tidy=True)
     crowded = materialise(listed.groupBy("t").count().where(F.col("count") > CROWD).select("t"), "jaccard-crowded")
     few = listed.join(crowded, "t", "left_anti")
     left, right = (few.select("t", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component", "rank")]) for s in "ab")
