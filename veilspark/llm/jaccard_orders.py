@@ -299,6 +299,23 @@ def _verify(percent: int):
     return run
 
 
+class _Index:
+    """Which of some sets hold each of some tokens (numbered from 0)."""
+
+    def __init__(self, flat: np.ndarray, count: np.ndarray, tokens: int):
+        self.flat, self.cut, self.sets = flat, np.concatenate([[0], np.cumsum(count)]), len(count)
+        order = np.argsort(flat, kind="stable")
+        self.holder = np.repeat(np.arange(self.sets), count)[order]
+        self.begin = np.searchsorted(flat[order], np.arange(tokens + 1))
+
+    def shared(self, i: int) -> np.ndarray:
+        """Tokens of set i that each set holds."""
+        t = self.flat[self.cut[i] : self.cut[i + 1]]
+        count = self.begin[t + 1] - self.begin[t]
+        at = np.repeat(self.begin[t] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        return np.bincount(self.holder[at], minlength=self.sets)
+
+
 def _crowd(order_by, percent: int):
     """Links among the nodes of two blocks of a crowd (of one, if they are the same), from their texts. Prefixes under all
     orders must meet; then whole sets are compared. Pairs exist only here, as rows of an array of counts."""
@@ -313,30 +330,23 @@ def _crowd(order_by, percent: int):
         dense, code = np.unique(tokens, return_inverse=True)
         views = []
         for seed in ORDERS:
-            order = np.lexsort((order_by.value.keys(tokens, seed), rows))
-            chosen = np.arange(len(rows)) - first[rows] < prefix_size(size, percent)[rows]
-            views.append((code[order][chosen], np.concatenate([[0], np.cumsum(np.bincount(rows[chosen], minlength=n))])))
-        views.append((code, np.concatenate([[0], np.cumsum(size)])))
-        flags, a, b = np.zeros(len(dense), np.int32), [], []
-        flat, cut = views[0]
-        by_token = np.argsort(flat, kind="stable")
-        holder = np.repeat(np.arange(n), np.diff(cut))[by_token]
-        begin = np.searchsorted(flat[by_token], np.arange(len(dense) + 1))
+            lists = _prefix_lists(order_by.value, rows, tokens, n, seed, percent)
+            flat = np.searchsorted(dense, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            views.append(_Index(flat, pc.list_value_length(lists).to_numpy(zero_copy_only=False), len(dense)))
+        views.append(_Index(code, size, len(dense)))
+        a, b = [], []
         for i in np.flatnonzero(own == x):
-            live = np.unique(np.concatenate([holder[:0], *[holder[begin[t] : begin[t + 1]] for t in flat[cut[i] : cut[i + 1]]]]))
-            live = live[(own[live] == y) & (component[live] != component[i]) & (100 * np.minimum(size[live], size[i]) >= percent * np.maximum(size[live], size[i]))]
+            fits = (own == y) & (component != component[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
             if x == y:
-                live = live[live > i]
-            for k, (tokens_of, ends) in enumerate(views[1:], 1):
-                if not len(live):
+                fits[: i + 1] = False
+            for view in views[:-1]:
+                if not fits.any():
                     break
-                mine = tokens_of[ends[i] : ends[i + 1]]
-                count = ends[live + 1] - ends[live]
-                at = np.cumsum(count) - count
-                flags[mine] = 1
-                both = np.add.reduceat(flags[tokens_of[np.repeat(ends[live] - at, count) + np.arange(count.sum())]], at)
-                flags[mine] = 0
-                live = live[both > 0 if k < len(ORDERS) else 100 * both >= percent * (size[live] + size[i] - both)]
+                fits &= view.shared(i) > 0
+            live = np.flatnonzero(fits)
+            if len(live):
+                both = views[-1].shared(i)[live]
+                live = live[100 * both >= percent * (size[live] + size[i] - both)]
             partners = node[live]
             a.append(np.minimum(partners, node[i]))
             b.append(np.maximum(partners, node[i]))
@@ -359,6 +369,8 @@ def _crowd_links(listed: DataFrame, crowded: DataFrame, nodes: DataFrame, docs:
     blocked = placed.join(sizes, "crowd").withColumn("own", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).cast("int"))
     dealt = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)))
     dealt = dealt.select("crowd", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "own", "component", "text")
+    # else a crowd, by which the rows lie already, would be one task
+    dealt = dealt.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "crowd", "x", "y")
     return materialise(dealt.groupBy("crowd", "x", "y").applyInArrow(_crowd(order_by, percent), "a long, b long").distinct(), "jaccard-links", tidy=True)
 
 
