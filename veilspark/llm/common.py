@@ -7,6 +7,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 #: Bytes of text that a Python worker handles at a time (one longer text is handled alone).
 SLICE_BYTES = 4 << 20
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch where a row is a text or a long array.
+WIDE_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,12 +33,28 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Plans that run inside send Python workers at most ``rows`` rows at a time. Buffers of a batch are held by the JVM
+    and by the worker, so rows that are texts or long arrays need fewer of them than the default."""
+    before = spark.conf.get(ARROW_ROWS)
+    if rows:
+        spark.conf.set(ARROW_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        if rows:
+            spark.conf.set(ARROW_ROWS, before)
+
+
+def materialise(df: DataFrame, name: str, tidy: bool = False, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return it reread: lineage ends there, and a lost
-    executor costs no recomputation of what came before. ``tidy``: let go of the shuffle files behind it."""
+    executor costs no recomputation of what came before. ``tidy``: let go of the shuffle files behind it. ``rows``: as
+    for :func:`arrow_rows`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with arrow_rows(spark, rows):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     if tidy:
         release(spark)

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, discard, key_filter, materialise, mix, signed, slices, split_words, texts_of, window_hashes, word_hashes
+from .common import WIDE_ROWS, column, discard, key_filter, materialise, mix, signed, slices, split_words, texts_of, window_hashes, word_hashes
 from .graph import components
 
 SHINGLE = 5
@@ -371,7 +371,7 @@ def _crowd_links(listed: DataFrame, crowded: DataFrame, nodes: DataFrame, docs:
     dealt = dealt.select("crowd", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "own", "component", "text")
     # else a crowd, by which the rows lie already, would be one task
     dealt = dealt.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "crowd", "x", "y")
-    return materialise(dealt.groupBy("crowd", "x", "y").applyInArrow(_crowd(order_by, percent), "a long, b long").distinct(), "jaccard-links", tidy=True)
+    return materialise(dealt.groupBy("crowd", "x", "y").applyInArrow(_crowd(order_by, percent), "a long, b long").distinct(), "jaccard-links", tidy=True, rows=WIDE_ROWS)
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, repeated: bool, order_by=None) -> DataFrame:
@@ -383,7 +383,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, r
     texts = materialise((lambda x: x.dropDuplicates(["node"]) if repeated else x)(docs.join(need, ["id", "tag"]).select("node", "text")), "jaccard-texts", tidy=True)
     if order_by is not None:
         names = [f"p{k}" for k in range(1, len(ORDERS))]
-        held = materialise(texts.mapInArrow(_further(order_by, percent), "node long, " + ", ".join(f"{x} array<long>" for x in names)), "jaccard-further")
+        held = materialise(texts.mapInArrow(_further(order_by, percent), "node long, " + ", ".join(f"{x} array<long>" for x in names)), "jaccard-further", rows=WIDE_ROWS)
         for side in "ab":
             pairs = pairs.join(held.select(F.col("node").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in names]), side)
         meet = reduce(lambda x, y: x & y, [F.arrays_overlap(f"{x}_a", f"{x}_b") for x in names])
@@ -396,7 +396,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, r
     wanted = placed.select(F.col("a").alias("node"), "x", "y").union(placed.select("b", "x", "y")).distinct()
     ready = texts.join(wanted, "node").select(F.col("x").alias("to_x"), F.col("y").alias("to_y"), "node", "text")
     found = placed.groupBy("x", "y").cogroup(ready.groupBy("to_x", "to_y")).applyInArrow(_verify(percent), "a long, b long")
-    found = materialise(found.distinct(), "jaccard-links", tidy=True)
+    found = materialise(found.distinct(), "jaccard-links", tidy=True, rows=WIDE_ROWS)
     discard(texts)
     if order_by is not None:
         discard(pairs)
@@ -408,7 +408,7 @@ def join_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     spark = docs.sparkSession
     doc_id = F.col("doc_id").cast("long")
     docs = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(NULL_ID)).alias("id"), F.crc32(F.coalesce("text", F.lit(""))).alias("tag"), "text")
-    signs = materialise(docs.mapInArrow(_signatures(percent), "doc_id long, id long, tag long, n int, s1 long, s2 long, mins array<long>, prefix array<long>"), "jaccard-signs")
+    signs = materialise(docs.mapInArrow(_signatures(percent), "doc_id long, id long, tag long, n int, s1 long, s2 long, mins array<long>, prefix array<long>"), "jaccard-signs", rows=WIDE_ROWS)
     repeated = not signs.groupBy("id", "tag").count().where("count > 1").isEmpty()
     first = F.min(F.struct("id", "tag"))
     sets = signs.where("n > 0").groupBy("s1", "s2").agg(F.min("n").alias("n"), F.min("doc_id").alias("least"), first.alias("rep"), F.first("mins").alias("mins"))
@@ -433,16 +433,16 @@ def join_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     groups = components(found)
 
     named = nodes.join(groups, "node").select("s1", "component")
-    popular = materialise(_mixed(signs.where("n > 0").join(named, "s1", "left").select(F.coalesce("component", "s1").alias("component"), "prefix")), "jaccard-popular", tidy=True)
+    popular = materialise(_mixed(signs.where("n > 0").join(named, "s1", "left").select(F.coalesce("component", "s1").alias("component"), "prefix")), "jaccard-popular", tidy=True, rows=WIDE_ROWS)
     top = popular.orderBy(F.desc("c"), "t").limit(POPULAR).toArrow()  # bounded
     order = spark.sparkContext.broadcast(Order(top.column("t").to_numpy().astype(np.int64).view(np.uint64), top.column("c").to_numpy()))
     held = docs.mapInArrow(_prefixes(order, percent), "id long, tag long, s1 long, s2 long, prefix array<long>")
     held = held.where(F.size("prefix") > 0).join(nodes.select("node", "s1", "s2", "n", "id", "tag"), ["s1", "s2", "id", "tag"])
     held = (held.dropDuplicates(["node"]) if repeated else held).join(groups, "node", "left")
-    held = materialise(held.select("node", "n", F.coalesce("component", "node").alias("component"), "prefix"), "jaccard-prefixes", tidy=True)
-    mixed = materialise(_mixed(held).select("t"), "jaccard-tokens", tidy=True)
+    held = materialise(held.select("node", "n", F.coalesce("component", "node").alias("component"), "prefix"), "jaccard-prefixes", tidy=True, rows=WIDE_ROWS)
+    mixed = materialise(_mixed(held).select("t"), "jaccard-tokens", tidy=True, rows=WIDE_ROWS)
     rows = held.mapInArrow(_postings(key_filter(mixed, FILTER_BITS)), "node long, n int, component long, rank int, t long")
-    listed = materialise(rows.join(mixed, "t"), "jaccard-postings", tidy=True)
+    listed = materialise(rows.join(mixed, "t"), "jaccard-postings", tidy=True, rows=WIDE_ROWS)
     crowded = materialise(listed.groupBy("t").count().where(F.col("count") > CROWD).select("t"), "jaccard-crowded")
     few = listed.join(crowded, "t", "left_anti")
     left, right = (few.select("t", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component", "rank")]) for s in "ab")
