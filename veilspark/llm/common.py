@@ -20,15 +20,19 @@ SPACES = r"[\x20\x09-\x0D]+"
 #: Bytes of text that a Python worker handles at a time (one longer text is handled alone).
 SLICE_BYTES = 4 << 20
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Rows of an Arrow batch where a row is a text or a long array.
-WIDE_ROWS = 1000
+#: Rows of an Arrow batch where a row is a text or a long array, and in the queries' sessions.
+WIDE_ROWS, TEXT_ROWS = 1000, 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``. Where that is unset, as in tests, a folder of our own: a
+    temporary one if driver and executors are one process, else one in the warehouse, which a cluster shares."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="veilspark-")
+        if spark.sparkContext.master.split("[")[0] == "local":
+            base = "file://" + tempfile.mkdtemp(prefix="veilspark-")
+        else:
+            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/veilspark-scratch"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -47,6 +51,12 @@ def arrow_rows(spark: SparkSession, rows: int | None) -> Iterator[None]:
             spark.conf.set(ARROW_ROWS, before)
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Size the Arrow batches of a session for tables of texts, unless it has a size of its own."""
+    if spark.conf.get(ARROW_ROWS) == "10000":  # Spark's default
+        spark.conf.set(ARROW_ROWS, str(TEXT_ROWS))
+
+
 def materialise(df: DataFrame, name: str, tidy: bool = False, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return it reread: lineage ends there, and a lost
     executor costs no recomputation of what came before. ``tidy``: let go of the shuffle files behind it. ``rows``: as

@@ -51,7 +51,7 @@ NULL_ID = 2**63 - 1
 #: Bytes of the texts of a block of nodes, and partners of a node that are compared at a time.
 BLOCK_BYTES, CHUNK = 4 << 20, 2000
 #: Nodes of a token beyond which its pairs are made inside tasks only, and bytes of a block of such nodes.
-CROWD, CROWD_BYTES = 64, 1 << 20
+CROWD, CROWD_BYTES = 64, 4 << 20
 #: Leading bits that the filter of shared tokens tells apart (a broadcast of 8 MB).
 FILTER_BITS = 26
 TOP = np.uint64(56)

@@ -41,6 +41,8 @@ SAMPLE_ROWS, RANGES = 128, 4
 STRETCH = 1 << 19
 #: Suffixes of a range that are compared at a time.
 BLOCK_ROWS = 100_000
+#: Rows of an Arrow batch: texts on one side of a shuffle, suffixes on the other.
+ARROW = 5000
 NULL_ID = 2**63 - 1
 SUFFIX = "h long, c long, id long, place long"
 U32 = np.uint64(32)
@@ -379,7 +381,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, carry: list[str] | None =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = plain.mapInArrow(_deal(length, _splitters(docs, length, RANGES * parts), unique), f"range int, {SUFFIX}")
     ordered = dealt.repartition(parts, "range").sortWithinPartitions("h", "c", "id").drop("range")
-    seen = materialise(ordered.mapInArrow(_compare(unique), "id long, place long, count int, open boolean"), "suffix-runs", tidy=True)
+    seen = materialise(ordered.mapInArrow(_compare(unique), "id long, place long, count int, open boolean"), "suffix-runs", tidy=True, rows=ARROW)
     by_text = (F.col("id"), F.shiftright("place", 32).cast("int").alias("start"), (F.lit(0).cast("long") if unique else F.col("place").bitwiseAND(2**32 - 1)).alias("tag"))
 
     def per_text(spans: DataFrame, name: str) -> DataFrame:
@@ -388,7 +390,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, carry: list[str] | None =
     asked = per_text(seen.where("open"), "asked")
     windows = plain.join(asked, ["id", "tag"]).mapInArrow(_windows(length), "w long, v int, id long, place long, count int")
     late = windows.repartition(parts, "w").sortWithinPartitions("w", "v", "id").mapInArrow(_least, "id long, place long, count int")
-    spans = materialise(seen.where("not open").select("id", "place", "count").unionByName(late), "suffix-spans", tidy=True)
+    spans = materialise(seen.where("not open").select("id", "place", "count").unionByName(late), "suffix-spans", tidy=True, rows=ARROW)
     discard(seen)
     found = per_text(spans, "found")
     none = F.array().cast("array<struct<start:int,count:int>>")
