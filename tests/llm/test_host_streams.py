@@ -9,7 +9,7 @@ from veilspark.llm import html_extract as he
 
 def brute(rows):
     """rows: (page_id, url, html). Text of each page, by comparing all windows and short blocks."""
-    streams = [[b.split(" ") for b, _ in he.page_blocks(x or "")] for _, _, x in rows]
+    streams = [[b.split(" ") for b in he.page_blocks(x or "")] for _, _, x in rows]
     hosts = [he.host_of(u) for _, u, _ in rows]
 
     def pieces(blocks):
@@ -75,5 +75,20 @@ def test_windows_are_found_as_by_brute_force(spark):
     expected = brute(rows)
     found = texts(spark, rows)
     assert [found[r[0]] for r in rows] == expected
-    whole = [" ".join(b for b, _ in he.page_blocks(r[2] or "")) for r in rows]
+    whole = [" ".join(he.page_blocks(r[2] or "")) for r in rows]
     assert sum(a != b for a, b in zip(whole, expected, strict=True)) > 30 and sum(map(bool, expected)) > 30
+
+
+def test_attributes_and_articles():
+    for page, text in {
+        '<body class="page has-sidebar"><p>main text</p></body>': "main text",
+        '<div class="content with-sidebar"><p>main text</p></div>': "main text",
+        '<p title="the hidden valley">main text</p>': "main text",
+        '<div data-hidden="false"><p data-id="comment">main text</p></div>': "main text",
+        '<div id="social-history">main text</div>': "main text",
+        '<div class="post">the story</div><article><p>and a teaser</p></article>': "the story and a teaser",
+        '<div class="ad">x</div><div id="site-footer">x</div><ul class="comment-list"><li>x</ul><div class="ad-1">x</div>kept': "kept",
+        "<div hidden>x</div><div class='a cookie-notice'>x</div><div role=navigation>x</div><p style='display: none'>x</p>kept": "kept",
+        "<header>x</header><main><header>kept</header></main>": "kept",
+    }.items():
+        assert " ".join(he.page_blocks(page)) == text, page

@@ -1,8 +1,8 @@
 """Main text of web pages, by page structure and repeated windows of each host's token streams.
 
 A page becomes blocks of visible text. Elements for navigation, headers, footers, asides, forms, adverts, notices and
-comments (by tag, role, or words in class and id) are out. If what is left has an article (else a main part) with
-text, only that counts.
+comments (by tag, role, or whole names in class and id) are out, and nothing else: text beside an article is kept, and
+what classes of the page's frame (html, body, main, article) say counts for nothing.
 
 Boilerplate that the markup doesn't tell is found by repetition. The tokens of a page are one stream across its blocks.
 A window of ``LENGTH`` tokens is boilerplate if enough pages of the host hold it, and so is a whole block of fewer
@@ -45,45 +45,52 @@ SAMPLE_ROWS = 256
 ROWS = "range int, h long, host long, n int"
 
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute: its name, and its value in quotes of either kind or bare.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 RAW = frozenset("script style textarea title noscript iframe xmp template object svg math canvas audio video select noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUT = frozenset("nav footer aside form button menu dialog head fieldset label".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"p": frozenset({"p"}), "li": frozenset({"li", "p"}), "dt": frozenset({"dt", "dd", "p"}), "dd": frozenset({"dt", "dd", "p"}), "tr": frozenset({"tr", "td", "th", "p"}), "td": frozenset({"td", "th", "p"}), "th": frozenset({"td", "th", "p"}), "option": frozenset({"option"})}
 BLOCKS = frozenset({"p"})
-#: Words in class or id, and roles, that mark what is not the article.
-WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
-    "sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus reply replies respond share sharing social related recommended widget login signup search "
-    "pagination pager toolbar skip copyright disclaimer hidden".split()
+#: Whole names in class or id (parts joined by - or _ count as one name), and roles, that mark what is not the article.
+NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
+    "sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus replies respond share sharing social related recommended widget login signup search "
+    "pagination pager toolbar".split()
 )
+#: What may stand before or after such a name in a longer one: the whole still names the same kind of thing.
+SIDES = frozenset("site page main top bottom left right header head foot global primary secondary mobile box bar block area list section wrapper wrap container inner outer content links link buttons button form item items group panel unit slot text row col".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-ARTICLE_WORDS = frozenset("article post entry content story body title page".split())
+#: Elements that hold the page or its article: what their class says is about the page's layout.
+FRAMES = frozenset("html body main article".split())
 
 
-def _marks(attributes: str) -> bool:
-    """Whether attributes say that an element isn't part of the article."""
+def _named(item: str) -> bool:
+    """Whether a class or an id is a name of what isn't the article: "ad", "site-footer", "comment-list", but not
+    "social-history", "with-sidebar" or "no-comments"."""
+    parts = [x for x in re.split(r"[-_]+", item) if x and not x.isdigit()]
+    return any(x in NAMES for x in parts) and all(x in NAMES or x in SIDES for x in parts)
+
+
+def _marks(attributes: str, name: str = "div") -> bool:
+    """Whether attributes say that an element isn't part of the article. Names inside other attributes' values say nothing."""
     for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True
-        if name == "role" and value in ROLES:
+        if name in FRAMES:
+            continue
+        if (key == "role" and value in ROLES) or (key in ("class", "id") and any(_named(x) for x in value.split())):
             return True
-        if name in ("class", "id"):
-            for item in value.split():
-                parts = set(re.split(r"[-_]+", item))
-                if parts & WORDS and not (parts & ARTICLE_WORDS and parts & WORDS <= {"header", "banner"}):
-                    return True
     return False
 
 
-def page_blocks(page: str) -> list[tuple[str, bool]]:
-    """Visible text of a page outside of what its markup excludes: (block, whether it is in an article or main part)."""
-    found: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, out, in an article, in a main part
-    out = article = main = False
+def page_blocks(page: str) -> list[str]:
+    """Blocks of visible text of a page, outside of what its markup excludes."""
+    found: list[str] = []
+    stack: list[tuple[str, bool, bool]] = []  # name, out, in an article or main part
+    out = inside = False
     parts: list[str] = []
     at = 0
 
@@ -92,7 +99,7 @@ def page_blocks(page: str) -> list[tuple[str, bool]]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                found.append((text, article, main))
+                found.append(text)
 
     while True:
         m = TAG.search(page, at)
@@ -129,21 +136,18 @@ def page_blocks(page: str) -> list[tuple[str, bool]]:
                         del stack[k:]
                     elif stack[k][0] not in INLINE:
                         break
-                out, article, main = stack[-1][1:] if stack else (False, False, False)
-            excluded = name in OUT or (name == "header" and not article) or (m[3] and _marks(m[3]))
-            held = (name, out or bool(excluded), article or (name == "article" and not out and not excluded), main or (name == "main" and not out))
-            if held[1:] != (out, article, main):
+                out, inside = stack[-1][1:] if stack else (False, False)
+            excluded = name in OUT or (name == "header" and not inside) or (m[3] and _marks(m[3], name))
+            held = (name, out or bool(excluded), inside or (name in ("article", "main") and not out and not excluded))
+            if held[1] != out:
                 flush()
             stack.append(held)
-        now = stack[-1][1:] if stack else (False, False, False)
-        if now != (out, article, main):
+        now = stack[-1][1:] if stack else (False, False)
+        if now[0] != out:
             flush()
-        out, article, main = now
+        out, inside = now
     flush()
-    for k in (1, 2):
-        if any(x[k] for x in found):
-            return [(x[0], True) for x in found if x[k]]
-    return [(x[0], False) for x in found]
+    return found
 
 
 def host_of(url: str | None) -> str:
@@ -154,7 +158,7 @@ def host_of(url: str | None) -> str:
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The stream of each page (a line for each block), and fingerprints of its host and of both."""
     for b in slices(batches, "html"):
-        stream = pa.array(["\n".join(x for x, _ in page_blocks(t)) for t in texts_of(b, "html").to_pylist()], pa.string())
+        stream = pa.array(["\n".join(page_blocks(t)) for t in texts_of(b, "html").to_pylist()], pa.string())
         host = hash_strings(pa.array([host_of(u) for u in column(b, "url").to_pylist()], pa.string()))
         yield pa.RecordBatch.from_arrays([column(b, "page_id"), column(b, "url"), stream, pa.array(signed(host)), pa.array(signed(mix(hash_strings(stream) + host, 8)))], names=["page_id", "url", "stream", "host", "print"])
 
