@@ -9,9 +9,9 @@ token has a probability and those of a text multiply to a proper likelihood:
 
 Training: texts become sequences of symbols once (a table in the shared folder). Each round reads all of them, computes
 expected counts by the scaled forward-backward recursion in each partition and adds them up by symbol in a shuffle; the
-re-estimated tables have a fixed size and are broadcast for the next round. In training, texts of more than
-``SEGMENT`` tokens are runs of that length; in scoring they are whole: segments of long texts become products of
-transfer matrices, which are chained exactly.
+re-estimated tables have a fixed size and are broadcast for the next round. Texts are whole in training and in scoring:
+those of more than ``SEGMENT`` tokens advance in pieces of that length side by side; pieces become products of transfer
+matrices, which are chained, so that each is entered with exactly what precedes and follows it.
 
 Counts of rare words (any number of them) are never broadcast: the words are joined to their counts in a shuffle. A
 rare word is by construction at most one token in ``SYMBOLS``, so that join has no hot key.
@@ -125,30 +125,82 @@ def _pieces(off: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return first, np.minimum(most, off[1:][row] - first), row
 
 
-def expected_counts(t: Tables, symbols: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts and transitions, the posterior of the states of each token, the tokens' symbols in the same
-    order, and the log-likelihood of all sequences."""
-    _, token, begin = _layout(first, size)
+def _borders(t: Tables, symbols: np.ndarray, first: np.ndarray, size: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether a piece begins its text; the states before it, given all of the text that precedes it; and the likelihood of
+    all that follows it by its last state (up to a factor). ``of``: the text of each piece, in order.
+
+    The pieces of longer texts become transfer matrices, all at a time, which are chained from either end."""
+    states = len(t.start)
+    head = np.append(True, of[1:] != of[:-1])
+    before, after = np.zeros((len(of), states)), np.ones((len(of), states))
+    long = np.flatnonzero(~head | np.append(~head[1:], False))
+    if not len(long):
+        return head, before, after
+    order, token, begin = _layout(first[long], size[long])
+    rows = np.tile(np.eye(states, dtype=np.float32), (len(long), 1, 1))
+    heads, move, start = head[long][order], t.move.astype(np.float32), t.start.astype(np.float32)
+    symbols = symbols[token]
+    for step, (a, b) in enumerate(zip(begin[:-1], begin[1:], strict=True)):
+        k = b - a
+        now = (rows[:k].reshape(-1, states) @ move).reshape(k, states, states)
+        if not step:
+            now[heads] = start
+        emit = t.emit[symbols[a:b]]
+        now *= (emit / emit.max(axis=1, keepdims=True))[:, None, :]
+        rows[:k] = now if step % 4 else now / now.max(axis=(1, 2))[:, None, None]
+    back = np.empty(len(long), np.int64)
+    back[order] = np.arange(len(long))
+    rows = rows[back].astype(np.float64)
+    rows /= rows.max(axis=(1, 2))[:, None, None]
+    place = np.arange(len(long))
+    depth = place - np.maximum.accumulate(np.where(head[long], place, 0))  # of a piece in its text
+    for d in range(1, int(depth.max()) + 1):
+        at = place[depth == d]
+        state = rows[at - 1, 0] if d == 1 else np.einsum("ns,nst->nt", before[long[at - 1]], rows[at - 1])
+        before[long[at]] = state / state.sum(axis=1, keepdims=True)
+    for d in range(int(depth.max()), 0, -1):
+        at = place[depth == d]
+        state = np.einsum("nst,nt->ns", rows[at], after[long[at]])
+        after[long[at - 1]] = state / state.max(axis=1, keepdims=True)
+    return head, before, after
+
+
+def expected_counts(t: Tables, symbols: np.ndarray, off: np.ndarray, most: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts and transitions of whole sequences (between offsets), the posterior of the states of each token,
+    the tokens' symbols in the same order, and the log-likelihood of all sequences.
+
+    Sequences of more than ``most`` tokens advance in pieces; what lies on either side of a piece enters it exactly."""
+    first, size, of = _pieces(off, most)
+    head, before, after = _borders(t, symbols, first, size, of)
+    order, token, begin = _layout(first, size)
+    head, before, after = head[order], before[order].astype(np.float32), after[order].astype(np.float32)
     move, states = t.move.astype(np.float32), len(t.start)
     symbols = symbols[token]
     emit = t.emit[symbols]
     post, scale = np.empty_like(emit), np.empty(len(symbols), np.float32)
     last = None
     for a, b in zip(begin[:-1], begin[1:], strict=True):
-        now = np.multiply(emit[a:b], t.start.astype(np.float32) if last is None else last[: b - a] @ move, out=post[a:b])
+        now = np.multiply(emit[a:b], np.where(head[:, None], t.start.astype(np.float32), before @ move) if last is None else last[: b - a] @ move, out=post[a:b])
         np.sum(now, axis=1, out=scale[a:b])
         now /= scale[a:b, None]
         last = now
     emit /= scale[:, None]
-    moves, beta = np.zeros((states, states)), np.ones((int(begin[1]) if len(begin) > 1 else 0, states), np.float32)
-    for a, b, before in zip(begin[-2:0:-1], begin[:1:-1], begin[-3::-1], strict=True):
+    moves = np.zeros((states, states))
+    if len(begin) == 1:
+        return np.zeros(states), moves, post, symbols, 0.0
+    ends = begin[size[order] - 1] + np.arange(len(order))
+    beta = after / (post[ends] * after).sum(axis=1, keepdims=True)
+    for a, b, past in zip(begin[-2:0:-1], begin[:1:-1], begin[-3::-1], strict=True):
         k = b - a
+        post_here = post[a:b] * beta[:k]
         back = beta[:k] * emit[a:b]
-        alpha = post[before : before + k]
-        moves += alpha.T @ back
+        moves += post[past : past + k].T @ back
+        post[a:b] = post_here
         beta[:k] = back @ move.T
-        alpha *= beta[:k]
-    starts = post[: begin[1]].sum(axis=0) if len(begin) > 1 else np.zeros(states)
+    post[: begin[1]] *= beta
+    inner = ~head
+    moves += before[inner].T @ (beta * emit[: begin[1]])[inner]
+    starts = post[: begin[1]][head].sum(axis=0, dtype=np.float64)
     return starts, moves * t.move, post, symbols, float(np.log(scale.astype(np.float64)).sum())
 
 
@@ -160,8 +212,7 @@ def _gather(model, total: int):
         for b in slices(batches, "seq", SEQUENCE_BYTES):
             raw, off = buffers(column(b, "seq"))
             symbols = raw.view("<u2").astype(np.int64)
-            first, size, _ = _pieces(off // 2, SEGMENT)
-            starts, moves, post, symbols, _ = expected_counts(t, symbols, first, size)
+            starts, moves, post, symbols, _ = expected_counts(t, symbols, off // 2)
             rest[0] += starts
             rest[1:] += moves
             for s in range(states):
