@@ -46,12 +46,12 @@ _KIND = np.array([NAMES.index(n) for _, n in SCRIPTS])
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Runs of letters and marks, lower case, and the row each comes from."""
+    """Runs of letters and marks with a letter, lower case, and the row each comes from."""
     spaced = pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}\p{M}]+", " ")
     lists = pc.split_pattern(pc.utf8_trim(spaced, " "), " ")
     flat = lists.flatten()
     row = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    full = pc.greater(pc.binary_length(flat), 0)
+    full = pc.match_substring_regex(flat, r"\p{L}")
     return flat.filter(full), row[full.to_numpy(zero_copy_only=False)]
 
 

@@ -5,7 +5,8 @@ Bytes are aggregated for each slot, and rebalancing edits the table: it moves sl
 new version says exactly which slots change hands. The law is ``bytes``: shards hold nearly the same number of bytes.
 
 The slot hash takes doc_id and the text's CRC, so rows without an id and rows that repeat an id spread as well.
-A null text has no bytes (size 1, CRC 0). Empty tables give an empty result and a table of empty slots.
+Equal texts of different ids are separate records and spread over slots like any others: a group of copies that holds a
+third of all rows is no hot slot. Rows that repeat both id and text are in one slot. A null text has no bytes (size 1, CRC 0). Empty tables give an empty result and a table of empty slots.
 The slot table has a fixed number of rows (``n_slots``), whatever the data; only it is broadcast or folded in one row.
 """
 
