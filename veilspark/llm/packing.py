@@ -150,6 +150,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
     lengths = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("count")).collect()}  # at most `capacity` rows
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ahead = counts.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
-    ranked = pieces.join(ahead, ["part", "length"]).withColumn("rank", (F.col("rank") + F.col("ahead")).cast("long"))
+    # partitions by lengths grow with the data, so they are merged with the pieces and never broadcast
+    ranked = pieces.join(ahead.hint("merge"), ["part", "length"]).withColumn("rank", (F.col("rank") + F.col("ahead")).cast("long"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     return ranked.select(*names, "rank").mapInArrow(_place(plan(lengths, capacity)), f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long{extra}, sequence_id long, offset long")
