@@ -5,8 +5,8 @@ The first half proposes, for each stratum, a short sequence of ever stricter set
 had no part in that, certifies them: the exact (Clopper-Pearson) upper bound of the share of good documents that all
 rules of a set together reject must stay within ``alpha``. Sets are tested from the mildest on and testing stops at
 the first failure (fixed sequence: no further correction inside a stratum); the error level ``delta`` is divided among
-the strata (Bonferroni). So with confidence 1 - delta every stratum loses at most ``alpha`` of its good documents.
-Where nothing is certified (few labels) the rules are off and only the base rules reject.
+the strata (Bonferroni). So with confidence 1 - delta the rules reject, in every stratum, at most ``alpha`` of the good
+documents that the base rules let pass; what the base rules reject comes on top and isn't bounded. Where nothing is certified (few labels) the rules are off and only the base rules reject.
 
 Measures are of whole texts. Null texts have no words; rows with null ids have no label; a null stratum is one of its
 own; a document with several labels counts by its lowest quality. Empty tables give empty results.
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialise, mix, signed, slices, split_words, texts_of, window_hashes, word_hashes
+from .common import column, key_filter, materialise, mix, signed, slices, split_words, texts_of, window_hashes, word_hashes
 
 #: Words of a window for repetition.
 WINDOW = 8
@@ -83,26 +83,38 @@ def _lines(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return lines, lines - np.bincount(distinct, minlength=n)
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "text"):
-        texts, n = texts_of(b), b.num_rows
-        words, row = split_words(texts)
-        hashes = word_hashes(words)
-        lines, dups = _lines(texts, n)
-        chars = pc.utf8_length(words).to_numpy(zero_copy_only=False)
-        twins = row[1:][(hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])]
-        out = {
-            "n_words": np.bincount(row, minlength=n), "word_chars": np.bincount(row, weights=chars, minlength=n), "n_symbols": _count(texts, SYMBOLS), "n_dup_lines": dups,
-            "n_repeat_words": repeated_words(row, hashes, n), "n_lines": lines, "n_shouts": _count(texts, "[!?]"), "n_upper": _count(texts, r"\p{Lu}"), "n_digits": _count(texts, "[0-9]"),
-            "n_twins": np.bincount(twins, minlength=n),
-        }
-        yield pa.RecordBatch.from_arrays([column(b, "row"), *[pa.array(out[k].astype(np.int64)) for k in COUNTS]], names=["row", *COUNTS])
-
-
-def measures(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """A struct ``row`` of the ``carry`` columns, the counts, the rules' measures and base_failed for every row of ``docs``."""
-    packed = docs.select(F.struct(*carry).alias("row"), "text")
-    out = packed.mapInArrow(_measure, f"row {packed.schema['row'].dataType.simpleString()}, " + ", ".join(f"{k} long" for k in COUNTS))
+def _measure(known):
+    """Counts of each text; with a filter of ids, of the rows that it lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if known is not None:
+                b = b.filter(pa.array(known.value.passes(column(b, "hash").to_numpy().view(np.uint64))))
+            yield from map(_counts, slices(iter([b]), "text"))
+
+    return run
+
+
+def _counts(b: pa.RecordBatch) -> pa.RecordBatch:
+    texts, n = texts_of(b), b.num_rows
+    words, row = split_words(texts)
+    hashes = word_hashes(words)
+    lines, dups = _lines(texts, n)
+    chars = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+    twins = row[1:][(hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])]
+    out = {
+        "n_words": np.bincount(row, minlength=n), "word_chars": np.bincount(row, weights=chars, minlength=n), "n_symbols": _count(texts, SYMBOLS), "n_dup_lines": dups,
+        "n_repeat_words": repeated_words(row, hashes, n), "n_lines": lines, "n_shouts": _count(texts, "[!?]"), "n_upper": _count(texts, r"\p{Lu}"), "n_digits": _count(texts, "[0-9]"),
+        "n_twins": np.bincount(twins, minlength=n),
+    }
+    return pa.RecordBatch.from_arrays([column(b, "row"), *[pa.array(out[k].astype(np.int64)) for k in COUNTS]], names=["row", *COUNTS])
+
+
+def measures(docs: DataFrame, carry: list[str], known=None) -> DataFrame:
+    """A struct ``row`` of the ``carry`` columns, the counts, the rules' measures and base_failed for every row of ``docs``
+    (of those whose hashed doc_id a filter lets through, if there is one)."""
+    packed = docs.select(F.struct(*carry).alias("row"), F.xxhash64("doc_id").alias("hash"), "text")
+    out = packed.mapInArrow(_measure(known), f"row {packed.schema['row'].dataType.simpleString()}, " + ", ".join(f"{k} long" for k in COUNTS))
     share = lambda part, whole: F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0)
     return out.select(
         "row", *COUNTS, share("n_symbols", "n_words").alias("symbol_share"), share("n_shouts", "n_words").alias("shout_share"), share("n_upper", "word_chars").alias("upper_share"),
@@ -169,13 +181,20 @@ def _rejected(prefix: str = "max_"):
     return reduce(lambda a, b: a | b, [F.coalesce(F.col(k) > F.col(f"{prefix}{k}"), F.lit(False)) for k in LADDERS])
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """stratum and a cutoff (or null) for each rule. ``measured`` is what :func:`measures` gives, with doc_id and the stratum.
+def _stratum(name: str):
+    """A key for a stratum; null is a stratum of its own, and not the empty one."""
+    return F.coalesce(F.concat(F.lit("="), F.col("row")[name].cast("string")), F.lit("null")).alias("stratum")
+
+
+def cutoffs(docs: DataFrame, labels: DataFrame, stratum: str, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
+    """stratum and a cutoff (or null) for each rule.
 
-    Labelled documents that fail the base rules are gone whatever the method says; they take no part.
+    Only labelled documents are measured: a filter of fixed size keeps nearly all others out, a join the rest. Those that
+    fail the base rules are gone whatever the method says; they take no part.
     """
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    known = measured.where("not base_failed").select("row.doc_id", F.coalesce(F.col("row")[stratum], F.lit("")).alias("stratum"), *LADDERS)
+    measured = measures(docs, ["doc_id", stratum], key_filter(good.select(F.xxhash64("doc_id"))))
+    known = measured.where("not base_failed").select("row.doc_id", _stratum(stratum), *LADDERS)
     held = known.join(good, "doc_id")
     held = materialise(held.select("stratum", (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0).alias("first"), *LADDERS), "rule-holdout")
     tried = [F.sum((F.col(rule) > c).cast("long")).alias(f"{rule}_{i}") for rule, ladder in LADDERS.items() for i, c in enumerate(ladder)]
@@ -209,7 +228,7 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", carry: list
 
     Extra columns may have any names: they stay inside ``row``.
     """
-    chosen = cutoffs(measures(docs, ["doc_id", stratum]), labels, stratum, alpha, delta)
-    table = measures(docs, list(dict.fromkeys(["doc_id", stratum, *(carry or [])]))).withColumn("stratum", F.coalesce(F.col("row")[stratum], F.lit("")))
+    chosen = cutoffs(docs, labels, stratum, alpha, delta)
+    table = measures(docs, list(dict.fromkeys(["doc_id", stratum, *(carry or [])]))).withColumn("stratum", _stratum(stratum))
     judged = table.join(chosen, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~_rejected())
     return judged.select("row.doc_id", *COUNTS, *LADDERS, "base_failed", "kept", "row")
