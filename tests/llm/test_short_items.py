@@ -7,6 +7,7 @@ import pyarrow as pa
 from tests.llm import brute
 from tests.llm.conftest import sentence
 from veilspark.llm import decontaminate as dc
+from veilspark.llm import langid
 
 
 def test_short_items_have_their_full_budget(spark):
@@ -40,3 +41,22 @@ def test_short_items_have_their_full_budget(spark):
             assert clean(rows[r.doc_id][1])[r.start : r.end] == clean(items[r.item_id])
     assert {(i, n) for (_, i), n in expected.items()} >= {(13, 1), (19, 1), (27, 2), (38, 3), (5, 0), (1, 0), (100, 0)}
     assert {r.doc_id for r in dc.clean(docs, bench).collect()} == {k for k, _ in rows} - {k for k, _ in expected}
+
+
+def test_texts_that_repeat_a_gram_are_counted_in_chunks(monkeypatch):
+    """A thousand equal letters in an item and many more in a text: hits come in chunks and regions are as of all at once."""
+    items = dc.Items([1, 2], ["a" * 1000, "ab" * 60], dc.Q, dc.RATE)
+    points, off = dc.code_points(pa.array(["a" * 3000, "ab" * 100 + "a" * 40, "b", "aab" * 400]))
+    whole = sorted(items.regions(points, off))
+    sizes = []
+    for g in items.grams:
+        chunk = list(g.hits(points, off, 5000))
+        sizes += [len(x[0]) for x in chunk]
+    assert max(sizes) <= 5000 + 1000 and len(sizes) > 100
+    monkeypatch.setattr(dc.Grams.hits, "__defaults__", (5000,))
+    assert sorted(items.regions(points, off)) == whole and whole
+
+
+def test_marks_without_a_letter_are_no_words():
+    words, _ = langid.words_of(pa.array(["\u0301 \u0301\u0302 12", "e\u0301t\u0301"]))
+    assert words.to_pylist() == ["e\u0301t\u0301"]

@@ -10,7 +10,8 @@ within the budget is missed. Items of fewer than q characters and no edits are s
 Items are read in blocks of bounded size, each broadcast in turn and held against all documents, whole. Documents don't
 move. Null texts and items, and items without a letter or digit, never match. An item that several
 rows hold is reported for each; of several stretches of a text the one with the fewest edits counts, then the first.
-Repeated and null doc_ids are separate documents. Either table may be empty.
+Repeated and null doc_ids are separate documents. Either table may be empty, and ids may have any type. What repeats
+itself in a text and in an item is counted in chunks, so memory doesn't grow with the product of their lengths.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import BASE, buffers, column, mix, slices, texts_of, window_hashes
 
@@ -29,6 +31,8 @@ from .common import BASE, buffers, column, mix, slices, texts_of, window_hashes
 Q, RATE = 10, 0.08
 #: Characters of the items of a block.
 BLOCK_CHARS = 1_000_000
+#: Shared grams that are listed at a time.
+HITS = 1_000_000
 _POINTS = mix(np.arange(1 << 16, dtype=np.uint64), 17)
 _BITS = 20
 
@@ -70,10 +74,11 @@ class Grams:
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[_slot(self.grams)] = True
 
-    def hits(self, points: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, item, diagonal) of every shared gram."""
+    def hits(self, points: np.ndarray, off: np.ndarray, most: int = HITS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, item, diagonal) of every shared gram, about ``most`` at a time: texts and items that repeat one gram have
+        as many as their lengths multiplied."""
         if len(points) < self.q:
-            return (np.zeros(0, np.int64),) * 3
+            return
         grams = gram_hashes(points, self.q)
         at = np.flatnonzero(self.maybe[_slot(grams)])
         k = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
@@ -82,9 +87,14 @@ class Grams:
         text = np.searchsorted(off, at, side="right") - 1
         inside = at + self.q <= off[text + 1]
         at, k, text = at[inside], k[inside], text[inside]
-        count = self.last[k] - self.first[k]
-        one = np.repeat(self.first[k] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        return np.repeat(text, count), self.item[one], np.repeat(at - off[text], count) - self.place[one]
+        if not len(k):
+            return
+        total = self.last[k] - self.first[k]
+        cut = np.flatnonzero(np.diff(np.cumsum(total) // most, prepend=-1))
+        for i, j in zip(cut, [*cut[1:], len(k)], strict=True):
+            count, begin = total[i:j], self.first[k[i:j]]
+            one = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            yield np.repeat(text[i:j], count), self.item[one], np.repeat(at[i:j] - off[text[i:j]], count) - self.place[one]
 
 
 class Items:
@@ -103,15 +113,11 @@ class Items:
         indexed = lambda of: [Grams(points, off, np.flatnonzero(of & (own == k)), int(k)) for k in np.unique(own[of & (own > 0)])]
         self.grams, self.words = indexed(~word), indexed(word)
 
-    def hits(self, points: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, item, diagonal) of every shared gram."""
-        found = [g.hits(points, off) for g in self.grams]
-        return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-
     def whole_words(self, points: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(text, item, first place) of ``words`` between spaces or ends of a text."""
         for g in self.words:
-            text, item, place = g.hits(points, off)
+            found = [(np.zeros(0, np.int64),) * 3, *g.hits(points, off)]
+            text, item, place = (np.concatenate(x) for x in zip(*found, strict=True))
             start, end = off[text] + place, off[text] + place + g.q
             left = (start == off[text]) | (points[np.maximum(start - 1, 0)] == 32)
             right = (end == off[text + 1]) | (points[np.minimum(end, len(points) - 1)] == 32)
@@ -123,15 +129,17 @@ class Items:
 
     def regions(self, points: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, first diagonal of a band, hits in it) where the lemma's bound is reached."""
-        text, item, diagonal = self.hits(points, off)
-        if not len(text):
-            return
-        width = self.edits[item] + 1
-        band = diagonal // width
-        pair = text * len(self.size) + item
-        least = band.min() - 1
-        span = band.max() - least + 1
-        found, count = np.unique(np.concatenate([pair * span + band - x - least for x in (0, 1)]), return_counts=True)
+        # diagonals reach from minus the longest item to the longest text; bands are counted chunk by chunk of hits
+        least = -int(self.size.max(initial=0)) - 2
+        span = int(np.diff(off).max(initial=0)) - least + 1
+        found, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for g in self.grams:
+            for text, item, diagonal in g.hits(points, off):
+                band = diagonal // (self.edits[item] + 1)
+                pair = text * len(self.size) + item
+                new, times = np.unique(np.concatenate([pair * span + band - x - least for x in (0, 1)]), return_counts=True)
+                found, of = np.unique(np.concatenate([found, new]), return_inverse=True)
+                count = np.bincount(of, weights=np.concatenate([count, times]), minlength=len(found)).astype(np.int64)
         i = found // span % len(self.size)
         enough = count >= self.bound[i]
         for key, c in zip(found[enough], count[enough], strict=True):
@@ -209,6 +217,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE,
     """doc_id, item_id, edits, start, end (in the cleaned text), shared_grams, item_chars for each leak."""
     spark = docs.sparkSession
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    item_arrow = to_arrow_type(benchmark.schema["item_id"].dataType)
     schema = f"doc_id {id_type}, item_id {item_type}, edits int, start int, end int, shared_grams int, item_chars int"
     out = None
     for block in blocks(benchmark, block_chars):
@@ -223,7 +232,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE,
                 rows = column(b, "doc_id").take(pa.array([t for t, _ in keys], pa.int64()))
                 sizes = [len(normalise(pa.array([items[1][i]]))[0].as_py()) for _, i in keys]
                 yield pa.RecordBatch.from_arrays(
-                    [rows, pa.array([items[0][i] for _, i in keys]).cast(_arrow_type(item_type)), *[pa.array([found[k][x] for k in keys], pa.int32()) for x in range(4)], pa.array(sizes, pa.int32())],
+                    [rows, pa.array([items[0][i] for _, i in keys], item_arrow), *[pa.array([found[k][x] for k in keys], pa.int32()) for x in range(4)], pa.array(sizes, pa.int32())],
                     names=["doc_id", "item_id", "edits", "start", "end", "shared_grams", "item_chars"],
                 )
 
@@ -232,10 +241,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE,
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def _arrow_type(name: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose texts hold no item."""
     names = docs.columns
