@@ -1,4 +1,9 @@
-"""The stages of the corpus pipeline. Each works on all that its predecessor kept."""
+"""The stages of the corpus pipeline. Each works on all that its predecessor kept.
+
+Odd rows, the same in all stages: a null text is an empty one; the quality rules reject it for its few words, the others
+leave it alone. Empty tables give empty tables. Rows may repeat, ids may be null or repeat, texts may have any length, and
+further columns, whatever their names, are handed on by all stages but the last, which returns places only.
+"""
 
 from __future__ import annotations
 
@@ -41,5 +46,5 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences of 1024 tokens: where each piece of each document goes."""
+    """Training sequences of 1024 tokens: where each piece of each document goes. A null or empty text is the end id alone."""
     return packing.pack(docs, tokenizer_path())
