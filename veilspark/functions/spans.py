@@ -21,28 +21,45 @@ def span(entity: str | Column, start: Column, end: Column, score: float | Column
     return F.struct(kind.alias("entity_type"), start.cast("int").alias("start"), end.cast("int").alias("end"), value.cast("double").alias("score"), text.alias("text"))
 
 
+def _ends(pieces: Column, between: int = 0) -> Column:
+    """Where each piece ends, if ``between`` characters lie between two. Integers only: structs are built once, later."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(state: Column, piece: Column) -> Column:
+        end = state["at"] + F.length(piece)
+        return F.struct((end + between).alias("at"), F.array_append(state["out"], end).alias("out"))
+
+    return F.aggregate(pieces, start, step, lambda s: s["out"])
+
+
+def _with(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def find_spans(text: Column, pattern: str, entity: str, score: float | Column) -> Column:
     """All matches of ``pattern`` from left to right, with code-point offsets. Digits, spaces and word classes are
     Unicode's. The pattern may look around but must not capture.
 
-    Matches are bracketed by marks, the text is cut at the marks, and the lengths of the pieces add up to offsets.
+    Matches are bracketed by marks, the text is cut at the marks (every second piece is a match), and the lengths of the
+    pieces add up to offsets. Texts without a match are read once.
     """
     copy = F.translate(text, OPEN + CLOSE, FILLER * 2)
     pieces = F.split(F.regexp_replace(copy, f"(?U)({pattern})", f"{OPEN}$1{CLOSE}"), f"[{OPEN}{CLOSE}]", -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), no_spans().alias("found"))
 
-    def step(state: Column, piece: Column) -> Column:
-        end = state["at"] + F.length(piece)
-        new = span(entity, state["at"], end, score, piece)
-        return F.struct(end.alias("at"), (~state["hit"]).alias("hit"), F.when(state["hit"], F.array_append(state["found"], new)).otherwise(state["found"]).alias("found"))
+    def found(p: Column) -> Column:
+        hit = lambda ends: F.transform(F.sequence(F.lit(1), F.size(p) - 2, F.lit(2)), lambda i: span(entity, F.get(ends, i - 1), F.get(ends, i), score, F.get(p, i)))
+        return F.when(F.size(p) > 2, _with(_ends(p), hit)).otherwise(no_spans())
 
-    return F.when(copy.rlike(f"(?U){pattern}"), F.aggregate(pieces, start, step, lambda s: s["found"])).otherwise(no_spans())
+    return F.when(text.rlike(f"(?U){pattern}"), _with(pieces, found)).otherwise(no_spans())
 
 
 def find_literal(text: Column, word: str, entity: str, score: float) -> Column:
     """All occurrences of ``word`` that don't overlap, from left to right."""
     quoted = "".join(f"\\x{{{ord(c):x}}}" for c in word)
-    return find_spans(text, quoted, entity, score)
+    hit = lambda ends: F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda e: span(entity, e, e + len(word), score, F.lit(word)))
+    found = lambda p: _with(_ends(p, len(word)), hit)
+    return F.when(F.contains(text, F.lit(word)), _with(F.split(text, quoted, -1), found)).otherwise(no_spans())
 
 
 def overlap(a: Column, b: Column) -> Column:

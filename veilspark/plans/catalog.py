@@ -241,6 +241,18 @@ def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("doc_id", F.lit(None).cast("string").alias("error")).unionByName(bad.select("doc_id", "error"))
 
 
+def request_anonymize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests whose rows ask for types, a threshold and a mask of their own; rows that aren't valid are left out."""
+    key = F.col("doc_id")
+    operator = F.struct(F.lit("mask").alias("type"), F.lit(0).alias("keep_prefix"), F.lit(4).alias("keep_suffix"), F.lit("#").alias("masking_char"), F.lit(False).alias("mask_email_domain"))
+    rows = _docs(spark, sf_dir).select(
+        "doc_id", "text", F.when(key % 3 == 0, F.array(F.lit(C.EMAIL))).when(key % 3 == 1, F.array(F.lit(C.BANK_CARD))).otherwise(F.array(F.lit(C.EMAIL), F.lit(C.BANK_CARD))).alias("entities"),
+        F.when(key % 5 == 0, 0.8).alias("score_threshold"), F.when(key % 4 == 0, F.create_map(F.lit(C.BANK_CARD), operator)).alias("operators"),
+    )
+    good, _ = split_requests(rows)
+    return P.anonymize_requests(good, config=_only(*CARDS_AND_MAIL)).select("doc_id", "anonymized_text", F.size("pii_entities").cast("long").alias("n_entities"))
+
+
 def supported_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity_table(spark)
 
@@ -289,7 +301,7 @@ def mosaic_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FUNCTIONS = (
     text_anonymize, text_anonymize_cards_mail, bank_card_detect, email_detect, email_mask, email_rules, dedupe_then_anonymize, phone_detect, phone_validate, id_card_validate, id_card_detect, id_card_ocr_repair,
     passport_detect, mask_generic, mask_email_cases, priority_resolve, threshold_filter, explicit_threshold, allow_list, deny_list, name_address_extraction, extraction_filter, tokenize_fallback, keyword_extraction,
-    context_boost, stop_words, pii_report, pages_email_mask, fake_replace, other_rewrites, request_validation, supported_entities, mosaic_styles, ocr_merge_adjacent, bbox_merge, mosaic_images,
+    context_boost, stop_words, pii_report, pages_email_mask, fake_replace, other_rewrites, request_validation, request_anonymize, supported_entities, mosaic_styles, ocr_merge_adjacent, bbox_merge, mosaic_images,
 )
 
 

@@ -60,6 +60,9 @@ MAIL_ROWS = f"SELECT doc_id, lang, p[i] AS value FROM (SELECT doc_id, lang, p, u
 CARD_TEXT = f"array_to_string(list_transform({_doubled('text')}, lambda x, i: CASE WHEN i % 2 = 0 AND {_card_ok('x')} THEN left(x, 4) || repeat('*', length(x) - 8) || right(x, 4) ELSE x END), '')"
 
 
+REQUEST_CARDS = f"array_to_string(list_transform({_doubled('text')}, lambda x, i: CASE WHEN i % 2 = 0 AND {_card_ok('x')} AND (doc_id % 5 <> 0 OR left(replace(x, ' ', ''), 6) IN {_in(C.BANK_BINS)}) THEN CASE WHEN doc_id % 4 = 0 THEN repeat('#', length(x) - 4) ELSE left(x, 4) || repeat('*', length(x) - 8) END || right(x, 4) ELSE x END), '')"
+
+
 def _id_ok(v: str) -> str:
     weights = "[" + ", ".join(map(str, C.CHECK_WEIGHTS)) + "]"
     total = f"list_sum(list_transform(range(1, 18), lambda k: CAST(substr({v}, CAST(k AS INT), 1) AS INT) * {weights}[k]))"
@@ -124,6 +127,10 @@ ORACLES = {
     "other_rewrites": "SELECT c_custkey, '<CN_NAME>' AS replaced, '' AS redacted, sha256(c_name) AS hashed, c_name AS kept, left(c_name, length(c_name) - 4) || '****' AS tail, upper(c_name) AS upper FROM customer",
     "request_validation": f"""SELECT doc_id, CASE WHEN doc_id % 10 = 0 OR text IS NULL OR length(text) = 0 THEN 'text is empty' WHEN length(text) > {C.MAX_TEXT} THEN 'text is too long' WHEN doc_id % 12 = 11 THEN 'score_threshold must be from 0 to 1'
  WHEN doc_id % 5 = 0 THEN 'keep_prefix must not be negative' END AS error FROM documents""",
+    "request_anonymize": f"""WITH q AS (SELECT * FROM documents WHERE length(text) BETWEEN 1 AND {C.MAX_TEXT}), c AS (SELECT doc_id, text, {REQUEST_CARDS} AS t FROM q),
+ found AS (SELECT doc_id FROM ({CARD_ROWS}) AS r WHERE doc_id % 3 <> 0 AND (doc_id % 5 <> 0 OR left(replace(value, ' ', ''), 6) IN {_in(C.BANK_BINS)}) UNION ALL SELECT doc_id FROM ({MAIL_ROWS}) AS r WHERE doc_id % 3 <> 1),
+ n AS (SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id)
+ SELECT c.doc_id, CASE c.doc_id % 3 WHEN 0 THEN {_mail_text('text')} WHEN 1 THEN t ELSE {_mail_text('t')} END AS anonymized_text, CAST(coalesce(n.n, 0) AS BIGINT) AS n_entities FROM c LEFT JOIN n ON c.doc_id = n.doc_id""",
     "supported_entities": "SELECT * FROM (VALUES " + ", ".join(f"('{e}')" for e in C.ENTITIES) + ") AS t(entity_type)",
     "mosaic_styles": "SELECT * FROM (VALUES ('pixel'), ('blur'), ('fill')) AS t(name)",
 }

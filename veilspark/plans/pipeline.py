@@ -3,24 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..config import PiiConfig
-from ..functions.masks import DEFAULT_REWRITES, Rewrite
+from ..functions.masks import DEFAULT_REWRITES, Rewrite, mask, mask_email
 from ..functions.spans import no_spans
 from ..functions.tokenize import boost
 from ..operators.recognizers import scan
 from ..operators.resolve import by_priority, drop_contained
 
+#: Operators of a request by type.
+OPERATORS = "map<string,struct<type:string,keep_prefix:int,keep_suffix:int,masking_char:string,mask_email_domain:boolean>>"
 ENTITY = "struct<entity_type:string,start:int,end:int,score:double,original_text:string,anonymized_text:string>"
 
 
-def thresholded(spans: Column, config: PiiConfig) -> Column:
-    """The default threshold holds first; then an explicit one, or that of the type."""
+def thresholded(spans: Column, config: PiiConfig, explicit: Column | None = None) -> Column:
+    """The default threshold holds first; then an explicit one (``explicit``: by row, null where there is none), or that
+    of the type."""
     floor = F.filter(spans, lambda s: s["score"] >= config.default_threshold)
+    if explicit is not None:
+        return F.when(explicit.isNull(), thresholded(spans, config)).otherwise(F.filter(floor, lambda s: s["score"] >= explicit))
     if config.score_threshold is not None:
         return F.filter(floor, lambda s: s["score"] >= config.score_threshold)
     limits = dict(config.thresholds)
@@ -29,15 +35,15 @@ def thresholded(spans: Column, config: PiiConfig) -> Column:
     return F.filter(floor, lambda s: s["score"] >= limit(s))
 
 
-def resolved_spans(text: Column, scanned: Column, config: PiiConfig) -> Column:
-    """Scanned spans after duplicates, context, thresholds, the allow list and priorities."""
+def resolved_spans(text: Column, scanned: Column, config: PiiConfig, explicit: Column | None = None) -> Column:
+    """Scanned spans after duplicates, context, thresholds (``explicit``: by row), the allow list and priorities."""
     spans = drop_contained(scanned)
     if config.context_boost:
         spans = boost(spans, text, C.CONTEXT_WORDS)
     spans = F.filter(spans, lambda s: s["score"] >= config.default_threshold)
     if config.allow_list:
         spans = F.filter(spans, lambda s: ~s["text"].isin(list(config.allow_list)))
-    return by_priority(thresholded(spans, config), config.priorities)
+    return by_priority(thresholded(spans, config, explicit), config.priorities)
 
 
 def analyze(df: DataFrame, text_col: str = "text", config: PiiConfig | None = None, out: str = "pii_spans") -> DataFrame:
@@ -72,6 +78,39 @@ def anonymize(df: DataFrame, text_col: str = "text", config: PiiConfig | None =
     return named.withColumn("anonymized_text", F.when(F.size("pii_entities") == 0, F.col(text_col)).otherwise(rewritten(F.col(text_col), F.col("pii_entities"))))
 
 
+def requested(operator: Column, s: Column, default: Column) -> Column:
+    """What a span becomes by an operator of a request: mask and fake can be asked for, anything else leaves the default."""
+    prefix, suffix, char = F.coalesce(operator["keep_prefix"], F.lit(0)), F.coalesce(operator["keep_suffix"], F.lit(0)), F.coalesce(operator["masking_char"], F.lit("*"))
+    hidden = mask(s["text"], prefix, suffix, char)
+    hidden = F.when(F.coalesce(operator["mask_email_domain"], F.lit(False)) & s["text"].contains("@"), mask_email(s["text"], prefix, char)).otherwise(hidden)
+    made = reduce(lambda out, e: F.when(s["entity_type"] == e, Rewrite("fake").apply(e, s["text"])).otherwise(out), C.ENTITIES, default)
+    return F.when(operator["type"] == "mask", hidden).when(operator["type"] == "fake", made).otherwise(default)
+
+
+def anonymize_requests(requests: DataFrame, text_col: str = "text", config: PiiConfig | None = None) -> DataFrame:
+    """:func:`anonymize` for a table of requests whose rows say what they want, in columns that may be missing or null:
+    entities (array of types), score_threshold, and operators (:data:`OPERATORS`, by type). Rows are taken to be valid
+    (:func:`veilspark.sources.texts.split_requests`); types that nobody knows are never found."""
+    config = config or PiiConfig()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    explicit = F.col("score_threshold") if "score_threshold" in requests.columns else None
+    wanted = F.col("entities") if "entities" in requests.columns else None
+    operators = F.col("operators").cast(OPERATORS) if "operators" in requests.columns else None
+    found = requests.withColumn("pii_entities", scan(text, config))
+    if wanted is not None:
+        found = found.withColumn("pii_entities", F.when(wanted.isNull(), F.col("pii_entities")).otherwise(F.filter("pii_entities", lambda s: F.array_contains(wanted, s["entity_type"]))))
+    found = found.withColumn("pii_entities", F.when(F.size("pii_entities") > 0, resolved_spans(text, F.col("pii_entities"), config, explicit)).otherwise(no_spans()))
+
+    def entity(s: Column) -> Column:
+        new = replacement(s, DEFAULT_REWRITES)
+        if operators is not None:
+            new = requested(F.try_element_at(operators, s["entity_type"]), s, new)
+        return F.struct(s["entity_type"], s["start"], s["end"], s["score"], s["text"].alias("original_text"), new.alias("anonymized_text"))
+
+    named = found.withColumn("pii_entities", F.transform("pii_entities", entity).cast(f"array<{ENTITY}>"))
+    return named.withColumn("anonymized_text", F.when(F.size("pii_entities") == 0, F.col(text_col)).otherwise(rewritten(F.col(text_col), F.col("pii_entities"))))
+
+
 def entity_rows(df: DataFrame, keys: list[str], column: str = "pii_spans") -> DataFrame:
     """One row for each span or entity."""
     return df.select(*keys, F.inline(column))
@@ -84,8 +123,13 @@ def with_json(df: DataFrame, text_col: str = "text", out: str = "result") -> Dat
 
 def anonymize_distinct(df: DataFrame, text_col: str = "text", config: PiiConfig | None = None, rewrites: Mapping[str, Rewrite] | None = None) -> DataFrame:
     """As :func:`anonymize`, working once on each distinct text; worth it where the work by text is dear (a model)."""
-    done = anonymize(df.select(text_col).where(F.col(text_col).isNotNull()).distinct(), text_col, config, rewrites)
-    return df.join(done, text_col, "left")
+    texts = df.select(text_col).where(F.col(text_col).isNotNull()).distinct().withColumn("text_hash", F.xxhash64(text_col))
+    done = anonymize(texts, text_col, config, rewrites).select(F.col(text_col).alias("done_text"), "text_hash", "anonymized_text", "pii_entities")
+    # null texts need no partner and meet no key; a text of many rows is a key that adaptive execution splits
+    rows = df.where(F.col(text_col).isNotNull()).withColumn("text_hash", F.xxhash64(text_col))
+    joined = rows.join(done, (rows["text_hash"] == done["text_hash"]) & (F.col(text_col) == F.col("done_text")), "left").drop("text_hash", "done_text")
+    rest = anonymize(df.where(F.col(text_col).isNull()), text_col, config, rewrites)
+    return joined.unionByName(rest.select(*joined.columns))
 
 
 def report(df: DataFrame, keys: list[str], column: str = "pii_entities") -> DataFrame:
