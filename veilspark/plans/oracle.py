@@ -79,7 +79,31 @@ _TOKENS = f"regexp_extract_all({{0}}, '{C.TOKEN_PATTERN}')"
 _TRIMMED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 _SPANS = f"SELECT *, CASE entity_type WHEN 'CN_ID_CARD' THEN 1 WHEN 'CN_BANK_CARD' THEN 2 WHEN 'CN_PHONE_NUMBER' THEN 3 ELSE 5 END AS p FROM ({Q.SPAN_ROWS}) AS r"
 
+
+_HITS = f"""SELECT doc_id, start_pos, end_pos, entity_type, score, value, {_mail_masked('value')} AS hidden FROM ({_mail_rows('documents', 'doc_id')}) AS m
+ UNION ALL SELECT doc_id, pos, pos + length(value), 'CN_BANK_CARD', CASE WHEN left(replace(value, ' ', ''), 6) IN {_in(C.BANK_BINS)} THEN 0.95 ELSE 0.7 END, value, left(value, 4) || repeat('*', length(value) - 8) || right(value, 4)
+ FROM (SELECT doc_id, p[i] AS value, CAST(list_sum(list_transform(p[1:i - 1], lambda x: length(x))) AS BIGINT) AS pos FROM (SELECT doc_id, p, unnest(range(2, len(p) + 1, 2)) AS i FROM (SELECT doc_id, {_doubled("coalesce(text, '')")} AS p FROM documents)) WHERE {_card_ok('p[i]')}) AS c"""
+_BOXES = "SELECT l_orderkey, l_linenumber, CAST(l_partkey % 200 AS INT) AS x, CAST(l_suppkey % 60 AS INT) AS y, CAST(l_quantity + 5 AS INT) AS w, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 200, l_suppkey % 60, l_quantity) AS n FROM lineitem"
+_TOUCH = "list_position(list_transform(o, lambda b: a[i].x1 <= b.x2 AND b.x1 <= a[i].x2 AND a[i].y1 <= b.y2 AND b.y1 <= a[i].y2), true)"
+
 ORACLES = {
+    # the documents of the size that is checked hold cards and mail only
+    "text_anonymize": f"""WITH c AS (SELECT doc_id, text, {CARD_TEXT} AS t FROM documents), n AS (SELECT doc_id, count(*) AS n, string_agg('{{"entity_type":"' || entity_type || '","start":' || start_pos || ',"end":' || end_pos || ',"score":' || CAST(score AS DOUBLE)
+ || ',"original_text":' || CAST(to_json(value) AS VARCHAR) || ',"anonymized_text":' || CAST(to_json(hidden) AS VARCHAR) || '}}', ',' ORDER BY start_pos) AS j FROM ({_HITS}) AS h GROUP BY doc_id)
+ SELECT c.doc_id, {_mail_text('t')} AS anonymized_text, CAST(coalesce(n.n, 0) AS INTEGER) AS n_entities, '[' || coalesce(n.j, '') || ']' AS entities FROM c LEFT JOIN n ON c.doc_id = n.doc_id""",
+    "ocr_merge_adjacent": f"""WITH RECURSIVE b AS ({_BOXES}), f AS (SELECT l_orderkey, n, [y] AS tops, CAST(1 AS BIGINT) AS line FROM b WHERE n = 1
+ UNION ALL SELECT b.l_orderkey, b.n, CASE WHEN list_contains(list_transform(tops, lambda t: abs(t - y) <= 5), true) THEN tops ELSE list_append(tops, y) END,
+ CAST(CASE WHEN list_contains(list_transform(tops, lambda t: abs(t - y) <= 5), true) THEN list_position(list_transform(tops, lambda t: abs(t - y) <= 5), true) ELSE len(tops) + 1 END AS BIGINT) FROM f JOIN b ON b.l_orderkey = f.l_orderkey AND b.n = f.n + 1),
+ g AS (SELECT b.*, f.line, CASE WHEN x - lag(x + w) OVER s <= 20 THEN 0 ELSE 1 END AS fresh FROM b JOIN f ON b.l_orderkey = f.l_orderkey AND b.n = f.n WINDOW s AS (PARTITION BY b.l_orderkey, f.line ORDER BY x, b.n)),
+ r AS (SELECT *, sum(fresh) OVER (PARTITION BY l_orderkey, line ORDER BY x, n ROWS UNBOUNDED PRECEDING) AS part FROM g)
+ SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR), '' ORDER BY x, n) || ':' || min(x) || ',' || first(y ORDER BY x, n) || ',' || (last(x + w ORDER BY x, n) - min(x)) || ',12' AS box FROM r GROUP BY l_orderkey, line, part""",
+    "bbox_merge": f"""WITH RECURSIVE s AS (SELECT l_orderkey, list({{'x1': x - 5, 'y1': y - 5, 'x2': x + w + 5, 'y2': y + 17}} ORDER BY n) AS a FROM ({_BOXES}) AS b GROUP BY l_orderkey),
+ f AS (SELECT l_orderkey, a, CAST(1 AS BIGINT) AS i, a[1:0] AS o, false AS done FROM s
+ UNION ALL SELECT l_orderkey, CASE WHEN i > len(a) THEN o ELSE a END, CASE WHEN i > len(a) THEN 1 ELSE i + 1 END,
+ CASE WHEN i > len(a) THEN a[1:0] WHEN coalesce(k, 0) = 0 THEN list_append(o, a[i])
+ ELSE list_transform(o, lambda b, j: CASE WHEN j = k THEN {{'x1': least(a[i].x1, b.x1), 'y1': least(a[i].y1, b.y1), 'x2': greatest(a[i].x2, b.x2), 'y2': greatest(a[i].y2, b.y2)}} ELSE b END) END,
+ i > len(a) AND len(o) = len(a) FROM (SELECT *, CASE WHEN i <= len(a) THEN {_TOUCH} END AS k FROM f WHERE NOT done) AS q)
+ SELECT l_orderkey, CAST(b.x1 AS INTEGER) AS x1, CAST(b.y1 AS INTEGER) AS y1, CAST(b.x2 AS INTEGER) AS x2, CAST(b.y2 AS INTEGER) AS y2 FROM (SELECT l_orderkey, unnest(a) AS b FROM f WHERE done) AS u""",
     "text_anonymize_cards_mail": f"""WITH c AS (SELECT doc_id, text, {CARD_TEXT} AS t FROM documents), n AS (SELECT doc_id, count(*) AS n FROM ({CARD_ROWS} UNION ALL {MAIL_ROWS}) AS u GROUP BY doc_id)
  SELECT c.doc_id, {_mail_text('t')} AS anonymized_text, CAST(coalesce(n.n, 0) AS BIGINT) AS n_entities FROM c LEFT JOIN n ON c.doc_id = n.doc_id""",
     "bank_card_detect": f"SELECT doc_id, value, CAST(CASE WHEN left(replace(value, ' ', ''), 6) IN {_in(C.BANK_BINS)} THEN 0.95 ELSE 0.7 END AS DOUBLE) AS score FROM ({CARD_ROWS}) AS r",
