@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..config import PiiConfig
-from ..plans.pipeline import analyze
+from ..functions.spans import no_spans
+from ..plans.pipeline import resolved_spans
 from ..sources.images import to_array, to_png
 from .geometry import merge_adjacent, unite
 from .mosaic import STYLES, cover
+from .recognizers import scan
 
 BOX = "struct<text:string,left:int,top:int,width:int,height:int>"
 OCR = f"struct<text:string,boxes:array<{BOX}>,confidence:double>"
@@ -90,18 +94,20 @@ def _lines(boxes: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(names, b, strict=True)) for b in merge_adjacent([tuple(x[n] for n in names) for x in (bs if bs is not None else [])])] for bs in boxes])
 
 
-def image_entities(images: DataFrame, key: str = "origin", config: PiiConfig | None = None, ocr: str = "ocr") -> DataFrame:
+def image_entities(images: DataFrame, config: PiiConfig | None = None, ocr: str = "ocr") -> DataFrame:
     """``images`` with the entities of its text lines (pii_entities). Allowed texts are whole lines; each line's text is
-    analysed by itself and its whole box counts."""
+    analysed by itself and its whole box counts. Lines stay in the row of their image: no pixel is shuffled."""
     config = config or PiiConfig()
-    lines = images.select(key, F.posexplode(F.pandas_udf(_lines, f"array<{BOX}>")(f"{ocr}.boxes")).alias("n", "b")).select(key, "n", "b.*")
-    if config.allow_list:
-        lines = lines.where(~F.col("text").isin(list(config.allow_list)))
-    found = analyze(lines, "text", config.replace(allow_list=()))
-    rows = found.select(key, "n", F.posexplode("pii_spans").alias("m", "s"), "text", "left", "top", "width", "height")
-    entity = F.struct("n", "m", F.struct("s.entity_type", "text", "left", "top", "width", "height", "s.score").alias("e"))
-    grouped = rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(entity)), lambda x: x["e"]).cast(f"array<{IMAGE_ENTITY}>").alias("pii_entities"))
-    return images.join(grouped, key, "left").withColumn("pii_entities", F.coalesce("pii_entities", F.array().cast(f"array<{IMAGE_ENTITY}>")))
+    plain = config.replace(allow_list=())
+
+    def of_line(b: Column) -> Column:
+        # a step of its own for what is scanned, so that it is scanned once
+        spans = F.flatten(F.transform(F.array(scan(b["text"], plain)), lambda s: F.when(F.size(s) > 0, resolved_spans(b["text"], s, plain)).otherwise(no_spans())))
+        return F.transform(spans, lambda s: F.struct(s["entity_type"], b["text"], b["left"], b["top"], b["width"], b["height"], s["score"]).cast(IMAGE_ENTITY))
+
+    found = images.withColumn("_lines", F.pandas_udf(_lines, f"array<{BOX}>")(f"{ocr}.boxes"))
+    wanted = F.filter("_lines", lambda b: ~b["text"].isin(list(config.allow_list))) if config.allow_list else F.col("_lines")
+    return found.withColumn("pii_entities", F.flatten(F.transform(wanted, of_line))).drop("_lines")
 
 
 def redact(images: DataFrame, style: str = "pixel", padding: int = 5, out: str = "png", **options) -> DataFrame:
@@ -109,12 +115,12 @@ def redact(images: DataFrame, style: str = "pixel", padding: int = 5, out: str =
     if style not in STYLES:
         raise ValueError(f"unknown mosaic style: {style}")
 
-    @F.pandas_udf("binary")
-    def paint(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series, found: pd.Series) -> pd.Series:
-        done = []
-        for d, h, w, c, es in zip(data, height, width, channels, found, strict=True):
-            areas = unite([(e["left"], e["top"], e["width"], e["height"]) for e in es], padding) if es is not None else []
-            done.append(to_png(cover(to_array(d, h, w, c), areas, style, **options)))
-        return pd.Series(done)
+    def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = []
+            for d, h, w, c, es in zip(*[b.column(b.schema.get_field_index(n)) for n in ("data", "height", "width", "n_channels", "pii_entities")], strict=True):
+                areas = unite([(e["left"], e["top"], e["width"], e["height"]) for e in es.as_py() or []], padding)
+                done.append(to_png(cover(to_array(d.as_py(), h.as_py(), w.as_py(), c.as_py()), areas, style, **options)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(done, pa.binary())], names=[*b.schema.names, out])
 
-    return images.withColumn(out, paint("data", "height", "width", "n_channels", "pii_entities"))
+    return images.mapInArrow(paint, StructType([*images.schema.fields, StructField(out, BinaryType())]))

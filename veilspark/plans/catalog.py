@@ -20,6 +20,7 @@ from ..functions.spans import SPANS
 from ..functions.tokenize import keywords, tokens
 from ..operators.extraction import ListModel, with_extractions
 from ..operators.geometry import merge_adjacent, unite
+from ..operators.images import image_entities, redact, with_ocr
 from ..operators.mosaic import STYLES
 from ..operators.resolve import by_priority
 from ..sources.images import to_png
@@ -282,6 +283,36 @@ def bbox_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _boxes(spark, sf_dir).select("l_orderkey", F.explode(merge("boxes")).alias("a")).select("l_orderkey", *[F.col("a")[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
 
 
+def _recognizer():
+    """Stands in for a text recognition engine: the first pixel says which boxes it sees."""
+
+    def engine(image):
+        n = int(image[0, 0, 2]) + 256 * int(image[0, 0, 1])
+        near, other = 70 if n % 3 == 0 else 140, {0: "ok@qq.com", 1: "x@y.org"}.get(n % 5, "plain")
+        return {"rec_texts": [f"u{n}@", "mail.org", other], "rec_scores": [1.0, 1.0, 0.5], "rec_boxes": [[10, 5, 60, 15], [near, 5, near + 40, 15], [20, 25, 80, 35]]}
+
+    return engine
+
+
+def image_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """White images with lines of text, of which an address is whole only where two boxes are joined: entities, and how
+    many pixels are covered."""
+    import zlib
+
+    import numpy as np
+
+    @F.pandas_udf("long")
+    def dark(png):
+        rows = lambda x: np.frombuffer(zlib.decompress(x[41 : x.rindex(b"IEND") - 8]), np.uint8).reshape(40, 1 + 220 * 3)[:, 1:].reshape(40, 220, 3)
+        return png.map(lambda x: int((rows(x)[1:] == 0).all(axis=2).sum()))
+
+    white = F.unhex(F.concat(F.lpad(F.hex(F.col("c_custkey") % 256), 2, "0"), F.lpad(F.hex((F.col("c_custkey") / 256).cast("int") % 256), 2, "0"), F.repeat(F.lit("FF"), 40 * 220 * 3 - 2)))
+    shots = _docs(spark, sf_dir, "customer").select("c_custkey", F.lit(40).alias("height"), F.lit(220).alias("width"), F.lit(3).alias("n_channels"), white.alias("data"))
+    found = image_entities(with_ocr(shots, _recognizer), _only(C.EMAIL, allow_list=("ok@qq.com",)))
+    done = redact(found, "fill", fill_color=(0, 0, 0))
+    return done.select("c_custkey", F.size("pii_entities").cast("long").alias("n_entities"), F.array_join(F.transform("pii_entities", lambda e: e["text"]), " ").alias("lines"), dark("png").alias("covered"))
+
+
 def mosaic_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each style on small made-up images, as PNG."""
     import numpy as np
@@ -301,7 +332,7 @@ def mosaic_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FUNCTIONS = (
     text_anonymize, text_anonymize_cards_mail, bank_card_detect, email_detect, email_mask, email_rules, dedupe_then_anonymize, phone_detect, phone_validate, id_card_validate, id_card_detect, id_card_ocr_repair,
     passport_detect, mask_generic, mask_email_cases, priority_resolve, threshold_filter, explicit_threshold, allow_list, deny_list, name_address_extraction, extraction_filter, tokenize_fallback, keyword_extraction,
-    context_boost, stop_words, pii_report, pages_email_mask, fake_replace, other_rewrites, request_validation, request_anonymize, supported_entities, mosaic_styles, ocr_merge_adjacent, bbox_merge, mosaic_images,
+    context_boost, stop_words, pii_report, pages_email_mask, fake_replace, other_rewrites, request_validation, request_anonymize, supported_entities, mosaic_styles, ocr_merge_adjacent, bbox_merge, image_redact, mosaic_images,
 )
 
 

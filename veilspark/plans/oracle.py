@@ -97,6 +97,10 @@ ORACLES = {
  g AS (SELECT b.*, f.line, CASE WHEN x - lag(x + w) OVER s <= 20 THEN 0 ELSE 1 END AS fresh FROM b JOIN f ON b.l_orderkey = f.l_orderkey AND b.n = f.n WINDOW s AS (PARTITION BY b.l_orderkey, f.line ORDER BY x, b.n)),
  r AS (SELECT *, sum(fresh) OVER (PARTITION BY l_orderkey, line ORDER BY x, n ROWS UNBOUNDED PRECEDING) AS part FROM g)
  SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR), '' ORDER BY x, n) || ':' || min(x) || ',' || first(y ORDER BY x, n) || ',' || (last(x + w ORDER BY x, n) - min(x)) || ',12' AS box FROM r GROUP BY l_orderkey, line, part""",
+    "image_redact": """WITH e AS (SELECT c_custkey, c_custkey % 3 = 0 AS mail, c_custkey % 5 = 1 AS other, [10 - 5, 5 - 5, 70 + 40 + 5, 15 + 5] AS a, [20 - 5, 25 - 5, 80 + 5, 35 + 5] AS b FROM customer)
+ SELECT c_custkey, CAST(CAST(mail AS INT) + CAST(other AS INT) AS BIGINT) AS n_entities, concat_ws(' ', CASE WHEN mail THEN 'u' || c_custkey || '@mail.org' END, CASE WHEN other THEN 'x@y.org' END) AS lines,
+ CAST(CASE WHEN mail AND other AND a[4] >= b[2] THEN (greatest(a[3], b[3]) - least(a[1], b[1]) + 1) * (least(b[4], 39) - a[2] + 1 - 1) WHEN mail THEN (a[3] - a[1] + 1) * (a[4] - a[2] + 1 - 1)
+ WHEN other THEN (b[3] - b[1] + 1) * (least(b[4], 39) - b[2] + 1) ELSE 0 END AS BIGINT) AS covered FROM e""",
     "bbox_merge": f"""WITH RECURSIVE s AS (SELECT l_orderkey, list({{'x1': x - 5, 'y1': y - 5, 'x2': x + w + 5, 'y2': y + 17}} ORDER BY n) AS a FROM ({_BOXES}) AS b GROUP BY l_orderkey),
  f AS (SELECT l_orderkey, a, CAST(1 AS BIGINT) AS i, a[1:0] AS o, false AS done FROM s
  UNION ALL SELECT l_orderkey, CASE WHEN i > len(a) THEN o ELSE a END, CASE WHEN i > len(a) THEN 1 ELSE i + 1 END,
