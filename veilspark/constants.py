@@ -71,5 +71,4 @@ NO_PRIORITY = 99
 #: Requests and images.
 MAX_TEXT, MAX_IMAGE_BYTES = 100_000, 10 * 1024 * 1024
 IMAGE_FORMATS = ("png", "jpg", "jpeg", "bmp", "gif", "webp")
-MOSAIC_STYLES = (("pixel", "像素块马赛克 - 将区域划分为像素块并取平均色"), ("blur", "高斯模糊 - 对区域应用高斯模糊效果"), ("fill", "纯色填充 - 用指定颜色覆盖区域"))
-OCR_LANGUAGES = ("ch", "en", "korean", "japan", "chinese_cht", "ta", "te", "ka", "latin", "arabic", "cyrillic", "devanagari")
+MOSAIC_STYLES = (("pixel", "one sampled pixel for each block"), ("blur", "running means over the area"), ("fill", "one colour"))

@@ -17,7 +17,7 @@ from ..config import PiiConfig
 from ..functions import validators as V
 from ..functions.masks import Rewrite, fake, mask, mask_email
 from ..functions.spans import SPANS
-from ..functions.tokenize import keywords, tokens
+from ..functions.tokenize import keywords, token_offsets, tokens
 from ..operators.extraction import ListModel, with_extractions
 from ..operators.geometry import merge_adjacent, unite
 from ..operators.images import image_entities, redact, with_ocr
@@ -47,6 +47,7 @@ SPAN_ROWS = """SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THE
 MAILS = "SELECT c_custkey, 'from u' || CAST(c_custkey AS STRING) || '@' || CASE c_custkey % 4 WHEN 0 THEN 'qq.com' WHEN 1 THEN 'Gmail.com' WHEN 2 THEN 'x..y.org' ELSE 'mail.example.org' END || ' to me' AS text FROM customer"
 TALK = "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '张三丰住在北京市朝阳区建国路' || CAST(c_custkey AS STRING) || '号，找张三丰' WHEN 1 THEN '持卡人张三丰' ELSE '李雷 and ' || CAST(c_custkey AS STRING) END AS text FROM customer"
 WORDS = ("heti", "erth", "ing")
+MADE_WORDS = "的 好 猫 ， - x zh en"
 
 
 def _register(spark: SparkSession, sf_dir: str, *names: str) -> None:
@@ -126,7 +127,7 @@ def id_card_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def id_card_ocr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = (F.col("o_orderkey") % 17 + 1).cast("int")
-    rows = _made(spark, sf_dir, WITH_CHECK, "orders").where("value not like '%X'").select("o_orderkey", F.concat(F.substr("value", F.lit(1), at), F.lit("7"), F.substr(F.col("value"), at + 1, F.lit(18))).alias("text"))
+    rows = _made(spark, sf_dir, WITH_CHECK, "orders").select("o_orderkey", F.concat(F.substr("value", F.lit(1), at), F.lit("7"), F.substr(F.col("value"), at + 1, F.lit(18))).alias("text"))
     found = P.analyze(rows, config=_only(C.ID_CARD, as_of=AS_OF))
     return found.select("o_orderkey", (F.size("pii_spans") > 0).alias("repaired"), F.try_element_at("pii_spans", F.lit(1))["score"].alias("score"))
 
@@ -201,13 +202,20 @@ def keyword_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(found, " ").alias("keywords"))
 
 
+def token_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_offsets(tokens(F.coalesce(F.col("text"), F.lit(""))))
+    return _docs(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.transform(found, lambda x: x.cast("string")), " ").alias("places"))
+
+
 def context_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _made(spark, sf_dir, "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'email ' WHEN 1 THEN 'email one two three four five ' ELSE 'see ' END || 'u' || CAST(c_custkey AS STRING) || '@example.org' AS text FROM customer", "customer")
     return _spans(rows, ["c_custkey"], _only(C.EMAIL, context_boost=True)).select("c_custkey", "score", "value")
 
 
 def stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(w,) for w in ("的", "好", "猫", "，", "-", "x", "zh", "en")], "word string")
+    """Of all tokens of the conversations, and of some made ones."""
+    texts = _docs(spark, sf_dir, "conversations").select("text").unionByName(spark.createDataFrame([(MADE_WORDS,)], "text string"))
+    rows = texts.select(F.explode(tokens(F.coalesce(F.col("text"), F.lit("")))).alias("word")).distinct()
     return rows.select("word", V.is_stopword(F.col("word")).alias("stop"), V.is_punctuation(F.col("word")).alias("punct"), V.is_supported_language(F.col("word")).alias("language"))
 
 
@@ -331,7 +339,7 @@ def mosaic_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FUNCTIONS = (
     text_anonymize, text_anonymize_cards_mail, bank_card_detect, email_detect, email_mask, email_rules, dedupe_then_anonymize, phone_detect, phone_validate, id_card_validate, id_card_detect, id_card_ocr_repair,
-    passport_detect, mask_generic, mask_email_cases, priority_resolve, threshold_filter, explicit_threshold, allow_list, deny_list, name_address_extraction, extraction_filter, tokenize_fallback, keyword_extraction,
+    passport_detect, mask_generic, mask_email_cases, priority_resolve, threshold_filter, explicit_threshold, allow_list, deny_list, name_address_extraction, extraction_filter, tokenize_fallback, token_places, keyword_extraction,
     context_boost, stop_words, pii_report, pages_email_mask, fake_replace, other_rewrites, request_validation, request_anonymize, supported_entities, mosaic_styles, ocr_merge_adjacent, bbox_merge, image_redact, mosaic_images,
 )
 

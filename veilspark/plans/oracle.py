@@ -122,8 +122,8 @@ ORACLES = {
     "id_card_validate": f"SELECT o_orderkey, value, {_id_ok('value')} AS valid FROM ({Q.WITH_CHECK}) AS m",
     "id_card_detect": f"""SELECT o_orderkey, 'CN_ID_CARD' AS entity_type, CAST(2 AS BIGINT) AS start_pos, CAST(21 AS BIGINT) AS end_pos, CAST(0.95 AS DOUBLE) AS score, left(value, 6) || ' ' || right(value, 12) AS value
  FROM ({Q.WITH_CHECK}) AS m WHERE {_id_ok('value')} AND value NOT LIKE '%X'""",
-    "id_card_ocr_repair": f"""SELECT o_orderkey, ok AS repaired, CASE WHEN ok THEN CAST(0.9 AS DOUBLE) END AS score FROM (SELECT o_orderkey, len(list_filter(range(0, 19), lambda d: {_id_ok("(left(t, CAST(d AS INT)) || substr(t, CAST(d AS INT) + 2))")})) > 0 AS ok
- FROM (SELECT o_orderkey, left(value, CAST(o_orderkey % 17 + 1 AS INT)) || '7' || substr(value, CAST(o_orderkey % 17 + 2 AS INT)) AS t FROM ({Q.WITH_CHECK}) AS m WHERE value NOT LIKE '%X') AS w) AS x""",
+    "id_card_ocr_repair": f"""SELECT o_orderkey, ok AS repaired, CASE WHEN ok THEN CAST(0.9 AS DOUBLE) END AS score FROM (SELECT o_orderkey, last_char <> 'X' AND len(list_filter(range(0, 19), lambda d: {_id_ok("(left(t, CAST(d AS INT)) || substr(t, CAST(d AS INT) + 2))")})) > 0 AS ok
+ FROM (SELECT o_orderkey, right(value, 1) AS last_char, left(value, CAST(o_orderkey % 17 + 1 AS INT)) || '7' || substr(value, CAST(o_orderkey % 17 + 2 AS INT)) AS t FROM ({Q.WITH_CHECK}) AS m) AS w) AS x""",
     "passport_detect": f"""SELECT c_custkey, 'CN_PASSPORT' AS entity_type, CAST(5 AS BIGINT) AS start_pos, CAST(5 + length(value) AS BIGINT) AS end_pos, CAST(CASE c_custkey % 6 WHEN 1 THEN 0.9 WHEN 2 THEN 0.8 ELSE 0.65 END AS DOUBLE) AS score, value
  FROM (SELECT c_custkey, regexp_extract(text, '[A-Z]+[0-9]+') AS value FROM ({Q.PASSPORTS}) AS m WHERE c_custkey % 6 IN (0, 1, 2, 5)) AS v""",
     "mask_generic": """SELECT c_custkey, CASE WHEN k + s >= length(v) THEN v ELSE left(v, k) || repeat(m, length(v) - k - s) || right(v, s) END AS masked
@@ -146,9 +146,12 @@ ORACLES = {
     "extraction_filter": f"""SELECT id, length(t) >= 2 AND NOT regexp_full_match(t, '[\\d\\s\\-+\\.]+') AND NOT regexp_full_match(t, '[a-zA-Z0-9\\s\\-_\\.@]+') AND NOT regexp_matches(t, '(?i)^({"|".join(C.LABELS)})') AS wanted
  FROM (SELECT id, {_TRIMMED} AS t FROM (SELECT 't' || CAST(c_custkey AS STRING) AS id, text FROM ({Q.TALK}) AS m UNION ALL SELECT 'c-' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING), coalesce(text, '') FROM conversations) AS u) AS w""",
     "tokenize_fallback": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_TOKENS.format("coalesce(text, '')")} AS t FROM documents)",
+    "token_places": f"""SELECT conv_id, turn, array_to_string(list_transform(t, lambda x, i: CAST(coalesce(list_sum(list_transform(t[1:i - 1], lambda y: length(y))), 0) AS VARCHAR)), ' ') AS places
+ FROM (SELECT conv_id, turn, {_TOKENS.format("coalesce(text, '')")} AS t FROM conversations)""",
     "keyword_extraction": f"SELECT conv_id, turn, array_to_string(list_transform(list_filter({_TOKENS.format("coalesce(text, '')")}, lambda x: x NOT IN {_in(C.NO_KEYWORDS)}), lambda x: lower(x)), ' ') AS keywords FROM conversations",
     "context_boost": "SELECT c_custkey, CAST(CASE WHEN c_custkey % 3 = 0 THEN 1.0 ELSE 0.85 END AS DOUBLE) AS score, 'u' || CAST(c_custkey AS STRING) || '@example.org' AS value FROM customer",
-    "stop_words": "SELECT * FROM (VALUES ('的', true, false, false), ('好', true, false, false), ('猫', false, false, false), ('，', false, true, false), ('-', false, true, false), ('x', false, false, false), ('zh', false, false, true), ('en', false, false, false)) AS t(word, stop, punct, language)",
+    "stop_words": f"""SELECT word, lower(word) IN {_in(C.STOPWORDS)} AS stop, list_contains([{", ".join("'" + p.replace("'", "''") + "'" for p in C.PUNCTUATION)}], word) AS punct, word IN {_in(C.LANGUAGES)} AS language
+ FROM (SELECT DISTINCT unnest({_TOKENS.format("coalesce(text, '')")}) AS word FROM (SELECT text FROM conversations UNION ALL SELECT '{Q.MADE_WORDS}'))""",
     "pii_report": f"""SELECT lang, entity_type, count(*) AS n_entities, count(DISTINCT doc_id) AS n_texts FROM (SELECT *, 'CN_BANK_CARD' AS entity_type FROM ({CARD_ROWS}) AS a UNION ALL SELECT *, 'CN_EMAIL' FROM ({MAIL_ROWS}) AS b) AS u GROUP BY lang, entity_type""",
     "pages_email_mask": f"SELECT page_id, {_mail_text('html')} AS anonymized_text FROM pages",
     "fake_replace": "SELECT c_custkey, true AS ok, true AS other_kept FROM customer",
