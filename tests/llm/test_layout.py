@@ -1,10 +1,12 @@
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -30,6 +32,34 @@ def test_shards(spark, odd_docs, odd_rows, no_docs, tmp_path):
     assert slots.shard(no_docs, 4, 64).count() == 0
 
 
+def test_shards_are_those_of_the_rule(spark):
+    """Slots, the edited map and places, recomputed row by row."""
+    rng = random.Random(9)
+    docs = [(k, "y" * int(rng.paretovariate(1.1) * 9) if k % 7 else rng.choice(["same", None])) for k in range(600)]
+    n_slots, n = 64, 5
+    rows = []
+    for k, text in docs:
+        data = (text or "").encode()
+        crc = zlib.crc32(data)
+        seed = xxhash.xxh64_intdigest(struct.pack("<q", k), 42)
+        h = xxhash.xxh64_intdigest(struct.pack("<q", crc), seed)
+        rows.append(((h - (h >> 63 << 64)) % n_slots, k, crc, len(data) + 1))
+    size = Counter()
+    for s, _, _, b in rows:
+        size[s] += b
+    share, load, shard = -(-sum(size.values()) // n), [0] * n, {}
+    for b, s in sorted(((size[s], s) for s in range(n_slots)), reverse=True):
+        to = s % n if load[s % n] + b <= share else load.index(min(load))
+        load[to] += b
+        shard[s] = to
+    places, expected = Counter(), set()
+    for s, k, crc, b in sorted(rows):
+        expected.add((k, b, crc, s, shard[s], places[shard[s]]))
+        places[shard[s]] += 1
+    found = slots.shard(spark.createDataFrame(docs, "doc_id long, text string"), n, n_slots).collect()
+    assert {(r.doc_id, r["size"], r.text_crc32, r.virtual_slot, r.shard, r.slot) for r in found} == expected
+
+
 def test_balance_and_moves(spark, tmp_path):
     rng = random.Random(1)
     docs = spark.createDataFrame([(k, "x" * int(rng.paretovariate(1.2) * 20)) for k in range(4000)], "doc_id long, text string")
