@@ -8,7 +8,7 @@ from veilspark.functions.masks import Rewrite, fake, mask, mask_email, requested
 from veilspark.operators import images, mosaic
 from veilspark.operators.geometry import merge_adjacent, unite
 from veilspark.operators.udtf import register
-from veilspark.plans.pipeline import anonymize, anonymize_distinct, report, with_json
+from veilspark.plans.pipeline import OPERATORS, anonymize, anonymize_distinct, anonymize_requests, report, with_json
 from veilspark.sources.images import check_files, read_images, to_png
 from veilspark.sources.texts import envelope, parse_form, split_requests, write_json
 from veilspark.streaming.pipeline import anonymize_stream, read_texts
@@ -39,6 +39,25 @@ def test_texts(spark):
         Rewrite("nothing")
 
 
+def test_requests_by_row(spark):
+    text = "电话13812345678，邮箱test@example.com"
+    rows = [
+        (0, text, None, None, None), (1, text, [C.EMAIL], None, None), (2, text, [C.PHONE], 0.99, None), (3, None, [C.PHONE], None, None), (4, text, [], None, None),
+        (5, text, None, None, {C.PHONE: ("mask", 1, 2, "#", None), C.EMAIL: ("other", 0, 0, None, None)}), (6, "", None, 0.0, None),
+    ]
+    kind = f"id int, text string, entities array<string>, score_threshold double, operators {OPERATORS}"
+    found = {r.id: r.anonymized_text for r in anonymize_requests(spark.createDataFrame(rows, kind)).collect()}
+    whole = "电话138****5678，邮箱te**@*******.com"
+    assert found == {0: whole, 1: "电话13812345678，邮箱te**@*******.com", 2: text, 3: None, 4: text, 5: "电话1########78，邮箱te**@*******.com", 6: ""}
+    assert [r.anonymized_text for r in anonymize_requests(spark.createDataFrame([(text,)], "text string")).collect()] == [whole]
+
+
+def test_distinct_texts_with_nulls_and_repeats(spark):
+    df = spark.createDataFrame([(1, "a@b.org"), (2, None), (3, "a@b.org"), (4, "")], "id int, text string")
+    found = {r.id: (r.text, r.anonymized_text, len(r.pii_entities)) for r in anonymize_distinct(df).collect()}
+    assert found == {1: ("a@b.org", "*@*.org", 1), 2: (None, None, 0), 3: ("a@b.org", "*@*.org", 1), 4: ("", "", 0)} and anonymize_distinct(df).columns == ["id", "text", "anonymized_text", "pii_entities"]
+
+
 def test_other_operators(spark):
     df = spark.createDataFrame([("abc@d.cn",)], "v string")
     value = F.col("v")
