@@ -13,7 +13,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from ..config import PiiConfig
 from ..functions.spans import no_spans
 from ..plans.pipeline import resolved_spans
-from ..sources.images import to_array, to_png
+from ..sources.images import ENCODERS, encode, to_array
 from .geometry import merge_adjacent, unite
 from .mosaic import STYLES, cover
 from .recognizers import scan
@@ -94,33 +94,73 @@ def _lines(boxes: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(names, b, strict=True)) for b in merge_adjacent([tuple(x[n] for n in names) for x in (bs if bs is not None else [])])] for bs in boxes])
 
 
-def image_entities(images: DataFrame, config: PiiConfig | None = None, ocr: str = "ocr") -> DataFrame:
-    """``images`` with the entities of its text lines (pii_entities). Allowed texts are whole lines; each line's text is
-    analysed by itself and its whole box counts. Lines stay in the row of their image: no pixel is shuffled."""
-    config = config or PiiConfig()
+def _entities(images: DataFrame, config: PiiConfig, ocr: str, line_ok: Callable[[Column], Column] | None, span_ok: Callable[[Column], Column] | None = None, explicit: Column | None = None) -> DataFrame:
     plain = config.replace(allow_list=())
 
     def of_line(b: Column) -> Column:
-        # a step of its own for what is scanned, so that it is scanned once
-        spans = F.flatten(F.transform(F.array(scan(b["text"], plain)), lambda s: F.when(F.size(s) > 0, resolved_spans(b["text"], s, plain)).otherwise(no_spans())))
+        def settled(s: Column) -> Column:
+            s = F.filter(s, span_ok) if span_ok else s
+            return F.when(F.size(s) > 0, resolved_spans(b["text"], s, plain, explicit)).otherwise(no_spans())
+
+        spans = F.flatten(F.transform(F.array(scan(b["text"], plain)), settled))  # a step of its own for what is scanned, so that it is scanned once
         return F.transform(spans, lambda s: F.struct(s["entity_type"], b["text"], b["left"], b["top"], b["width"], b["height"], s["score"]).cast(IMAGE_ENTITY))
 
     found = images.withColumn("_lines", F.pandas_udf(_lines, f"array<{BOX}>")(f"{ocr}.boxes"))
-    wanted = F.filter("_lines", lambda b: ~b["text"].isin(list(config.allow_list))) if config.allow_list else F.col("_lines")
+    wanted = F.filter("_lines", line_ok) if line_ok else F.col("_lines")
     return found.withColumn("pii_entities", F.flatten(F.transform(wanted, of_line))).drop("_lines")
 
 
-def redact(images: DataFrame, style: str = "pixel", padding: int = 5, out: str = "png", **options) -> DataFrame:
-    """``images`` with PNG bytes in which the boxes of pii_entities are covered; without entities the image as it is."""
-    if style not in STYLES:
-        raise ValueError(f"unknown mosaic style: {style}")
+def image_entities(images: DataFrame, config: PiiConfig | None = None, ocr: str = "ocr") -> DataFrame:
+    """``images`` with the entities of its text lines (pii_entities). Allowed texts are whole lines; each line's text is
+    analysed by itself and its whole box counts. Lines stay in the row of their image: no pixel is shuffled."""
+    config = config or PiiConfig()
+    return _entities(images, config, ocr, (lambda b: ~b["text"].isin(list(config.allow_list))) if config.allow_list else None)
+
+
+def requested_image_entities(requests: DataFrame, config: PiiConfig | None = None, ocr: str = "ocr") -> DataFrame:
+    """:func:`image_entities` for requests whose rows say what they want, in columns that may be missing or null: entities
+    (array of types), allow_list (array of lines) and score_threshold."""
+    col = lambda name: F.col(name) if name in requests.columns else None
+    allowed, types = col("allow_list"), col("entities")
+    line_ok = (lambda b: F.coalesce(~F.array_contains(allowed, b["text"]), F.lit(True))) if allowed is not None else None
+    span_ok = (lambda s: types.isNull() | F.array_contains(types, s["entity_type"])) if types is not None else None
+    return _entities(requests, config or PiiConfig(), ocr, line_ok, span_ok, col("score_threshold"))
+
+
+def _painted(images: DataFrame, padding: int, out: str, image_format: str, style: str | None, options: dict) -> DataFrame:
+    """``style`` None: each row has its own mosaic_style and fill_color."""
 
     def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            col = lambda name, b=b: b.column(b.schema.get_field_index(name)) if name in b.schema.names else [pa.scalar(None)] * b.num_rows
             done = []
-            for d, h, w, c, es in zip(*[b.column(b.schema.get_field_index(n)) for n in ("data", "height", "width", "n_channels", "pii_entities")], strict=True):
+            for d, h, w, c, es, own, colour in zip(*[col(n) for n in ("data", "height", "width", "n_channels", "pii_entities", "mosaic_style", "fill_color")], strict=True):
+                kind, how = style, options
+                if style is None:
+                    kind, rgb = own.as_py() or "pixel", colour.as_py()
+                    whole = rgb is not None and len(rgb) == 3 and all(v is not None and 0 <= v <= 255 for v in rgb)
+                    how = {"fill_color": tuple(rgb)} if kind == "fill" and whole else {}
+                    if kind not in STYLES or (rgb is not None and not whole):
+                        done.append(None)  # a bad request must not fail the job
+                        continue
                 areas = unite([(e["left"], e["top"], e["width"], e["height"]) for e in es.as_py() or []], padding)
-                done.append(to_png(cover(to_array(d.as_py(), h.as_py(), w.as_py(), c.as_py()), areas, style, **options)))
+                done.append(encode(cover(to_array(d.as_py(), h.as_py(), w.as_py(), c.as_py()), areas, kind, **how), image_format))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(done, pa.binary())], names=[*b.schema.names, out])
 
+    if image_format.upper() not in ENCODERS:
+        raise ValueError(f"unknown image format: {image_format}")
     return images.mapInArrow(paint, StructType([*images.schema.fields, StructField(out, BinaryType())]))
+
+
+def redact(images: DataFrame, style: str = "pixel", padding: int = 5, out: str = "png", image_format: str = "PNG", **options) -> DataFrame:
+    """``images`` with the bytes of an image file in which the boxes of pii_entities are covered; without entities the
+    image as it is."""
+    if style not in STYLES:
+        raise ValueError(f"unknown mosaic style: {style}")
+    return _painted(images, padding, out, image_format, style, options)
+
+
+def redact_requests(requests: DataFrame, padding: int = 5, out: str = "png", image_format: str = "PNG") -> DataFrame:
+    """:func:`redact` in the mosaic_style (null: pixel) and, for fill, the fill_color (red, green, blue; null: black) of
+    each row. An unknown style or a colour that is none gives null."""
+    return _painted(requests, padding, out, image_format, None, {})

@@ -46,6 +46,7 @@ SPAN_ROWS = """SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THE
  CAST(l_partkey % 40 AS INT) AS s, CAST(l_partkey % 40 + 3 + l_suppkey % 12 AS INT) AS e, l_quantity / 50.0 AS score FROM lineitem"""
 MAILS = "SELECT c_custkey, 'from u' || CAST(c_custkey AS STRING) || '@' || CASE c_custkey % 4 WHEN 0 THEN 'qq.com' WHEN 1 THEN 'Gmail.com' WHEN 2 THEN 'x..y.org' ELSE 'mail.example.org' END || ' to me' AS text FROM customer"
 TALK = "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '张三丰住在北京市朝阳区建国路' || CAST(c_custkey AS STRING) || '号，找张三丰' WHEN 1 THEN '持卡人张三丰' ELSE '李雷 and ' || CAST(c_custkey AS STRING) END AS text FROM customer"
+SAID = "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'email ' WHEN 1 THEN 'email one two three four five ' ELSE 'see ' END || 'u' || CAST(c_custkey AS STRING) || '@example.org' AS text FROM customer"
 WORDS = ("heti", "erth", "ing")
 MADE_WORDS = "的 好 猫 ， - x zh en"
 
@@ -208,7 +209,7 @@ def token_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _made(spark, sf_dir, "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'email ' WHEN 1 THEN 'email one two three four five ' ELSE 'see ' END || 'u' || CAST(c_custkey AS STRING) || '@example.org' AS text FROM customer", "customer")
+    rows = _made(spark, sf_dir, SAID, "customer")
     return _spans(rows, ["c_custkey"], _only(C.EMAIL, context_boost=True)).select("c_custkey", "score", "value")
 
 
@@ -244,21 +245,29 @@ def other_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def validation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of which many are invalid."""
+    return _docs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.col("text")).alias("text"), ((F.col("doc_id") % 12) / 10.0).alias("score_threshold"), (F.col("doc_id") % 5 - 1).alias("keep_prefix"))
+
+
 def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _docs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.col("text")).alias("text"), ((F.col("doc_id") % 12) / 10.0).alias("score_threshold"), (F.col("doc_id") % 5 - 1).alias("keep_prefix"))
-    good, bad = split_requests(rows)
+    good, bad = split_requests(validation_rows(spark, sf_dir))
     return good.select("doc_id", F.lit(None).cast("string").alias("error")).unionByName(bad.select("doc_id", "error"))
 
 
-def request_anonymize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests whose rows ask for types, a threshold and a mask of their own; rows that aren't valid are left out."""
+def request_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests whose rows ask for types, a threshold and a mask of their own."""
     key = F.col("doc_id")
     operator = F.struct(F.lit("mask").alias("type"), F.lit(0).alias("keep_prefix"), F.lit(4).alias("keep_suffix"), F.lit("#").alias("masking_char"), F.lit(False).alias("mask_email_domain"))
-    rows = _docs(spark, sf_dir).select(
+    return _docs(spark, sf_dir).select(
         "doc_id", "text", F.when(key % 3 == 0, F.array(F.lit(C.EMAIL))).when(key % 3 == 1, F.array(F.lit(C.BANK_CARD))).otherwise(F.array(F.lit(C.EMAIL), F.lit(C.BANK_CARD))).alias("entities"),
         F.when(key % 5 == 0, 0.8).alias("score_threshold"), F.when(key % 4 == 0, F.create_map(F.lit(C.BANK_CARD), operator)).alias("operators"),
     )
-    good, _ = split_requests(rows)
+
+
+def request_anonymize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests by row; those that aren't valid are left out."""
+    good, _ = split_requests(request_rows(spark, sf_dir))
     return P.anonymize_requests(good, config=_only(*CARDS_AND_MAIL)).select("doc_id", "anonymized_text", F.size("pii_entities").cast("long").alias("n_entities"))
 
 
@@ -302,6 +311,12 @@ def _recognizer():
     return engine
 
 
+def white_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A white image for each customer; its first pixel has the customer's key."""
+    white = F.unhex(F.concat(F.lpad(F.hex(F.col("c_custkey") % 256), 2, "0"), F.lpad(F.hex((F.col("c_custkey") / 256).cast("int") % 256), 2, "0"), F.repeat(F.lit("FF"), 40 * 220 * 3 - 2)))
+    return _docs(spark, sf_dir, "customer").select("c_custkey", F.lit(40).alias("height"), F.lit(220).alias("width"), F.lit(3).alias("n_channels"), white.alias("data"))
+
+
 def image_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """White images with lines of text, of which an address is whole only where two boxes are joined: entities, and how
     many pixels are covered."""
@@ -314,9 +329,7 @@ def image_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = lambda x: np.frombuffer(zlib.decompress(x[41 : x.rindex(b"IEND") - 8]), np.uint8).reshape(40, 1 + 220 * 3)[:, 1:].reshape(40, 220, 3)
         return png.map(lambda x: int((rows(x)[1:] == 0).all(axis=2).sum()))
 
-    white = F.unhex(F.concat(F.lpad(F.hex(F.col("c_custkey") % 256), 2, "0"), F.lpad(F.hex((F.col("c_custkey") / 256).cast("int") % 256), 2, "0"), F.repeat(F.lit("FF"), 40 * 220 * 3 - 2)))
-    shots = _docs(spark, sf_dir, "customer").select("c_custkey", F.lit(40).alias("height"), F.lit(220).alias("width"), F.lit(3).alias("n_channels"), white.alias("data"))
-    found = image_entities(with_ocr(shots, _recognizer), _only(C.EMAIL, allow_list=("ok@qq.com",)))
+    found = image_entities(with_ocr(white_shots(spark, sf_dir), _recognizer), _only(C.EMAIL, allow_list=("ok@qq.com",)))
     done = redact(found, "fill", fill_color=(0, 0, 0))
     return done.select("c_custkey", F.size("pii_entities").cast("long").alias("n_entities"), F.array_join(F.transform("pii_entities", lambda e: e["text"]), " ").alias("lines"), dark("png").alias("covered"))
 
@@ -345,10 +358,12 @@ _FUNCTIONS = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _FUNCTIONS}
+    from . import catalog_images, catalog_requests
+
+    return {f.__name__: f for f in (*_FUNCTIONS, *catalog_requests.FUNCTIONS, *catalog_images.FUNCTIONS)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from .oracle import ORACLES
+    from . import oracle, oracle_more
 
-    return dict(ORACLES)
+    return oracle.ORACLES | oracle_more.ORACLES

@@ -141,15 +141,16 @@ ORACLES = {
     "allow_list": f"SELECT c_custkey, value FROM ({_mail_rows(f'({Q.MAILS}) AS m', 'c_custkey')}) AS r WHERE NOT (c_custkey % 4 = 0 AND c_custkey < 200)",
     "deny_list": f"""SELECT doc_id, CAST(pos AS BIGINT) AS start_pos, CAST(pos + {len(Q.WORDS[0])} AS BIGINT) AS end_pos, CAST(1.0 AS DOUBLE) AS score FROM (SELECT doc_id, list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * {len(Q.WORDS[0])} AS pos
  FROM (SELECT doc_id, p, unnest(range(1, len(p))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), '{Q.WORDS[0]}') AS p FROM documents)))""",
-    "name_address_extraction": f"""SELECT c_custkey, 'CN_NAME' AS entity_type, CAST(0 AS BIGINT) AS start_pos, CAST(3 AS BIGINT) AS end_pos, CAST(0.9 AS DOUBLE) AS score, '张三丰' AS value FROM ({Q.TALK}) AS m WHERE c_custkey % 3 = 0
- UNION ALL SELECT c_custkey, 'CN_ADDRESS', 5, 14, 0.9, '北京市朝阳区建国路' FROM ({Q.TALK}) AS m WHERE c_custkey % 3 = 0""",
+    "name_address_extraction": f"""SELECT c_custkey, t AS entity_type, CAST(strpos(text, v) - 1 AS BIGINT) AS start_pos, CAST(strpos(text, v) - 1 + length(v) AS BIGINT) AS end_pos, CAST(0.9 AS DOUBLE) AS score, v AS value FROM ({Q.TALK}) AS m,
+ (VALUES ('CN_NAME', '张三丰'), ('CN_NAME', '李雷'), ('CN_ADDRESS', '北京市朝阳区建国路'), ('CN_ADDRESS', '朝阳区')) AS w(t, v) WHERE strpos(text, v) > 0 AND NOT regexp_matches(text, '(?i)^({"|".join(C.LABELS)})') AND (t = 'CN_NAME' OR length(v) >= {C.MIN_ADDRESS}) AND v <> '李雷'""",
     "extraction_filter": f"""SELECT id, length(t) >= 2 AND NOT regexp_full_match(t, '[\\d\\s\\-+\\.]+') AND NOT regexp_full_match(t, '[a-zA-Z0-9\\s\\-_\\.@]+') AND NOT regexp_matches(t, '(?i)^({"|".join(C.LABELS)})') AS wanted
  FROM (SELECT id, {_TRIMMED} AS t FROM (SELECT 't' || CAST(c_custkey AS STRING) AS id, text FROM ({Q.TALK}) AS m UNION ALL SELECT 'c-' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING), coalesce(text, '') FROM conversations) AS u) AS w""",
     "tokenize_fallback": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_TOKENS.format("coalesce(text, '')")} AS t FROM documents)",
     "token_places": f"""SELECT conv_id, turn, array_to_string(list_transform(t, lambda x, i: CAST(coalesce(list_sum(list_transform(t[1:i - 1], lambda y: length(y))), 0) AS VARCHAR)), ' ') AS places
  FROM (SELECT conv_id, turn, {_TOKENS.format("coalesce(text, '')")} AS t FROM conversations)""",
     "keyword_extraction": f"SELECT conv_id, turn, array_to_string(list_transform(list_filter({_TOKENS.format("coalesce(text, '')")}, lambda x: x NOT IN {_in(C.NO_KEYWORDS)}), lambda x: lower(x)), ' ') AS keywords FROM conversations",
-    "context_boost": "SELECT c_custkey, CAST(CASE WHEN c_custkey % 3 = 0 THEN 1.0 ELSE 0.85 END AS DOUBLE) AS score, 'u' || CAST(c_custkey AS STRING) || '@example.org' AS value FROM customer",
+    "context_boost": f"""SELECT c_custkey, CAST(CASE WHEN len(list_filter(list_filter({_TOKENS.format('ahead')}, lambda k: k NOT IN {_in(C.NO_KEYWORDS)})[-{C.CONTEXT_WINDOW}:], lambda k: len(list_filter([{", ".join(f"'{w}'" for w in C.CONTEXT_WORDS[C.EMAIL])}], lambda w: contains(lower(k), w))) > 0)) > 0
+ THEN least(greatest(0.85 + {C.CONTEXT_BOOST}, {C.CONTEXT_FLOOR}), 1.0) ELSE 0.85 END AS DOUBLE) AS score, value FROM (SELECT c_custkey, 'u' || CAST(c_custkey AS STRING) || '@example.org' AS value, left(text, length(text) - length('u' || CAST(c_custkey AS STRING) || '@example.org')) AS ahead FROM ({Q.SAID}) AS m) AS t""",
     "stop_words": f"""SELECT word, lower(word) IN {_in(C.STOPWORDS)} AS stop, list_contains([{", ".join("'" + p.replace("'", "''") + "'" for p in C.PUNCTUATION)}], word) AS punct, word IN {_in(C.LANGUAGES)} AS language
  FROM (SELECT DISTINCT unnest({_TOKENS.format("coalesce(text, '')")}) AS word FROM (SELECT text FROM conversations UNION ALL SELECT '{Q.MADE_WORDS}'))""",
     "pii_report": f"""SELECT lang, entity_type, count(*) AS n_entities, count(DISTINCT doc_id) AS n_texts FROM (SELECT *, 'CN_BANK_CARD' AS entity_type FROM ({CARD_ROWS}) AS a UNION ALL SELECT *, 'CN_EMAIL' FROM ({MAIL_ROWS}) AS b) AS u GROUP BY lang, entity_type""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -132,6 +132,12 @@ def anonymize_distinct(df: DataFrame, text_col: str = "text", config: PiiConfig
     return joined.unionByName(rest.select(*joined.columns))
 
 
+def observed(df: DataFrame, metrics: Observation, column: str = "pii_entities") -> DataFrame:
+    """``df``, with counts that are gathered while an action runs (no pass of their own): rows, rows with an entity, entities."""
+    n = F.size(column)
+    return df.observe(metrics, F.count(F.lit(1)).alias("n_texts"), F.count_if(n > 0).alias("n_with_pii"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("n_entities"))
+
+
 def report(df: DataFrame, keys: list[str], column: str = "pii_entities") -> DataFrame:
     """Counts of entities and of rows with one, by keys and type."""
     rows = df.withColumn("row_id", F.monotonically_increasing_id()).select(*keys, "row_id", F.inline(column))

@@ -1,4 +1,4 @@
-"""Image files in, PNG bytes out."""
+"""Image files in, PNG or BMP bytes and files out."""
 
 from __future__ import annotations
 
@@ -37,6 +37,40 @@ def to_png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
 
 
+def to_bmp(image: np.ndarray) -> bytes:
+    """A 24-bit BMP: rows from the bottom up, blue, green, red, each row filled to four bytes."""
+    height, width = image.shape[:2]
+    rows = np.zeros((height, -(-width * 3 // 4) * 4), np.uint8)
+    rows[:, : width * 3] = np.ascontiguousarray(image[::-1, :, ::-1], np.uint8).reshape(height, width * 3)
+    return b"BM" + struct.pack("<IHHI", 54 + rows.size, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, rows.size, 2835, 2835, 0, 0) + rows.tobytes()
+
+
+ENCODERS = {"PNG": to_png, "BMP": to_bmp}
+
+
+def encode(image: np.ndarray, image_format: str = "PNG") -> bytes:
+    """The bytes of an image file. Other formats need a library that isn't here."""
+    if image_format.upper() not in ENCODERS:
+        raise ValueError(f"unknown image format: {image_format}")
+    return ENCODERS[image_format.upper()](image)
+
+
+def save_image_files(df: DataFrame, folder: str, name: str, column: str = "png") -> None:
+    """Write a binary column as files, one for each row, named by the column ``name``. ``folder``: a path or URI that all
+    executors reach. A task that is run again writes the same files again."""
+
+    def write(rows) -> None:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        system.create_dir(base, recursive=True)
+        for r in rows:
+            with system.open_output_stream(f"{base}/{r[0]}") as f:
+                f.write(bytes(r[1]))
+
+    df.where(F.col(column).isNotNull()).select(name, column).foreachPartition(write)
+
+
 def save_images(df: DataFrame, path: str, column: str = "png") -> None:
     """Write a binary column with the other columns as Parquet."""
     df.where(F.col(column).isNotNull()).write.mode("overwrite").parquet(path)

@@ -35,6 +35,13 @@ def envelope(df: DataFrame, data: str, error: str | None = None) -> DataFrame:
     return df.select(F.when(failed, 400).otherwise(200).alias("code"), F.when(failed, F.col(error) if error else F.lit("")).otherwise("success").alias("message"), F.when(~failed, F.col(data)).alias("data"))
 
 
+def health(spark: SparkSession) -> DataFrame:
+    """One row: whether the engine answers, its version and that of Spark."""
+    from .. import __version__
+
+    return spark.range(1).select(F.lit("healthy").alias("status"), F.lit(__version__).alias("version"), F.version().alias("engine"))
+
+
 def entity_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(e,) for e in C.ENTITIES], "entity_type string")
 
