@@ -1,12 +1,12 @@
+import hashlib
 import random
-import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import xxhash
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -41,9 +41,7 @@ def test_shards_are_those_of_the_rule(spark):
     for k, text in docs:
         data = (text or "").encode()
         crc = zlib.crc32(data)
-        seed = xxhash.xxh64_intdigest(struct.pack("<q", k), 42)
-        h = xxhash.xxh64_intdigest(struct.pack("<q", crc), seed)
-        rows.append(((h - (h >> 63 << 64)) % n_slots, k, crc, len(data) + 1))
+        rows.append((int(hashlib.md5(f"{k}:{crc}".encode()).hexdigest()[:8], 16) % n_slots, k, crc, len(data) + 1))
     size = Counter()
     for s, _, _, b in rows:
         size[s] += b
@@ -80,6 +78,27 @@ def test_balance_and_moves(spark, tmp_path):
     assert {r.shard for r in more.collect()} == set(range(5)) and slots.moved(even, more).count() < 128
 
 
+def test_stored_map_goes_on(spark, tmp_path):
+    """Runs that share a table: equal data leaves it alone, other data or another number of shards adds a version."""
+    rng = random.Random(4)
+    path = str(tmp_path / "kept")
+    docs = spark.createDataFrame([(k, "x" * rng.randrange(200)) for k in range(2000)], "doc_id long, text string")
+    held = lambda df, n=4, slack=0.02: {(r.doc_id, r.virtual_slot): (r.shard, r.version) for r in slots.shard(df, n, 256, path, slack).collect()}
+    one = held(docs)
+    assert {v for _, v in one.values()} == {2} and held(docs) == one
+    more = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 5000))
+    assert {k: v for k, v in held(more, slack=0.5).items() if k in one} == one  # even enough: nothing moves
+    heavy = docs.withColumn("text", F.when(F.col("doc_id") % 97 == 0, F.repeat(F.lit("y"), 5000)).otherwise(F.col("text")))
+    new = slots.shard(heavy, 4, 256, path, 0.02).collect()
+    assert {r.version for r in new} == {3}
+    five = held(docs, 5)
+    assert {v for _, v in five.values()} == {4} and {s for s, _ in five.values()} == set(range(5))
+    assert slots.load_version(spark, path, 2).count() == 256  # earlier versions stay
+    with pytest.raises(ValueError):
+        slots.shard(docs, 4, 128, path)
+
+
+
 def best_fit(items, capacity):
     rooms = []
     for x in sorted(items, reverse=True):

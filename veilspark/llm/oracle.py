@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .slots import N_SLOTS
+
 #: All pairs that share a shingle, by counting, and the least id of what links reach. For small tables.
 OP5 = r"""
 WITH RECURSIVE split AS (
@@ -35,4 +37,25 @@ SELECT t.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(remove
 FROM texts t LEFT JOIN cut c ON c.doc_id = t.doc_id
 """
 
-ORACLES = {"op5_multi_order_join": OP5, "op10_suffix_dedup": OP10}
+#: CRC-32 of UTF-8 texts byte by byte, a fold over the slots for the map, and counts for the places. For small tables.
+OP2 = f"""
+WITH RECURSIVE step AS (SELECT list(list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda a, x: xor(a >> 1, 3988292384 * (a & 1))) ORDER BY i) AS t FROM range(256) AS r(i)
+), crcs AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+    xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS crc
+  FROM documents, step
+), slotted AS (SELECT doc_id, CAST(size AS BIGINT) AS size, crc, CAST(CAST('0x' || left(md5(concat_ws(':', doc_id, crc)), 8) AS BIGINT) % {N_SLOTS} AS INTEGER) AS v FROM crcs
+), held AS (SELECT CAST(i AS INTEGER) AS v, coalesce(sum(size), 0) AS bytes, count(size) AS n FROM range({N_SLOTS}) AS r(i) LEFT JOIN slotted ON v = i GROUP BY i
+), inorder AS (SELECT v, bytes, v % 8 AS shard, row_number() OVER (ORDER BY bytes DESC, v DESC) AS k FROM held
+), share AS (SELECT ceil(sum(bytes) / 8) AS share FROM held
+), fold AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST(-1 AS INTEGER) AS v, CAST(-1 AS BIGINT) AS shard, [CAST(0 AS HUGEINT) FOR x IN range(8)] AS load
+  UNION ALL
+  SELECT k, v, target, list_transform(load, lambda y, i: CASE WHEN i = target + 1 THEN y + bytes ELSE y END) FROM (
+    SELECT o.k, o.v, o.bytes, f.load, CAST(CASE WHEN f.load[o.shard + 1] + o.bytes <= share THEN o.shard ELSE list_position(f.load, list_min(f.load)) - 1 END AS BIGINT) AS target FROM fold f JOIN inorder o ON o.k = f.k + 1, share)
+), placed AS (SELECT f.v, f.shard, coalesce(sum(n) OVER (PARTITION BY f.shard ORDER BY f.v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM fold f JOIN held h ON h.v = f.v)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, CAST(ahead + row_number() OVER (PARTITION BY s.v ORDER BY doc_id NULLS FIRST, crc, size) - 1 AS BIGINT) AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard, s.v AS virtual_slot, 2 AS version FROM slotted s JOIN placed p ON p.v = s.v
+"""
+
+ORACLES = {"op2_virtual_slots": OP2, "op5_multi_order_join": OP5, "op10_suffix_dedup": OP10}

@@ -2,9 +2,10 @@
 
 Each record hashes into one of thousands of slots for good; a small versioned table says which shard holds a slot.
 Bytes are aggregated for each slot, and rebalancing edits the table: it moves slots, never single records, so a
-new version says exactly which slots change hands. The law is ``bytes``: shards hold nearly the same number of bytes.
+new version says exactly which slots change hands. A table that is stored from an earlier run goes on from its newest
+version, and gets a new one only if shards have grown too unequal or their number has changed. The law is ``bytes``: shards hold nearly the same number of bytes.
 
-The slot hash takes doc_id and the text's CRC, so rows without an id and rows that repeat an id spread as well.
+The slot hash (32 bits of an MD5, which other engines have as well) takes doc_id and the text's CRC, so rows without an id and rows that repeat an id spread as well.
 Equal texts of different ids are separate records and spread over slots like any others: a group of copies that holds a
 third of all rows is no hot slot. Rows that repeat both id and text are in one slot. A null text has no bytes (size 1, CRC 0). Empty tables give an empty result and a table of empty slots.
 The slot table has a fixed number of rows (``n_slots``), whatever the data; only it is broadcast or folded in one row.
@@ -12,6 +13,9 @@ The slot table has a fixed number of rows (``n_slots``), whatever the data; only
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +29,7 @@ def slotted(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     crc = F.crc32(text)
     return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), crc.alias("text_crc32")).withColumn(
-        "virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_slots)).cast("int")
+        "virtual_slot", (F.conv(F.substring(F.md5(F.concat_ws(":", "doc_id", "text_crc32")), 1, 8), 16, 10).cast("long") % n_slots).cast("int")
     )
 
 
@@ -87,21 +91,44 @@ def moved(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.where("from_shard <> to_shard")
 
 
-def shard(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS) -> DataFrame:
+def balanced(slot_map: DataFrame, sizes: DataFrame, n_shards: int, slack: float) -> bool:
+    """Whether all shards are below ``n_shards`` and none holds more than an even share of all bytes and ``slack`` of it."""
+    loads = slot_map.join(F.broadcast(sizes), "virtual_slot").groupBy("shard").agg(F.sum("bytes").alias("bytes"))
+    most = loads.agg(F.max("bytes").alias("most"), F.sum("bytes").alias("whole"), F.max("shard").alias("last")).first()
+    return most["last"] < n_shards and most["most"] <= most["whole"] / n_shards * (1 + slack)
+
+
+def advance(spark: SparkSession, path: str, sizes: DataFrame, n_shards: int, n_slots: int, slack: float) -> DataFrame:
+    """The version of the stored table that holds for ``sizes``: the newest, or one more. A table that isn't there yet
+    begins with slots dealt in turn."""
+    try:
+        stored = load_version(spark, path)
+    except AnalysisException:
+        save_version(first_map(spark, n_shards, n_slots), path)
+        save_version(rebalance(load_version(spark, path), sizes, n_shards), path)
+        return load_version(spark, path)
+    if stored.count() != n_slots:
+        raise ValueError(f"the stored table hasn't {n_slots} slots; records keep their slots for good")
+    if balanced(stored, sizes, n_shards, slack):
+        return stored
+    save_version(rebalance(stored, sizes, n_shards), path)
+    return load_version(spark, path)
+
+
+def shard(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, map_path: str | None = None, slack: float = 0.01) -> DataFrame:
     """doc_id, size, text_crc32, virtual_slot, version, shard, slot (place in the shard, gapless from 0) of every row.
 
-    The stored table begins with slots dealt in turn and is rebalanced once on the bytes measured. A row's place is the
-    number of rows in earlier slots of its shard plus its rank within its virtual slot, so no shard is sorted as one.
+    ``map_path``: where the slot table is stored between runs (None: a table of this run alone, which begins with slots
+    dealt in turn and is rebalanced once on the bytes measured). A row's place is the number of rows in earlier slots of
+    its shard plus its rank within its virtual slot, so no shard is sorted as one.
     """
     spark = docs.sparkSession
     rows = materialise(slotted(docs, n_slots), "slotted")
     sizes = materialise(slot_sizes(rows, n_slots), "slot-sizes")
-    path = f"{shared_dir(spark)}/slot-map-{rows.inputFiles()[0].rsplit('/', 2)[1] if rows.inputFiles() else 'empty'}"
-    save_version(first_map(spark, n_shards, n_slots), path)
-    save_version(rebalance(load_version(spark, path), sizes, n_shards), path)
+    newest = advance(spark, map_path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}", sizes, n_shards, n_slots, slack)
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    newest = load_version(spark, path).join(F.broadcast(sizes.select("virtual_slot", "rows")), "virtual_slot")
-    placed = newest.select("version", "virtual_slot", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("ahead"))
+    known = newest.join(F.broadcast(sizes.select("virtual_slot", "rows")), "virtual_slot")
+    placed = known.select("version", "virtual_slot", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("ahead"))
     rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
     return rows.withColumn("rank", rank).join(F.broadcast(placed), "virtual_slot").select(
         "doc_id", "size", "text_crc32", "virtual_slot", "version", "shard", (F.col("ahead") + F.col("rank") - 1).cast("long").alias("slot")
