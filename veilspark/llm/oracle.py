@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .quality_rules import LADDERS, SETS
 from .slots import N_SLOTS
 
 #: All pairs that share a shingle, by counting, and the least id of what links reach. For small tables.
@@ -58,4 +59,42 @@ SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) A
   CAST(NULL AS INTEGER) AS grown_shard, s.v AS virtual_slot, 2 AS version FROM slotted s JOIN placed p ON p.v = s.v
 """
 
-ORACLES = {"op2_virtual_slots": OP2, "op5_multi_order_join": OP5, "op10_suffix_dedup": OP10}
+_WIDE = ", ".join(LADDERS)
+#: The rules with their cutoffs: halves of the labelled documents by CRC-32 of the id, proposals, and binomial sums in
+#: place of bounds (the upper bound exceeds a share if and only if so few or fewer are likelier than the error level).
+OP7 = rf"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, 'null') AS stratum, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents
+), windows AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM split)
+), twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM windows) WHERE n > 1
+), repeated AS (SELECT r, count(DISTINCT i + j) AS n FROM twice, range(8) AS k(j) GROUP BY r
+), counts AS (
+  SELECT s.r, doc_id, stratum, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+    coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines, len(regexp_extract_all(t, '[!?]')) AS n_shouts, len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(t, '[0-9]')) AS n_digits,
+    len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_twins FROM split s LEFT JOIN repeated p ON p.r = s.r
+), measured AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0.0 END AS symbol_share, CASE WHEN n_words > 0 THEN n_shouts / n_words ELSE 0.0 END AS shout_share,
+    CASE WHEN word_chars > 0 THEN n_upper / word_chars ELSE 0.0 END AS upper_share, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0.0 END AS dup_line_share, CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0.0 END AS repeat_share,
+    CASE WHEN n_words > 0 THEN n_twins / n_words ELSE 0.0 END AS twin_share, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0 END AS mean_word_chars, CASE WHEN word_chars > 0 THEN n_digits / word_chars ELSE 0.0 END AS digit_share FROM counts
+), long AS (UNPIVOT (SELECT r, stratum, base_failed, {_WIDE} FROM measured) ON {_WIDE} INTO NAME rule VALUE v
+), good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1
+), held AS (
+  SELECT r, stratum, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda a, x: xor(a >> 1, 3988292384 * (a & 1)))) % 2 = 1 AS first FROM measured JOIN good USING (doc_id) WHERE NOT base_failed
+), ladder AS (SELECT * FROM (VALUES {", ".join(f"('{rule}', {i}, {c})" for rule, steps in LADDERS.items() for i, c in enumerate(steps))}) AS x(rule, i, cutoff)
+), sets AS (SELECT * FROM (VALUES {", ".join(f"({level}, {budget}, {back})" for level, (budget, back) in enumerate(SETS))}) AS x(level, budget, back)
+), seen AS (SELECT h.stratum, rule, i, count(*) AS n, count(*) FILTER (WHERE v > cutoff) AS k FROM held h JOIN long USING (r) JOIN ladder USING (rule) WHERE first GROUP BY h.stratum, rule, i
+), strictest AS (SELECT stratum, level, back, rule, max(i) AS i FROM seen, sets WHERE k <= budget * n GROUP BY stratum, level, back, rule
+), proposed AS (SELECT stratum, level, rule, cutoff FROM strictest s JOIN ladder l USING (rule) WHERE l.i = s.i - s.back
+), second AS (SELECT h.r, h.stratum, level FROM held h, sets WHERE NOT first AND h.stratum IN (SELECT stratum FROM seen)
+), failed AS (SELECT DISTINCT r, p.level FROM long g JOIN proposed p ON p.stratum = g.stratum AND p.rule = g.rule WHERE v > cutoff
+), tried AS (SELECT s.stratum, s.level, count(*) AS n, count(f.r) AS k FROM second s LEFT JOIN failed f ON f.r = s.r AND f.level = s.level GROUP BY s.stratum, s.level
+), bounds AS (SELECT stratum, level, k < n AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05) + (n - i) * ln(0.95)))) <= 0.05 / (SELECT greatest(1, count(DISTINCT stratum)) FROM seen) AS ok FROM tried
+), passed AS (SELECT stratum, level, bool_and(ok) OVER (PARTITION BY stratum ORDER BY level) AS ok FROM bounds
+), chosen AS (SELECT stratum, max(level) AS level FROM passed WHERE ok GROUP BY stratum
+), gone AS (SELECT r FROM failed f JOIN measured m USING (r) JOIN chosen c ON c.stratum = m.stratum AND c.level = f.level)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM gone) AS kept FROM measured
+"""
+
+ORACLES = {"op2_virtual_slots": OP2, "op7_risk_controlled_rules": OP7, "op5_multi_order_join": OP5, "op10_suffix_dedup": OP10}
