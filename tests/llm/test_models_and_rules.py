@@ -183,6 +183,25 @@ def test_kneser_ney_probabilities_are_those_of_the_formula():
     assert np.allclose(found, [p(*x) for x in asked], rtol=1e-4)
 
 
+def test_kneser_ney_fits_all_trusted_texts(spark):
+    """More trusted documents than any fixed number of them: every text has the score of a model of all."""
+    rng = random.Random(21)
+    rows = [(k, sentence(rng, rng.randint(0, 12)) + f" w{k % 700}", "en") for k in range(7000)] + [(7000, None, None), (7001, "x " * 3000, "en"), (7002, rows_of := "the an er", "en"), (7003, rows_of, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = spark.createDataFrame([(k, 1) for k in range(6600)], "doc_id long, quality int")
+    found = {r.doc_id: r for r in kn_quality.classify(docs, known).collect()}
+    s, row = kn_quality._stream(pa.array([t for k, t, _ in rows[:6600] if zlib.crc32(str(k).encode()) % 3]))
+    ok = row[2:] == row[:-2]
+    tri = Counter(zip(s[:-2][ok].tolist(), s[1:-1][ok].tolist(), s[2:][ok].tolist(), strict=True))
+    model = kn_quality.Model(*[np.array(x, np.uint64) for x in zip(*tri, strict=True)], np.array(list(tri.values())))
+    assert len(found) == len(rows) and sum(r.threshold is not None for r in found.values()) == len(rows) - 1
+    for k, t, _ in rows[::50] + rows[-4:]:
+        s, _ = kn_quality._stream(pa.array([t or ""]))
+        total = np.log10(model.probability(s[:-2], s[1:-1], s[2:]).astype(float)).sum()
+        assert found[k].n_tokens == len(s) - 2 and np.isclose(found[k].log10_prob, total, rtol=1e-5)
+        assert np.isclose(found[k].perplexity, 10 ** (-total / (len(s) - 2)), rtol=1e-4)
+
+
 def viterbi_brute(scores, switch):
     return max(itertools.product(range(scores.shape[1]), repeat=len(scores)), key=lambda p: sum(scores[i, k] for i, k in enumerate(p)) - switch * sum(a != b for a, b in zip(p, p[1:])))
 
