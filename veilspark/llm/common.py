@@ -12,6 +12,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,10 +74,15 @@ def materialise(df: DataFrame, name: str, tidy: bool = False, rows: int | None =
 
 def release(spark: SparkSession) -> None:
     """Let the context cleaner drop shuffle files that nobody refers to. It acts when the JVM collects garbage; the
-    last query is garbage once its listeners know of its end, and all of it only at a second collection."""
+    last query is garbage once its listeners know of its end, and all of it only at a second collection. Listeners that
+    are behind after ten seconds, as they may be after stages of very many tasks, are not waited for: the files go later."""
     for _ in range(2):
         gc.collect()
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        try:
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        except Py4JJavaError as e:
+            if "TimeoutException" not in str(e.java_exception):
+                raise
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.3)
 
@@ -117,7 +123,7 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndar
     """All words of a slice, one after the other, and the row each comes from."""
     if lower:
         texts = pc.ascii_lower(texts)
-    lists = pc.split_pattern_regex(texts, SPACES)
+    lists = pc.ascii_split_whitespace(texts)  # as split_pattern_regex(texts, SPACES), and several times as fast
     flat = lists.flatten()
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(len(texts)), counts)

@@ -58,7 +58,7 @@ def repeated_words(rows: np.ndarray, hashes: np.ndarray, n: int, window: int = W
     start = np.flatnonzero(inside)
     with np.errstate(over="ignore"):
         key = mix(window_hashes(hashes, window)[start] + mix(rows[start].astype(np.uint64), 3), 4)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     same = key[order][1:] == key[order][:-1]
     twice = np.zeros(len(key), bool)
     twice[order[1:][same]] = True

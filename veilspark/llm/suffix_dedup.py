@@ -49,14 +49,12 @@ U32 = np.uint64(32)
 
 
 def _window_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of each w consecutive values: minima from the left and from the right of blocks of w, joined."""
-    n = len(x)
-    padded = np.full(-(-n // w) * w, np.iinfo(np.uint64).max, np.uint64)
-    padded[:n] = x
-    blocks = padded.reshape(-1, w)
-    left = np.minimum.accumulate(blocks, axis=1).ravel()
-    right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(right[: n - w + 1], left[w - 1 : n])
+    """Minimum of each w consecutive values, by doubling."""
+    n, width = len(x) - w + 1, 1
+    while 2 * width <= w:
+        x = np.minimum(x[:-width], x[width:])
+        width *= 2
+    return np.minimum(x[:n], x[w - width : w - width + n])
 
 
 def _stretch(raw: np.ndarray, at: np.ndarray, row: np.ndarray, length: int) -> dict[str, np.ndarray]:
@@ -102,7 +100,8 @@ def suffixes(raw: np.ndarray, off: np.ndarray, length: int, most: int = STRETCH)
     at = int(off[0]) if len(off) else 0
     while at <= len(raw) - length:
         end = min(at + most + length - 1, len(raw))
-        row = np.searchsorted(off, np.arange(at, end - length + 1), side="right") - 1
+        near = np.arange(np.searchsorted(off, at, side="right") - 1, np.searchsorted(off, end - length, side="right"))
+        row = np.repeat(near, np.diff(np.clip(off[near[0] : near[-1] + 2], at, end - length + 1)))
         start = np.flatnonzero(np.arange(at + length, end + 1) <= off[row + 1])
         more = end < len(raw) and len(start) > 0 and start[-1] == len(row) - 1
         if len(start):
