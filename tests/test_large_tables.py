@@ -8,7 +8,7 @@ from veilspark.plans import catalog
 KEYS = [0, 1, 65535, 65536, 65538, 65541, 16777219, 2**40 + 6]
 
 
-@pytest.mark.parametrize("name", ["image_entity_rows", "image_redact"])
+@pytest.mark.parametrize("name", ["image_entity_rows", "image_redact", "image_request_redact"])
 def test_images_of_large_keys(spark, tmp_path, name):
     spark.createDataFrame([(k,) for k in KEYS], "c_custkey long").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
     con = duckdb.connect()
