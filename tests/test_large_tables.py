@@ -2,9 +2,14 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from veilspark import constants as C
+from veilspark.functions.spans import find_spans
+from veilspark.operators.resolve import by_priority
 from veilspark.plans import catalog
 
+DIR = "/root/testdata/sf0.001"
 KEYS = [0, 1, 65535, 65536, 65538, 65541, 16777219, 2**40 + 6]
 
 
@@ -16,3 +21,18 @@ def test_images_of_large_keys(spark, tmp_path, name):
     rows, other = catalog.queries()[name](spark, str(tmp_path)).toPandas(), con.execute(catalog.oracle_sql()[name]).df()
     listed = lambda df: sorted(map(str, df[sorted(df.columns)].itertuples(index=False, name=None)))
     assert listed(rows) == listed(other)
+
+
+@pytest.mark.parametrize("name", ["context_boost"])
+def test_texts_in_many_tasks(spark, name):
+    """The rows of one small file go to all tasks, and what finds spans in them isn't repeated in a filter below."""
+    df = catalog.queries()[name](spark, DIR)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert not [x for x in plan.splitlines() if "Filter (" in x and ("RLIKE" in x or "Contains(" in x)]
+
+
+def test_spans_are_computed_once(spark):
+    """A fold over spans takes them as they are; it named them three times, and all that computes them as often."""
+    spans = spark.createDataFrame([("a@b.org",)], "text string").select(by_priority(find_spans(F.col("text"), "@", C.EMAIL, 1.0)).alias("p"))
+    assert spans._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1

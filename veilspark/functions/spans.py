@@ -32,7 +32,7 @@ def _ends(pieces: Column, between: int = 0) -> Column:
     return F.aggregate(pieces, start, step, lambda s: s["out"])
 
 
-def _with(value: Column, body) -> Column:
+def with_value(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however often it is used."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -49,17 +49,17 @@ def find_spans(text: Column, pattern: str, entity: str, score: float | Column) -
 
     def found(p: Column) -> Column:
         hit = lambda ends: F.transform(F.sequence(F.lit(1), F.size(p) - 2, F.lit(2)), lambda i: span(entity, F.get(ends, i - 1), F.get(ends, i), score, F.get(p, i)))
-        return F.when(F.size(p) > 2, _with(_ends(p), hit)).otherwise(no_spans())
+        return F.when(F.size(p) > 2, with_value(_ends(p), hit)).otherwise(no_spans())
 
-    return F.when(text.rlike(f"(?U){pattern}"), _with(pieces, found)).otherwise(no_spans())
+    return F.when(text.rlike(f"(?U){pattern}"), with_value(pieces, found)).otherwise(no_spans())
 
 
 def find_literal(text: Column, word: str, entity: str, score: float) -> Column:
     """All occurrences of ``word`` that don't overlap, from left to right."""
     quoted = "".join(f"\\x{{{ord(c):x}}}" for c in word)
     hit = lambda ends: F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda e: span(entity, e, e + len(word), score, F.lit(word)))
-    found = lambda p: _with(_ends(p, len(word)), hit)
-    return F.when(F.contains(text, F.lit(word)), _with(F.split(text, quoted, -1), found)).otherwise(no_spans())
+    found = lambda p: with_value(_ends(p, len(word)), hit)
+    return F.when(F.contains(text, F.lit(word)), with_value(F.split(text, quoted, -1), found)).otherwise(no_spans())
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.spans import no_spans, overlap
+from ..functions.spans import no_spans, overlap, with_value
 
 
 def _sorted(spans: Column, *keys) -> Column:
@@ -42,8 +42,8 @@ def by_priority(spans: Column, priorities: Mapping[str, int] | None = None) -> C
         clash = (F.size(kept) > 0) & overlap(last, s)
         return F.when(~clash, F.array_append(kept, s)).when(number(s) < number(last), F.array_append(F.slice(kept, 1, F.size(kept) - 1), s)).otherwise(kept)
 
-    fold = F.aggregate(_sorted(spans, lambda s: s["start"], lambda s: s["end"]), no_spans(), step)
-    return F.when(F.size(spans) <= 1, spans).otherwise(fold)
+    fold = lambda found: F.aggregate(_sorted(found, lambda s: s["start"], lambda s: s["end"]), no_spans(), step)
+    return with_value(spans, lambda found: F.when(F.size(found) <= 1, found).otherwise(fold(found)))
 
 
 def best_by_position(spans: Column) -> Column:

@@ -112,8 +112,9 @@ def anonymize_requests(requests: DataFrame, text_col: str = "text", config: PiiC
 
 
 def entity_rows(df: DataFrame, keys: list[str], column: str = "pii_spans") -> DataFrame:
-    """One row for each span or entity."""
-    return df.select(*keys, F.inline(column))
+    """One row for each span or entity. An outer generator, as Spark puts a filter of its own below others: with all that
+    finds the spans in it, several times over."""
+    return df.select(*keys, F.explode_outer(column).alias("_span")).where(F.col("_span").isNotNull()).select(*keys, "_span.*")
 
 
 def with_json(df: DataFrame, text_col: str = "text", out: str = "result") -> DataFrame:
