@@ -23,7 +23,7 @@ def test_images_of_large_keys(spark, tmp_path, name):
     assert listed(rows) == listed(other)
 
 
-@pytest.mark.parametrize("name", ["context_boost", "email_rules"])
+@pytest.mark.parametrize("name", ["context_boost", "email_rules", "phone_detect"])
 def test_texts_in_many_tasks(spark, name):
     """The rows of one small file go to all tasks, and what finds spans in them isn't repeated in a filter below."""
     df = catalog.queries()[name](spark, DIR)
