@@ -9,6 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .spans import with_value
+
+#: Eight digits that are a day of the calendar: months of 31 and 30 days, February, and its 29th in leap years.
+CALENDAR_DAY = (
+    r"^(?:\d{4}(?:(?:0[13578]|1[02])(?:0[1-9]|[12]\d|3[01])|(?:0[469]|11)(?:0[1-9]|[12]\d|30)|02(?:0[1-9]|1\d|2[0-8]))"
+    r"|(?:\d\d(?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00)0229)\z"
+)
 
 
 def no_spaces(value: Column) -> Column:
@@ -32,29 +39,28 @@ def in_digit_run(text: Column, start: Column, end: Column, least: int = 5) -> Co
 
 def is_birth_date(value: Column, as_of: datetime.date | Column | None = None) -> Column:
     """Eight digits that are a day of the calendar from 1900 to ``as_of`` (today by default)."""
-    latest = F.current_date() if as_of is None else as_of if isinstance(as_of, Column) else F.lit(as_of)
-    day = F.when(value.rlike(r"^\d{8}$"), F.try_to_timestamp(value, F.lit("yyyyMMdd")).cast("date"))
-    return F.coalesce(day.between(F.lit(datetime.date(1900, 1, 1)), latest), F.lit(False))
+    digits = lambda day: F.date_format(day, "yyyyMMdd")  # noqa: E731  in the order of days; no exception for each wrong date
+    latest = digits(F.current_date()) if as_of is None else digits(as_of) if isinstance(as_of, Column) else F.lit(as_of.isoformat().replace("-", ""))
+    return F.coalesce(value.rlike(CALENDAR_DAY) & value.between(F.lit("19000101"), latest), F.lit(False))
 
 
 def has_check_digit(value: Column) -> Column:
     """Whether the last of 18 characters is the weighted sum of the others, mod 11."""
-    total = reduce(lambda a, b: a + b, [F.try_to_number(F.substring(value, i + 1, 1), F.lit("9")).cast("int") * w for i, w in enumerate(C.CHECK_WEIGHTS)])
+    total = reduce(lambda a, b: a + b, [F.substring(value, i + 1, 1).try_cast("int") * w for i, w in enumerate(C.CHECK_WEIGHTS)])
     return F.coalesce(F.substr(F.lit(C.CHECK_CHARACTERS), total % 11 + 1, F.lit(1)) == F.upper(F.substring(value, 18, 1)), F.lit(False))
 
 
 def is_id_card(value: Column, as_of: datetime.date | Column | None = None) -> Column:
-    bare = no_spaces(value)
-    province = F.substring(bare, 1, 2).isin([str(p) for p in C.PROVINCES])
-    return (F.length(bare) == 18) & bare.rlike(r"^\d{17}[\dXx]$") & province & is_birth_date(F.substring(bare, 7, 8), as_of) & has_check_digit(bare)
+    province = lambda bare: F.substring(bare, 1, 2).isin([str(p) for p in C.PROVINCES])
+    born = lambda bare: with_value(F.substring(bare, 7, 8), lambda day: is_birth_date(day, as_of))
+    return with_value(no_spaces(value), lambda bare: (F.length(bare) == 18) & bare.rlike(r"^\d{17}[\dXx]$") & province(bare) & born(bare) & has_check_digit(bare))
 
 
 def is_repairable_id_card(value: Column, as_of: datetime.date | Column | None = None) -> Column:
     """Whether 19 digits are a valid number once one of them is left out."""
-    bare = no_spaces(value)
     places = F.array(*[F.lit(i) for i in C.REPAIR_ORDER])
-    without = lambda i: F.concat(F.substr(bare, F.lit(1), i), F.substr(bare, i + 2, F.lit(19)))
-    return (F.length(bare) == 19) & F.exists(places, lambda i: is_id_card(without(i), as_of))
+    without = lambda bare, i: F.concat(F.substr(bare, F.lit(1), i), F.substr(bare, i + 2, F.lit(19)))
+    return with_value(no_spaces(value), lambda bare: (F.length(bare) == 19) & F.exists(places, lambda i: is_id_card(without(bare, i), as_of)))
 
 
 def is_bank_card(value: Column) -> Column:
