@@ -11,6 +11,7 @@ from veilspark.functions import validators as V
 from veilspark.functions.spans import find_spans
 from veilspark.operators.resolve import by_priority
 from veilspark.plans import catalog
+from veilspark.plans import pipeline as P
 
 DIR = "/root/testdata/sf0.001"
 KEYS = [0, 1, 65535, 65536, 65538, 65541, 16777219, 2**40 + 6]
@@ -66,3 +67,10 @@ def test_spans_are_computed_once(spark):
     """A fold over spans takes them as they are; it named them three times, and all that computes them as often."""
     spans = spark.createDataFrame([("a@b.org",)], "text string").select(by_priority(find_spans(F.col("text"), "@", C.EMAIL, 1.0)).alias("p"))
     assert spans._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+
+
+def test_phones_inside_other_characters(spark):
+    """The rule has no borders but for digits; the SQL of text_anonymize knows cards and mail only."""
+    df = spark.createDataFrame([(1, 'token = "18945874088f67dc02ebee7da3"'), (2, "f699e44f19092102589454a79f5d9b")], "doc_id long, text string")
+    found = {r.doc_id: [(e.entity_type, e.original_text) for e in r.pii_entities] for r in P.anonymize(df).collect()}
+    assert found == {1: [(C.PHONE, "18945874088")], 2: [(C.PHONE, "19092102589")]}
