@@ -54,7 +54,7 @@ def test_birth_dates_without_a_parser(spark):
     assert [(r.v, r.ok) for r in rows.collect()] == [(v, day(v)) for v in values]
 
 
-@pytest.mark.parametrize("name", ["context_boost", "email_rules", "phone_detect", "id_card_detect", "id_card_ocr_repair", "passport_detect", "name_lists", "allow_list"])
+@pytest.mark.parametrize("name", ["context_boost", "email_rules", "phone_detect", "id_card_detect", "id_card_ocr_repair", "passport_detect", "name_lists", "allow_list", "image_entity_rows"])
 def test_texts_in_many_tasks(spark, name):
     """The rows of one small file go to all tasks, and what finds spans in them isn't repeated in a filter below."""
     df = catalog.queries()[name](spark, DIR)

@@ -14,6 +14,7 @@ from ..operators.mosaic import STYLES
 from ..sources.images import check_files, encode, read_images, save_image_files
 from ..sources.texts import parse_form
 from .catalog import _docs, _made, _only, _recognizer, white_shots
+from .pipeline import entity_rows
 
 FILES = """SELECT c_custkey, 'up/a.b/f' || CAST(c_custkey AS STRING) || CASE c_custkey % 8 WHEN 0 THEN '.png' WHEN 1 THEN '.JPG' WHEN 2 THEN '.jpeg' WHEN 3 THEN '.bmp' WHEN 4 THEN '.Gif' WHEN 5 THEN '.webp' WHEN 6 THEN '.tiff' ELSE '' END AS path,
  c_custkey * 7919 % 20971520 * 13 % 20971520 AS size FROM customer"""
@@ -35,7 +36,7 @@ def image_form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def image_entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analysis only: nothing is painted."""
     found = image_entities(with_ocr(white_shots(spark, sf_dir), _recognizer), _only(C.EMAIL))
-    return found.select("c_custkey", F.inline("pii_entities")).withColumnsRenamed({"left": "left_x", "top": "top_y"})
+    return entity_rows(found, ["c_custkey"], "pii_entities").withColumnsRenamed({"left": "left_x", "top": "top_y"})
 
 
 def image_request_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
